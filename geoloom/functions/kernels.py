@@ -416,17 +416,37 @@ def separation(left, right, mercator: bool) -> np.ndarray:
     """Smallest planar distance of each pair; zero when they share a point."""
     a, b = edges_of(left, mercator), edges_of(right, mercator)
     best = np.full(len(a.count), np.inf)
+
+    def from_ends(x, y, p1x, p1y, ex, ey):
+        square = ex * ex + ey * ey
+        rx, ry = x - p1x, y - p1y
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u = np.where(square > 0, np.clip((rx * ex + ry * ey) / square, 0, 1), 0.0)
+        return np.hypot(rx - u * ex, ry - u * ey)
+
+    for i, j in _against(a.owner, b):
+        ax1, ay1, ax2, ay2 = a.x1[i], a.y1[i], a.x2[i], a.y2[i]
+        bx1, by1, bx2, by2 = b.x1[j], b.y1[j], b.x2[j], b.y2[j]
+        ux, uy, vx, vy = ax2 - ax1, ay2 - ay1, bx2 - bx1, by2 - by1
+        gap = from_ends(ax1, ay1, bx1, by1, vx, vy)
+        for other in (
+            from_ends(ax2, ay2, bx1, by1, vx, vy),
+            from_ends(bx1, by1, ax1, ay1, ux, uy),
+            from_ends(bx2, by2, ax1, ay1, ux, uy),
+        ):
+            np.minimum(gap, other, out=gap)
+        s1 = ux * (by1 - ay1) - uy * (bx1 - ax1)
+        s2 = ux * (by2 - ay1) - uy * (bx2 - ax1)
+        t1 = vx * (ay1 - by1) - vy * (ax1 - bx1)
+        t2 = vx * (ay2 - by1) - vy * (ax2 - bx1)
+        gap[(s1 * s2 < 0) & (t1 * t2 < 0)] = 0.0
+        np.minimum.at(best, a.owner[i], gap)
+    # One shape may lie inside the other without their edges being near.
     for p, q in ((a, b), (b, a)):
-        for x, y in ((p.x1, p.y1), (p.x2, p.y2)):
-            for i, j in _against(p.owner, q):
-                ex, ey = q.x2[j] - q.x1[j], q.y2[j] - q.y1[j]
-                rx, ry = x[i] - q.x1[j], y[i] - q.y1[j]
-                square = ex * ex + ey * ey
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    u = np.where(square > 0, np.clip((rx * ex + ry * ey) / square, 0, 1), 0.0)
-                np.minimum.at(best, p.owner[i], np.hypot(rx - u * ex, ry - u * ey))
-    met = relation(left, right).field("intersects").to_numpy(zero_copy_only=False)
-    return np.where(met, 0.0, best)
+        rows = np.flatnonzero((p.count > 0) & (q.dimension == 2) & (best > 0))
+        x, y = p.x1[p.start[rows]], p.y1[p.start[rows]]
+        best[rows[_classify((x, y, x, y, rows), q) > 0]] = 0.0
+    return best
 
 
 @F.arrow_udf(RELATION)
@@ -524,23 +544,25 @@ def _gather(edges: Edges, rows: np.ndarray, owner: np.ndarray, n_owners: int) ->
     )
 
 
-def outline(regions: pa.Array) -> np.ndarray:
-    """Directed pieces (n, 4) that bound the union of polygon geometries.
+def outline(regions: pa.Array, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Directed pieces (n, 4) that bound the union of each group of polygon geometries, and the
+    group of each piece. Regions of a group stand together.
 
     A piece of one boundary survives when no other region covers it. Where boundaries coincide and
     run the same way only the first region keeps the piece; where they run opposite ways nobody does.
     """
     edges = edges_of(regions)
     n = len(edges.count)
-
-    def bound(values, reduce, empty):
-        return reduce.reduceat(values, edges.start) if len(values) else np.full(n, empty)
-
-    x0, x1 = bound(edges.x1, np.minimum, 0), bound(edges.x1, np.maximum, 0)
-    y0, y1 = bound(edges.y1, np.minimum, 0), bound(edges.y1, np.maximum, 0)
-    near = (x0[:, None] <= x1) & (x1[:, None] >= x0) & (y0[:, None] <= y1) & (y1[:, None] >= y0)
-    np.fill_diagonal(near, False)
-    own, other = np.nonzero(near)
+    starts = edges.start
+    x0, x1 = np.minimum.reduceat(edges.x1, starts), np.maximum.reduceat(edges.x1, starts)
+    y0, y1 = np.minimum.reduceat(edges.y1, starts), np.maximum.reduceat(edges.y1, starts)
+    first_of_group = np.searchsorted(group, group, side="left")
+    size_of_group = np.searchsorted(group, group, side="right") - first_of_group
+    own = np.repeat(np.arange(n), size_of_group)
+    other = np.repeat(first_of_group, size_of_group) + _spread(size_of_group)
+    near = (own != other) & (x0[own] <= x1[other]) & (x1[own] >= x0[other])
+    near &= (y0[own] <= y1[other]) & (y1[own] >= y0[other])
+    own, other = own[near], other[near]
     pieces, _, _, _ = _split(edges, _gather(edges, other, own, n))
     owner = pieces[4]
     per_region = np.bincount(owner, minlength=n).astype(np.int64)
@@ -554,7 +576,7 @@ def outline(regions: pa.Array) -> np.ndarray:
     where = _classify(placed, _gather(edges, other, pair, len(own)))
     covered = (where == INSIDE) | (where == OPPOSITE) | ((where == SAME_WAY) & (other < own)[pair_of])
     lost = np.bincount(pick[covered], minlength=len(owner)) > 0
-    return np.column_stack(pieces[:4])[~lost]
+    return np.column_stack(pieces[:4])[~lost], group[owner[~lost]]
 
 
 STRETCHES = T.ArrayType(
@@ -647,13 +669,46 @@ def as_polygons(rings: list[np.ndarray]) -> dict:
     return {"kind": "Polygon" if len(listed) == 1 else "MultiPolygon", "parts": listed}
 
 
-# Regions united in one go; more are united in rounds.
+# Regions of a group united in one go; larger groups are united in rounds.
 UNION_CHUNK = 32
 
 
-def united(regions: pa.Array) -> dict:
-    """Union of polygon geometries as one geometry."""
-    while len(regions) > UNION_CHUNK:
-        chunks = [regions.slice(i, UNION_CHUNK) for i in range(0, len(regions), UNION_CHUNK)]
-        regions = pa.array([united(c) for c in chunks], GEOMETRY_ARROW)
-    return as_polygons(stitch(outline(regions)))
+def unite(regions: pa.Array, group: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Union of each group of polygon geometries (groups in ascending order)."""
+    while True:
+        order_in_group = np.arange(len(group)) - np.searchsorted(group, group, side="left")
+        lone = np.searchsorted(group, group, side="right") - np.searchsorted(group, group, side="left") == 1
+        if lone.all():
+            return regions, group
+        # Chunks of a group are numbered so that they stay together and in order.
+        chunk = np.cumsum(order_in_group % UNION_CHUNK == 0) - 1
+        many = np.flatnonzero(np.bincount(chunk)[chunk] > 1)
+        pieces, of_chunk = outline(regions.take(pa.array(many)), chunk[many])
+        cuts = np.flatnonzero(np.diff(of_chunk)) + 1
+        merged = dict(zip(np.unique(of_chunk).tolist(), np.split(pieces, cuts)))
+        kept, first = [], np.flatnonzero(order_in_group % UNION_CHUNK == 0)
+        united = pa.array([as_polygons(stitch(p)) for p in merged.values()], GEOMETRY_ARROW)
+        pool = pa.concat_arrays([regions.cast(GEOMETRY_ARROW), united])
+        place_of = {c: len(regions) + i for i, c in enumerate(merged)}
+        kept = [place_of.get(c, at) for c, at in enumerate(first.tolist())]
+        regions, group = pool.take(pa.array(kept)), group[first]
+
+
+def capsules(edges: Edges, distance: np.ndarray, segments: int) -> tuple[pa.Array, np.ndarray]:
+    """Every edge widened by its own distance: the regular polygon of ``segments`` sides swept along
+    it. Returns closed rings as polygons and the row each belongs to.
+    """
+    step = 2 * np.pi / segments
+    angle = np.arctan2(edges.y2 - edges.y1, edges.x2 - edges.x1)
+    # The polygon's corner that lies farthest to the right of the edge; half a turn on, to the left.
+    first = np.rint((angle - np.pi / 2) / step)
+    half = segments // 2
+    turn = np.concatenate([np.arange(half + 1), np.arange(half, segments + 1)])
+    at_end = np.concatenate([np.ones(half + 1, bool), np.zeros(half + 1, bool)])
+    corner = (first[:, None] + turn) * step
+    x = np.where(at_end, edges.x2[:, None], edges.x1[:, None]) + np.cos(corner) * distance[:, None]
+    y = np.where(at_end, edges.y2[:, None], edges.y1[:, None]) + np.sin(corner) * distance[:, None]
+    x, y = np.column_stack([x, x[:, :1]]), np.column_stack([y, y[:, :1]])
+    n = len(edges.owner)
+    ones = np.ones(n, np.int64)
+    return rebuild(["Polygon"] * n, x.ravel(), y.ravel(), ones * x.shape[1], ones, ones), edges.owner

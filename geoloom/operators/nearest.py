@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.functions import coords, kernels
+from geoloom.functions import coords, kernels, shapes
 from geoloom.layer import BOX, GEOM, Layer, geometry, vertex
+from geoloom.operators.joins import BROADCAST_BYTES, BYTES_PER_ROW, BYTES_PER_VERTEX
 from geoloom.operators.spread import spread_join
+from geoloom.sources.place import fresh_path
 
 # Fixed value: the largest k of a point query.
 MAX_K = 100
 
 # nearest_join refines its grid until an average occupied cell holds this many features.
 FEATURES_PER_CELL = 16
-# A level's cell table, or the point layer itself, is broadcast only up to this many rows.
+# A level's cell table is broadcast only up to this many rows.
 BROADCAST_CELLS = 200_000
 
 
@@ -67,21 +69,51 @@ def _reach(lo: Column, hi: Column, at: Column) -> Column:
     return F.greatest(F.abs(at - lo), F.abs(at - hi))
 
 
+def _still_possible(reached: DataFrame, px: Column, py: Column, k: int) -> DataFrame:
+    """Of the boxes (x0, y0, x1, y1, holding n features) reached by each ``_id``, those that may hold
+    one of its k nearest: they begin no farther away than the distance that surely covers k.
+    """
+    near = coords.planar(_gap(F.col("x0"), F.col("x1"), px), _gap(F.col("y0"), F.col("y1"), py))
+    far = coords.planar(_reach(F.col("x0"), F.col("x1"), px), _reach(F.col("y0"), F.col("y1"), py))
+    reached = reached.withColumns({"_near": near, "_far": far})
+    if k == 1:
+        sure = F.min("_far").over(Window.partitionBy("_id"))
+    else:
+        covered = F.sum("n").over(Window.partitionBy("_id").orderBy("_far", "_here"))
+        reached = reached.withColumn("_covered", covered)
+        sure = F.coalesce(
+            F.min(F.when(F.col("_covered") >= k, F.col("_far"))).over(Window.partitionBy("_id")),
+            F.lit(float("inf")),
+        )
+    return reached.withColumn("_sure", sure).filter(F.col("_near") <= F.col("_sure") * (1 + 1e-12))
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder: a spread join reads them twice."""
+    path = fresh_path(df.sparkSession, "frontier")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 # The walk starts on a level whose parent has at most this many occupied cells.
 ROOT_CELLS = 4
 
 
-def _pyramid(features: DataFrame, k: int) -> tuple[list[DataFrame], list[int], list[int], int]:
+def _pyramid(right: Layer, k: int) -> tuple[list[DataFrame], list[int], list[int], bool]:
     """Occupied cells per grid level with their count and the tight box of their features.
 
     Each coarser level is rolled up from the finer one, so the features are read once. Returns the
     tables, their levels and their row counts, from the first useful coarse level downwards, and
-    the number of features.
+    whether the layer itself is small enough to broadcast.
     """
+    features = right.df
     x, y = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
+    simple = right.family == "point" or right.boxes
+    n_vertices = F.lit(1) if simple else shapes.n_points(F.col(GEOM))
     # Which levels are worth walking: one pass without a shuffle. The counts only steer the walk.
     counts = features.agg(
         F.count("*").alias("rows"),
+        F.sum(n_vertices).alias("vertices"),
         *[
             F.hll_sketch_estimate(
                 F.hll_sketch_agg(
@@ -129,7 +161,8 @@ def _pyramid(features: DataFrame, k: int) -> tuple[list[DataFrame], list[int], l
         ).agg(*tight)
         tables[m] = table
     chosen = list(range(start, stop - 1, -1))
-    return [tables[m] for m in chosen], chosen, [occupied[m] for m in chosen], rows
+    size = rows * BYTES_PER_ROW + (counts["vertices"] or 0) * BYTES_PER_VERTEX
+    return [tables[m] for m in chosen], chosen, [occupied[m] for m in chosen], size <= BROADCAST_BYTES
 
 
 def nearest_join(
@@ -161,7 +194,8 @@ def nearest_join(
         raise ValueError(f"metric {metric!r} is not planar")
     px, py = flat[0](F.col("_cx")), flat[1](F.col("_cy"))
 
-    tables, levels, occupied, n_right = _pyramid(right.df.select(*BOX), k)
+    tables, levels, occupied, small = _pyramid(right, k)
+    small = small and rows_per_share is None
     options = {} if rows_per_share is None else {"rows_per_share": rows_per_share}
     frontier = None
     for table, level, n_cells in zip(tables, levels, occupied):
@@ -187,28 +221,11 @@ def nearest_join(
         elif n_cells <= BROADCAST_CELLS and rows_per_share is None:
             reached = frontier.join(F.broadcast(cells), "_cell")
         else:
+            frontier = _written(frontier)
             reached = spread_join(
                 frontier, cells, "_cell", F.xxhash64("_id"), F.xxhash64("_here"), **options
             )
-        near = coords.planar(_gap(F.col("x0"), F.col("x1"), px), _gap(F.col("y0"), F.col("y1"), py))
-        far = coords.planar(_reach(F.col("x0"), F.col("x1"), px), _reach(F.col("y0"), F.col("y1"), py))
-        reached = reached.select(
-            "_id", "_cx", "_cy", F.col("_here").alias("_cell"), "n", near.alias("_near"), far.alias("_far")
-        )
-        if k == 1:
-            sure = F.min("_far").over(Window.partitionBy("_id"))
-        else:
-            nearest_first = Window.partitionBy("_id").orderBy("_far", "_cell")
-            reached = reached.withColumn("_covered", F.sum("n").over(nearest_first))
-            sure = F.coalesce(
-                F.min(F.when(F.col("_covered") >= k, F.col("_far"))).over(Window.partitionBy("_id")),
-                F.lit(float("inf")),
-            )
-        frontier = (
-            reached.withColumn("_sure", sure)
-            .filter(F.col("_near") <= F.col("_sure") * (1 + 1e-12))
-            .select("_id", "_cx", "_cy", "_cell")
-        )
+        frontier = _still_possible(reached, px, py, k).select("_id", "_cx", "_cy", F.col("_here").alias("_cell"))
 
     last = levels[-1] if levels else 0
     size = coords.cell_size(last)
@@ -225,16 +242,21 @@ def nearest_join(
         targets = targets.select("_cell", F.col("xmin").alias("_x"), F.col("ymin").alias("_y"), *carried)
         distance = coords.point_distance(F.col("_cx"), F.col("_cy"), F.col("_x"), F.col("_y"), metric)
     else:
-        targets = targets.select("_cell", F.col(GEOM).alias("_geom"), *carried)
+        box = [flat[i % 2](F.col(c)).alias(f"{'xy'[i % 2]}{i // 2}") for i, c in enumerate(BOX)]
+        targets = targets.select("_cell", F.col(GEOM).alias("_geom"), *box, *carried)
         here = geometry("Point", F.array(F.array(F.array(vertex(F.col("_cx"), F.col("_cy"))))))
         kernel = kernels.mercator_separation if metric == "mercator" else kernels.degree_separation
         distance = kernel(here, F.col("_geom"))
         if metric == "degree_m":
             distance = distance * F.lit(coords.METRES_PER_DEGREE)
-    if right.family == "point" and n_right <= BROADCAST_CELLS and rows_per_share is None:
+    if small:
         found = frontier.join(F.broadcast(targets), "_cell")
     else:
+        frontier = _written(frontier)
         found = spread_join(frontier, targets, "_cell", F.xxhash64("_id"), F.xxhash64("_rid"), **options)
+    if right.family != "point":
+        # The boxes of the features themselves narrow the choice before any shape is looked at.
+        found = _still_possible(found.withColumns({"n": F.lit(1), "_here": F.col("_rid")}), px, py, k)
     found = found.withColumn("distance", distance)
     order = Window.partitionBy("_id").orderBy("distance", "_rid")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

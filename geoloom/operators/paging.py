@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,23 +18,23 @@ PAGE_OTHER = 10_000
 MAX_EXPORT_ROWS = 100_000
 MAX_SAMPLE = 100
 
-# Numbering: slices are cut at COARSE * FINE quantiles of the key.
-COARSE = 32
-FINE = 32
+# Numbering: rows one task numbers, and the most slices a table is cut into.
+ROWS_PER_SLICE = 100_000
+MAX_SLICES = 50_000
 # Beyond this depth a page is cut by row number instead of a top-n that one task would hold.
 DEEP_OFFSET = 200_000
 
 
-def with_row_id(df: DataFrame, key: str, name: str = "oid") -> DataFrame:
+def with_row_id(df: DataFrame, key: str, name: str = "oid", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Number all rows 0, 1, 2, ... in the order of a unique, non-null ``key``.
 
-    The key range is cut into slices at quantiles that enter the plan as literals, so every
+    The key range is cut into slices at sampled keys that enter the plan as constants, so every
     recomputation of a task assigns the same slice. Rows are numbered within their slice and
     shifted by the rows of earlier slices: no step sorts the table in one place.
     """
-    slice_of = _slice_column(df, key)
-    sliced = df.withColumn("_slice", slice_of)
-    counts = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))  # at most COARSE*FINE+1 rows
+    cuts = _cuts(df, key, rows_per_slice)
+    sliced = df.withColumn("_slice", _slice_of(cuts)(F.col(key)) if len(cuts) else F.lit(0))
+    counts = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))  # at most MAX_SLICES rows
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_slice").orderBy(key)) - 1
@@ -42,32 +44,27 @@ def with_row_id(df: DataFrame, key: str, name: str = "oid") -> DataFrame:
     )
 
 
-def _slice_column(df: DataFrame, key: str) -> Column:
-    """Slice number of ``key``: a coarse step, then a fine one, each over a short literal array."""
-    dtype = df.schema[key].dataType
-    if isinstance(dtype, T.NumericType):
-        probes = [i / (COARSE * FINE) for i in range(1, COARSE * FINE)]
-        cuts = df.agg(F.percentile_approx(key, probes, 10 * COARSE * FINE).alias("q")).first()["q"] or []
-    else:
-        # Other orderable types: cut at a bounded random sample of the keys.
-        wanted = 8 * COARSE * FINE
-        n = df.select(key).count()
-        fraction = min(1.0, 1.5 * wanted / max(n, 1))
-        seen = sorted(r[0] for r in df.select(key).sample(fraction, seed=7).limit(4 * wanted).collect())
-        cuts = seen[:: max(1, len(seen) // (COARSE * FINE))]
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return F.lit(0)
-    rows = [cuts[i : i + FINE] for i in range(0, len(cuts), FINE)]
-    column = F.col(key)
-
-    def literals(values):
-        return F.array(*[F.lit(v).cast(dtype) for v in values])
-
-    coarse = F.size(F.filter(literals([r[0] for r in rows]), lambda cut: cut <= column))
-    table = F.array(*[literals(r) for r in rows])
-    fine = F.size(F.filter(F.get(table, F.greatest(coarse - 1, F.lit(0))), lambda cut: cut <= column))
-    return (coarse * (FINE + 1) + fine).cast("int")
+def _cuts(df: DataFrame, key: str, rows_per_slice: int) -> list:
+    """Keys that cut the table into slices of about the wanted size, from a bounded sample."""
+    keys = df.select(key)
+    rows = keys.count()
+    slices = min(-(-rows // rows_per_slice), MAX_SLICES)
+    if slices <= 1:
+        return []
+    wanted = 16 * slices
+    seen = sorted(r[0] for r in keys.sample(min(1.0, 1.2 * wanted / rows), seed=7).limit(2 * wanted).collect())
+    return sorted(set(seen[:: max(1, len(seen) // slices)][1:]))
+
+
+def _slice_of(cuts: list):
+    """Arrow function: how many cuts are at or below a key."""
+    @F.arrow_udf(T.IntegerType())
+    def slice_of(keys: pa.Array) -> pa.Array:
+        bounds = pa.array(cuts, keys.type).to_numpy(zero_copy_only=False)
+        values = keys.to_numpy(zero_copy_only=False)
+        return pa.array(np.searchsorted(bounds, values, side="right").astype(np.int32))
+
+    return slice_of
 
 
 def take_rows(layer: Layer, indices: list[int], key: str | None = None) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,7 +98,7 @@ def column_stats(df: DataFrame, columns: list[str], approximate: bool = False) -
             F.approx_count_distinct("value").alias("distinct_count"),
         )
     values = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    return _quartiles(values).join(_moments(long), "column_name")
+    return _quartiles(long, values).join(_moments(long), "column_name")
 
 
 def _moments(long: DataFrame) -> DataFrame:
@@ -108,21 +111,20 @@ def _moments(long: DataFrame) -> DataFrame:
 
 
 # Exact quartiles split the values of a column into this many ordered bins.
-QUANTILE_BINS = 1024
+QUANTILE_BINS = 256
 
 
-def _quartiles(values: DataFrame) -> DataFrame:
+def _quartiles(long: DataFrame, values: DataFrame) -> DataFrame:
     """Exact interpolated quartiles from (column_name, value, n), without sorting a column whole.
 
-    Values fall into equal-depth bins of an approximate histogram; the bins' counts say which bins
-    hold the wanted ranks, and only those bins are ordered.
+    Values fall into bins of about equal depth; the bins' counts say which bins hold the wanted
+    ranks, and only those bins are ordered.
     """
     probes = [i / QUANTILE_BINS for i in range(1, QUANTILE_BINS)]
-    cuts = values.groupBy("column_name").agg(
-        F.array_distinct(F.percentile_approx("value", probes, 10 * QUANTILE_BINS)).alias("cuts")
-    )
-    # One row of at most QUANTILE_BINS doubles per column.
-    binned = values.join(F.broadcast(cuts), "column_name").withColumn("bin", _bin_of("value", "cuts")).drop("cuts")
+    sketched = long.groupBy("column_name").agg(F.percentile_approx("value", probes, 10 * QUANTILE_BINS).alias("cuts"))
+    # QUANTILE_BINS numbers per column.
+    cuts = {r["column_name"]: sorted(set(r["cuts"])) for r in sketched.collect()}
+    binned = values.withColumn("bin", _bin_of(cuts)(F.col("column_name"), F.col("value")))
     depth = binned.groupBy("column_name", "bin").agg(F.sum("n").alias("bin_n"), F.count("*").alias("bin_distinct"))
     by_column = Window.partitionBy("column_name").orderBy("bin")
     depth = depth.withColumns(
@@ -167,21 +169,18 @@ def _rank(p: float, rounding):
     return rounding((F.col("total") - 1) * F.lit(p)).cast("long")
 
 
-def _bin_of(value: str, cuts: str):
-    """Number of cuts at or below the value, by bisection over the sorted array."""
-    state = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
-    steps = F.sequence(F.lit(1), F.lit(11))  # 2**11 > QUANTILE_BINS
-
-    def halve(s, _):
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        right = F.coalesce(F.get(F.col(cuts), mid) <= F.col(value), F.lit(False))
-        open_ = s["lo"] < s["hi"]
-        return F.struct(
-            F.when(open_ & right, mid + 1).otherwise(s["lo"]).alias("lo"),
-            F.when(open_ & ~right, mid).otherwise(s["hi"]).alias("hi"),
-        )
+def _bin_of(cuts: dict[str, list[float]]):
+    """Arrow function: how many of a column's cuts are at or below a value."""
+    @F.arrow_udf(T.IntegerType())
+    def bin_of(names: pa.Array, values: pa.Array) -> pa.Array:
+        names, values = names.to_numpy(zero_copy_only=False), values.to_numpy(zero_copy_only=False)
+        bins = np.zeros(len(values), np.int32)
+        for name, bounds in cuts.items():
+            mine = names == name
+            bins[mine] = np.searchsorted(bounds, values[mine], side="right")
+        return pa.array(bins)
 
-    return F.aggregate(steps, state, halve, lambda s: s["lo"])
+    return bin_of
 
 
 def temporal_profile(df: DataFrame) -> DataFrame:
@@ -281,7 +280,5 @@ def detect_epoch_ms(df: DataFrame) -> DataFrame:
 
 
 def _looks_temporal(name: str) -> bool:
-    import re
-
     return re.search(EPOCH_NAME, name) is not None
 

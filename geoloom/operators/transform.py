@@ -14,6 +14,7 @@ from geoloom.functions import coords, kernels, shapes
 from geoloom.layer import BOX, GEOM, GEOMETRY, Layer, geometry, with_box
 from geoloom.operators.filters import simplify_tolerance
 from geoloom.operators.joins import box_pairs
+from geoloom.sources.place import fresh_path
 
 # A buffer's circle has this many segments per quadrant.
 QUADRANT_SEGMENTS = 8
@@ -101,37 +102,25 @@ def buffer_layer(layer: Layer, metres: float) -> Layer:
 
 @F.arrow_udf(GEOMETRY)
 def _grow(geom: pa.Array, distance: pa.Array) -> pa.Array:
-    limits = distance.to_pylist()
-    grown = [_grow_one(geom.slice(i, 1), limits[i]) for i in range(len(geom))]
-    return pa.array(grown, kernels.GEOMETRY_ARROW)
-
-
-def _grow_one(one: pa.Array, distance: float):
     """Union of a capsule around every edge and, for polygons, the polygon itself."""
-    x, y, n_vertices, n_rings, n_parts = kernels.flat_coordinates(one)
-    kind = one.field("kind")[0].as_py()
-    if kind is None:
-        return None
-    turn = np.arange(4 * QUADRANT_SEGMENTS) * (np.pi / (2 * QUADRANT_SEGMENTS))
-    disc = np.column_stack([np.cos(turn), np.sin(turn)]) * distance
-    edges = kernels.edges_of(one)
-    capsules = [
-        kernels.hull(np.concatenate([disc + (x1, y1), disc + (x2, y2)]))
-        for x1, y1, x2, y2 in zip(edges.x1, edges.y1, edges.x2, edges.y2)
-    ]
-    closed = [np.concatenate([c, c[:1]]) for c in capsules]
-    flat = np.concatenate(closed)
-    ones = np.ones(len(closed), np.int64)
-    sizes = np.array([len(c) for c in closed])
-    shapes_ = kernels.rebuild(["Polygon"] * len(closed), flat[:, 0].copy(), flat[:, 1].copy(), sizes, ones, ones)
-    if kind in ("Polygon", "MultiPolygon"):
-        shapes_ = pa.concat_arrays([shapes_, kernels.rebuild([kind], x, y, n_vertices, n_rings, n_parts)])
-    return kernels.united(shapes_)
+    edges = kernels.edges_of(geom)
+    limits = np.asarray(distance.to_pylist(), float)
+    regions, row = kernels.capsules(edges, limits[edges.owner], 4 * QUADRANT_SEGMENTS)
+    filled = np.flatnonzero((edges.dimension == 2) & (edges.count > 0))
+    regions = pa.concat_arrays([regions, geom.take(pa.array(filled)).cast(kernels.GEOMETRY_ARROW)])
+    row = np.concatenate([row, filled])
+    order = np.argsort(row, kind="stable")
+    grown, present = kernels.unite(regions.take(pa.array(order)), row[order])
+    place = np.full(len(geom), -1)
+    place[present] = np.arange(len(present))
+    return grown.take(pa.array(place, mask=place < 0))
 
 
 # Sub-groups per tile between the batch unions and the tile's union.
 FAN_IN = 64
-REGION = "_tile long, _share int, geom struct<kind:string,parts:array<array<array<struct<x:double,y:double>>>>>"
+REGION = T.StructType(
+    [T.StructField("_tile", T.LongType()), T.StructField("_share", T.IntegerType()), T.StructField(GEOM, GEOMETRY)]
+)
 
 
 def tile_unions(layer: Layer) -> Layer:
@@ -148,31 +137,34 @@ def tile_unions(layer: Layer) -> Layer:
     tile = coords.cell_key(level, coords.column_index(x, size), coords.row_index(y, size))
     share = F.pmod(F.xxhash64(GEOM), F.lit(FAN_IN)).cast("int")
     rows = layer.df.select(tile.alias("_tile"), share.alias("_share"), GEOM).dropDuplicates(["_tile", GEOM])
-    rows = rows.mapInArrow(_unite_batches, REGION)
-    rows = rows.groupBy("_tile", "_share").applyInArrow(_unite_group, REGION)
-    rows = rows.groupBy("_tile").applyInArrow(_unite_group, REGION).drop("_share")
-    return Layer(with_box(rows), "_tile", "polygon")
-
-
-def _unite_group(table: pa.Table) -> pa.Table:
-    regions = table["geom"].combine_chunks()
-    merged = regions if len(regions) == 1 else pa.array([kernels.united(regions)], kernels.GEOMETRY_ARROW)
-    first = table.slice(0, 1)
-    return pa.Table.from_arrays(
-        [first["_tile"].combine_chunks(), first["_share"].combine_chunks(), merged.cast(table.schema.field("geom").type)],
-        schema=table.schema,
-    )
+    rows = rows.mapInArrow(_unite_tiles, REGION)
+    for keys in (["_tile", "_share"], ["_tile"]):
+        rows = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_unite_tiles, REGION)
+    return Layer(with_box(rows.drop("_share")), "_tile", "polygon")
 
 
-def _unite_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unite_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unite equal tiles of each batch; when tiles arrive sorted, also across batches, by holding
+    the last tile's union back until the next batch.
+    """
+    held = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
         table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        order = np.argsort(table["_tile"].to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
         tiles = table["_tile"].to_numpy()
-        order = np.argsort(tiles, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(tiles[order])) + 1):
-            yield from _unite_group(table.take(pa.array(rows))).to_batches()
+        dtype = table.schema.field(GEOM).type
+        merged, tiles = kernels.unite(table[GEOM].combine_chunks().cast(kernels.GEOMETRY_ARROW), tiles)
+        shares = table["_share"].to_numpy()[np.searchsorted(table["_tile"].to_numpy(), tiles)]
+        united = pa.Table.from_arrays([pa.array(tiles), pa.array(shares), merged.cast(dtype)], schema=table.schema)
+        yield from united.slice(0, united.num_rows - 1).to_batches()
+        held = united.slice(united.num_rows - 1)
+    if held is not None:
+        yield from held.to_batches()
 
 
 def dissolve_pieces(layer: Layer, **options) -> DataFrame:
@@ -183,7 +175,11 @@ def dissolve_pieces(layer: Layer, **options) -> DataFrame:
     united per tile; every edge of a tile's union then meets the other tiles' unions through the
     spatial join and loses the stretches they cover.
     """
-    tiles = tile_unions(layer)
+    # The unions are read by several steps: write them once.
+    spark = layer.df.sparkSession
+    path = fresh_path(spark, "tile-unions")
+    tile_unions(layer).df.write.parquet(path)
+    tiles = Layer(spark.read.parquet(path), "_tile", "polygon")
     rings = F.transform(
         F.flatten(F.transform(F.col(f"{GEOM}.parts"), _oriented_rings)), lambda ring: _ring_segments(ring)
     )
