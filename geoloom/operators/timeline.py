@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.layer import Layer
-from geoloom.operators.joins import spatial_pairs
+from geoloom.functions import coords
+from geoloom.layer import BOX, Layer
+from geoloom.operators.joins import BROADCAST_BYTES, footprint, spatial_pairs
 
 # Window widths in seconds, and the bounds of a step over a range of time.
 WINDOW_SECONDS = {
@@ -100,6 +101,29 @@ def with_zone(events: Layer, zones: Layer, columns: list[str], **options) -> Dat
     return rows.join(zone, F.col(events.id) == F.col("_eid"), "left").drop("_eid")
 
 
+def with_zone_column(events: Layer, zones: Layer, columns: list[str]) -> DataFrame:
+    """``with_zone`` for streams: a left join of the stream with static rectangles.
+
+    The zones must be boxes that do not overlap and few enough to broadcast (measured), since a
+    stream can be joined from its own side only once.
+    """
+    size = footprint(zones)
+    if not zones.boxes or size.bytes > BROADCAST_BYTES:
+        raise ValueError("zones must be boxes of at most %d bytes" % BROADCAST_BYTES)
+    level = size.levels[-1]
+    x, y = F.col("xmin"), F.col("ymin")
+    cells = zones.df.select(
+        F.col(zones.id).alias("zone"),
+        *[F.col(c).alias(f"_{c}") for c in BOX],
+        F.explode(coords.box_cells(F.lit(level), *[F.col(c) for c in BOX])).alias("_cell"),
+    )
+    rows = events.df.select(*dict.fromkeys([events.id, *columns]), "xmin", "ymin")
+    rows = rows.withColumn("_at", coords.point_cell(level, x, y))
+    inside = (x > F.col("_xmin")) & (x < F.col("_xmax")) & (y > F.col("_ymin")) & (y < F.col("_ymax"))
+    joined = rows.join(F.broadcast(cells), (F.col("_at") == F.col("_cell")) & inside, "left")
+    return joined.select(*dict.fromkeys([events.id, *columns]), "zone")
+
+
 def geofence_events(visits: DataFrame, key: str, ts: str, id: str, chunk: str = "day") -> DataFrame:
     """One row per change of ``zone`` between consecutive events of a key: left_zone, entered_zone.
 

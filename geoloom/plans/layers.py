@@ -103,5 +103,11 @@ def lines(spark: SparkSession, sf_dir: str) -> Layer:
     return line_layer(line_vertices(spark, sf_dir), "line_id", "seq")
 
 
+def event_layer(df: DataFrame) -> Layer:
+    """The events layer over a static or streaming events table."""
+    sql = EVENTS_SQL.replace("FROM events", "FROM {events}")
+    return point_layer(df.sparkSession.sql(sql, events=df), "event_id")
+
+
 def events(spark: SparkSession, sf_dir: str) -> Layer:
-    return point_layer(view(spark, sf_dir, "geo_events", "events"), "event_id")
+    return event_layer(table(spark, sf_dir, "events"))
