@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from geoloom.functions.shapes import let
 from geoloom.layer import PARTS, geometry, vertex
 
 # Geometry kinds by upper-case WKT keyword, and their nesting depth in GeoJSON.
@@ -57,13 +58,18 @@ def parts_from_coordinates(kind: Column, coordinates: Column) -> Column:
 
 def _valid(geom: Column) -> Column:
     """A geometry, or null when any coordinate is missing or it has none."""
-    points = F.flatten(F.flatten(geom["parts"]))
-    broken = F.exists(points, lambda v: v.isNull() | v["x"].isNull() | v["y"].isNull())
-    return F.when(geom["parts"].isNotNull() & (F.size(points) > 0) & ~F.coalesce(broken, F.lit(True)), geom)
+
+    def sound(g):
+        points = F.flatten(F.flatten(g["parts"]))
+        broken = F.exists(points, lambda v: v.isNull() | v["x"].isNull() | v["y"].isNull())
+        return F.when(g["parts"].isNotNull() & (F.size(points) > 0) & ~F.coalesce(broken, F.lit(True)), g)
+
+    return let(geom, sound)
 
 
 def from_geojson(kind: Column, coordinates: Column) -> Column:
-    return _valid(geometry(kind, parts_from_coordinates(kind, coordinates)))
+    member = F.struct(kind.alias("kind"), coordinates.alias("text"))
+    return let(member, lambda m: _valid(geometry(m["kind"], parts_from_coordinates(m["kind"], m["text"]))))
 
 
 def from_wkt(wkt: Column) -> Column:
@@ -84,7 +90,7 @@ def from_wkt(wkt: Column) -> Column:
     ).otherwise(listed)
     # A point's single position carries one bracket pair too many.
     listed = F.when(keyword == "POINT", F.regexp_replace(listed, r"^\[(.*)\]$", "$1")).otherwise(listed)
-    return _valid(geometry(kind, parts_from_coordinates(kind, listed)))
+    return from_geojson(kind, listed)
 
 
 def _position(v: Column, separator: str) -> Column:

@@ -575,7 +575,7 @@ def _questions(spark, sf_dir):
         WHEN regexp_matches(t, 'March \\d+, \\d{{4}}') THEN concat(regexp_extract(t, 'March (\\d+), (\\d{{4}})', 2), '-03-',
           lpad(regexp_extract(t, 'March (\\d+), (\\d{{4}})', 1), 2, '0'), ' 00:00:00') END AS asked_date,
       TRY_CAST(nullif(regexp_extract(t, 'snapshot (\\d+)', 1), '') AS BIGINT) AS snapshot_id,
-      greatest(1, least(100, TRY_CAST(nullif(regexp_extract(t, '(\\d+) rows', 1), '') AS BIGINT))) AS sample_n FROM log""",
+      CASE WHEN regexp_matches(t, '\\d+ rows') THEN greatest(1, least(100, CAST(regexp_extract(t, '(\\d+) rows', 1) AS BIGINT))) END AS sample_n FROM log""",
 )
 def extract(spark, sf_dir):
     labelled = textlog.triage(_questions(spark, sf_dir), "question")
@@ -651,7 +651,17 @@ def default_window(spark, sf_dir):
 
 def _event_stream(spark, sf_dir):
     schema = layers.table(spark, sf_dir, "events").schema
-    return jobs.file_stream(spark, f"{sf_dir}/events*.parquet", schema)
+    return jobs.file_stream(spark, f"{sf_dir}/events*.parquet", schema, event_time="ts")
+
+
+def _wall_windows(found):
+    return found.withColumns(
+        {
+            "window_start": jobs.wall_time("window_start"),
+            "window_end": jobs.wall_time("window_end"),
+            "total": F.round("total", 2),
+        }
+    )
 
 
 @query("o83_sliding_stream", SLIDING_SQL)
@@ -660,7 +670,7 @@ def sliding_stream(spark, sf_dir):
     stream = jobs.sliding_stream(_event_stream(spark, sf_dir), "ts", "day", _aggregates(), "2 days", ["event_type"])
     jobs.run_updates(stream, out, fresh_path(spark, "sliding-checkpoint"))
     found = jobs.latest(spark, out, ["window_start", "window_end", "event_type"])
-    return found.withColumn("total", F.round("total", 2))
+    return _wall_windows(found)
 
 
 @query("o84_ingest_stream", "SELECT 'point' AS family, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
@@ -690,7 +700,7 @@ def zone_counts_stream(spark, sf_dir):
     events = layers.event_layer(_event_stream(spark, sf_dir))
     stream = jobs.live_zone_counts(events, layers.zones(spark, sf_dir), "ts", "day", "value", "2 days")
     jobs.run_updates(stream, out, fresh_path(spark, "zone-counts-checkpoint"))
-    return jobs.latest(spark, out, ["zone_id", "window_start", "window_end"]).withColumn("total", F.round("total", 2))
+    return _wall_windows(jobs.latest(spark, out, ["zone_id", "window_start", "window_end"]))
 
 
 GEOFENCE_SQL = """WITH placed AS (SELECT e.user_id, e.ts, e.event_id, z.zone_id AS zone FROM geo_events e LEFT JOIN geo_zones z
@@ -715,11 +725,11 @@ def geofence_stream(spark, sf_dir):
     out = fresh_path(spark, "geofence")
     events = layers.event_layer(_event_stream(spark, sf_dir))
     visits = timeline.with_zone_column(events, _fenced_zones(spark, sf_dir), ["user_id", "ts"])
-    notices = jobs.geofence_stream(visits, "user_id", "ts", "event_id")
+    notices = jobs.geofence_stream(visits, "user_id", "ts", "event_id", watermark="2 days")
     jobs.run_appends(notices, out, fresh_path(spark, "geofence-checkpoint"))
     return spark.read.parquet(out).select(
         F.col("key").alias("user_id"),
-        F.col("ts").cast("timestamp_ntz").alias("ts"),
+        jobs.wall_time("ts").alias("ts"),
         F.col("id").alias("event_id"),
         "left_zone",
         "entered_zone",

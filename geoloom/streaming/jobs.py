@@ -21,12 +21,31 @@ from geoloom.layer import GEOM, Layer
 from geoloom.operators import timeline
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files that match a path or glob, as they arrive."""
+def file_stream(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    files_per_batch: int | None = None,
+    event_time: str | None = None,
+) -> DataFrame:
+    """Parquet files that match a path or glob, as they arrive. ``event_time`` names a column of
+    wall-clock times to turn into instants, which watermarks need.
+    """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    rows = reader.parquet(path)
+    return rows if event_time is None else rows.withColumn(event_time, instant(event_time))
+
+
+def instant(column: str) -> Column:
+    """A wall-clock time as the instant it names in UTC, whatever the session's zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(column)).cast("timestamp")
+
+
+def wall_time(column: str) -> Column:
+    """An instant as wall-clock time in UTC, whatever the session's zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(column).cast("timestamp_ntz"))
 
 
 def _store_batch(batch: DataFrame, batch_id: int, path: str) -> None:
@@ -132,37 +151,41 @@ def _notices(key, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: i
         return
     rows = pd.concat(list(batches)).sort_values(["ts", "id"])
     seen, last = state.get if state.exists else (False, None)
-    zone = rows["zone"].astype("Int64")
+    zone = rows["zone"].astype("Int64").reset_index(drop=True)
     before = zone.shift(1)
     if seen and last is not None:
         before.iloc[0] = last
-    changed = ~((zone == before).fillna(False) | (zone.isna() & before.isna()))
+    changed = ~((zone == before).fillna(False).astype(bool) | (zone.isna() & before.isna()))
     tail = zone.iloc[-1]
     state.update((True, None if pd.isna(tail) else int(tail)))
-    state.setTimeoutDuration(idle_ms)
-    hit = rows[changed.to_numpy(bool)]
+    newest = int(rows["ts"].max().timestamp() * 1000)
+    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
+    at = changed.to_numpy(bool)
+    hit = rows[at]
     yield pd.DataFrame(
         {
-            "key": [key[0]] * len(hit),
-            "ts": hit["ts"],
-            "id": hit["id"],
-            "left_zone": before[changed.to_numpy(bool)],
-            "entered_zone": zone[changed.to_numpy(bool)],
+            "key": key[0],
+            "ts": hit["ts"].to_numpy(),
+            "id": hit["id"].to_numpy(),
+            "left_zone": before[at].array,
+            "entered_zone": zone[at].array,
         }
     )
 
 
-def geofence_stream(visits: DataFrame, key: str, ts: str, id: str, idle_ms: int = 30 * 86_400_000) -> DataFrame:
+def geofence_stream(
+    visits: DataFrame, key: str, ts: str, id: str, watermark: str, idle_ms: int = 30 * 86_400_000
+) -> DataFrame:
     """Notices when a key enters or leaves a zone; the only state is each key's last zone, dropped
-    after ``idle_ms`` without events. The size of a micro-batch (files per trigger) bounds what one
-    key brings at a time.
+    once the watermark is ``idle_ms`` past its last event. The size of a micro-batch (files per
+    trigger) bounds what one key brings at a time.
     """
     rows = visits.select(
         F.col(key).cast("long").alias("key"),
-        F.col(ts).cast("timestamp").alias("ts"),
+        F.col(ts).alias("ts"),
         F.col(id).cast("long").alias("id"),
         F.col("zone").cast("long").alias("zone"),
-    )
+    ).withWatermark("ts", watermark)
     return rows.groupBy("key").applyInPandasWithState(
-        partial(_notices, idle_ms=idle_ms), NOTICE, LAST_ZONE, "append", GroupStateTimeout.ProcessingTimeTimeout
+        partial(_notices, idle_ms=idle_ms), NOTICE, LAST_ZONE, "append", GroupStateTimeout.EventTimeTimeout
     )
