@@ -85,43 +85,57 @@ def cell_size(level: int) -> float:
     return FINEST_CELL * GRID_FACTOR**level
 
 
-def level_of_extent(extent: Column) -> Column:
+# The grid expressions below are SQL text over column names: they are long, and used many times.
+
+
+def level_of_extent(extent: str) -> str:
     """Finest level whose cells are at least ``extent`` wide (a feature then meets few cells)."""
-    level = F.when(extent <= F.lit(cell_size(0)), F.lit(0))
-    for m in range(1, TOP_LEVEL):
-        level = level.when(extent <= F.lit(cell_size(m)), F.lit(m))
-    return level.otherwise(F.lit(TOP_LEVEL))
+    steps = " ".join(f"WHEN {extent} <= {cell_size(m)!r}D THEN {m}" for m in range(TOP_LEVEL))
+    return f"CASE {steps} ELSE {TOP_LEVEL} END"
+
+
+def level_of_box(prefix: str = "", margin: float = 0.0) -> str:
+    """Level of the box columns ``<prefix>xmin`` ... grown by ``margin`` on every side."""
+    return level_of_extent(
+        f"(greatest({prefix}xmax - {prefix}xmin, {prefix}ymax - {prefix}ymin) + {2 * margin!r}D)"
+    )
+
+
+def size_of_level(level: str | int) -> str:
+    if isinstance(level, int):
+        return f"{cell_size(level)!r}D"
+    sizes = ", ".join(f"{cell_size(m)!r}D" for m in range(TOP_LEVEL + 1))
+    return f"element_at(array({sizes}), {level} + 1)"
 
 
-def column_index(lon: Column, size: float | Column) -> Column:
-    return F.floor((lon + 180.0) / size).cast("long")
+def column_index(lon: str, size: str) -> str:
+    return f"CAST(floor(({lon} + 180D) / {size}) AS BIGINT)"
 
 
-def row_index(lat: Column, size: float | Column) -> Column:
-    return F.floor((lat + 90.0) / size).cast("long")
+def row_index(lat: str, size: str) -> str:
+    return f"CAST(floor(({lat} + 90D) / {size}) AS BIGINT)"
 
 
-def cell_key(level: int | Column, ix: Column, iy: Column) -> Column:
+def cell_key(level: str | int, ix: str, iy: str) -> str:
     """One long per (level, column, row); the offsets keep slightly out-of-range indices positive."""
-    level = F.lit(level) if isinstance(level, int) else level
-    bias = 1 << 23
-    return F.shiftleft(level.cast("long"), 50) + F.shiftleft(ix + bias, 25) + (iy + bias)
+    return f"(shiftleft(CAST({level} AS BIGINT), 50) + shiftleft({ix} + {1 << 23}L, 25) + ({iy} + {1 << 23}L))"
 
 
-def point_cell(level: int, lon: Column, lat: Column) -> Column:
-    size = cell_size(level)
-    return cell_key(level, column_index(lon, size), row_index(lat, size))
+def level_of_cell(cell: str) -> str:
+    return f"CAST(shiftright({cell}, 50) AS INT)"
 
 
-def size_of_level(level: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(cell_size(m)) for m in range(TOP_LEVEL + 1)]), level + 1)
+def point_cell(level: str | int, lon: str, lat: str) -> str:
+    size = size_of_level(level)
+    return cell_key(level, column_index(lon, size), row_index(lat, size))
 
 
-def box_cells(level: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+def box_cells(level: str | int, xmin: str, ymin: str, xmax: str, ymax: str) -> str:
     """Array of the keys of the cells a box meets at ``level``."""
     size = size_of_level(level)
-    columns = F.sequence(column_index(xmin, size), column_index(xmax, size))
-    rows = F.sequence(row_index(ymin, size), row_index(ymax, size))
-    return F.flatten(
-        F.transform(columns, lambda ix: F.transform(rows, lambda iy: cell_key(level, ix, iy)))
-    )
+    columns = f"sequence({column_index(xmin, size)}, {column_index(xmax, size)})"
+    rows = f"sequence({row_index(ymin, size)}, {row_index(ymax, size)})"
+    return f"flatten(transform({columns}, ix -> transform({rows}, iy -> {cell_key(level, 'ix', 'iy')})))"
+
+
+CENTRE = ("((xmin + xmax) / 2)", "((ymin + ymax) / 2)")

@@ -34,17 +34,12 @@ class Footprint:
     levels: tuple[int, ...]
 
 
-def _level(margin: float) -> Column:
-    width = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
-    return coords.level_of_extent(width + F.lit(2 * margin))
-
-
 def footprint(layer: Layer, margin: float = 0.0) -> Footprint:
     """Measure a layer: at most ten rows reach the driver, whatever the layer's size."""
     simple = layer.family == "point" or layer.boxes
     size = F.lit(1) if simple else shapes.n_points(F.col(GEOM))
     found = (
-        layer.df.select(_level(margin).alias("level"), size.alias("size"))
+        layer.df.select(F.expr(coords.level_of_box("", margin)).alias("level"), size.alias("size"))
         .groupBy("level")
         .agg(F.count("*").alias("rows"), F.sum("size").alias("vertices"))
         .collect()
@@ -62,31 +57,26 @@ def _prefixed(layer: Layer, prefix: str, columns: list[str]) -> DataFrame:
     )
 
 
-def _to_cells(df: DataFrame, prefix: str, margin: float, own: Column, levels, is_point: bool) -> DataFrame:
+def _to_cells(df: DataFrame, prefix: str, margin: float, levels, is_point: bool) -> DataFrame:
     """One row per (feature, level, cell): the feature's own level and every coarser one in
     ``levels``, where it may meet features too large for its own.
     """
-    x0, y0, x1, y1 = (F.col(f"{prefix}_{c}") for c in BOX)
+    x0, y0, x1, y1 = (f"{prefix}_{c}" for c in BOX)
     if is_point:
         keys = [coords.point_cell(m, x0, y0) for m in levels]
-        key = keys[0] if len(keys) == 1 else F.explode(F.array(*keys))
+        key = F.expr(keys[0] if len(keys) == 1 else f"explode(array({', '.join(keys)}))")
         return df.withColumns({"_cell": key, f"{prefix}_own": F.lit(True)})
-    df = df.withColumn(f"{prefix}_level", own)
-    mine = F.col(f"{prefix}_level")
-    coarser = F.filter(F.array(*[F.lit(m) for m in levels]).cast("array<int>"), lambda m: m > mine)
-    spots = F.flatten(
-        F.transform(
-            F.concat(F.array(mine), coarser),
-            lambda m: F.transform(
-                coords.box_cells(m, x0 - margin, y0 - margin, x1 + margin, y1 + margin),
-                lambda c: F.struct(c.alias("cell"), (m == mine).alias("own")),
-            ),
-        )
-    )
-    df = df.withColumn("_spot", F.explode(spots))
-    return df.withColumns({"_cell": F.col("_spot.cell"), f"{prefix}_own": F.col("_spot.own")}).drop(
-        "_spot", f"{prefix}_level"
+    mine = f"{prefix}_level"
+    df = df.withColumn(mine, F.expr(coords.level_of_box(f"{prefix}_", margin)))
+    listed = ", ".join(str(m) for m in levels)
+    m = f"{margin!r}D"
+    cells = coords.box_cells("m", f"({x0} - {m})", f"({y0} - {m})", f"({x1} + {m})", f"({y1} + {m})")
+    spots = (
+        f"explode(flatten(transform(concat(array({mine}), filter(array({listed}), m -> m > {mine})), "
+        f"m -> transform({cells}, c -> struct(c AS cell, m = {mine} AS own)))))"
     )
+    df = df.withColumn("_spot", F.expr(spots))
+    return df.withColumns({"_cell": F.col("_spot.cell"), f"{prefix}_own": F.col("_spot.own")}).drop("_spot", mine)
 
 
 def box_pairs(
@@ -113,8 +103,8 @@ def box_pairs(
     if not levels:
         levels = (0,)
 
-    lhs = _to_cells(_prefixed(left, "l_", left_columns), "l_", margin, _margin_level("l_", margin), levels, left_point)
-    rhs = _to_cells(_prefixed(right, "r_", right_columns), "r_", 0.0, _margin_level("r_", 0.0), levels, False)
+    lhs = _to_cells(_prefixed(left, "l_", left_columns), "l_", margin, levels, left_point)
+    rhs = _to_cells(_prefixed(right, "r_", right_columns), "r_", 0.0, levels, False)
     if left_point:
         rhs = rhs.filter(F.col("r__own"))
 
@@ -127,31 +117,17 @@ def box_pairs(
         pairs = spread_join(
             lhs, rhs, "_cell", F.xxhash64(f"l_{left.id}"), F.xxhash64(f"r_{right.id}"), **options
         )
-    m = F.lit(margin)
-    meet = (
-        (F.col("l__xmin") - m <= F.col("r__xmax"))
-        & (F.col("l__xmax") + m >= F.col("r__xmin"))
-        & (F.col("l__ymin") - m <= F.col("r__ymax"))
-        & (F.col("l__ymax") + m >= F.col("r__ymin"))
+    m = f"{margin!r}D"
+    pairs = pairs.filter(
+        f"l__xmin - {m} <= r__xmax AND l__xmax + {m} >= r__xmin AND l__ymin - {m} <= r__ymax "
+        f"AND l__ymax + {m} >= r__ymin AND (l__own OR r__own)"
     )
-    pairs = pairs.filter(meet & (F.col("l__own") | F.col("r__own")))
     if not left_point:
-        level = F.shiftright(F.col("_cell"), 50).cast("int")
-        size = coords.size_of_level(level)
-        corner_x = F.greatest(F.col("l__xmin") - m, F.col("r__xmin"))
-        corner_y = F.greatest(F.col("l__ymin") - m, F.col("r__ymin"))
-        home = coords.cell_key(level, coords.column_index(corner_x, size), coords.row_index(corner_y, size))
-        pairs = pairs.filter(F.col("_cell") == home)
+        corner = f"greatest(l__xmin - {m}, r__xmin)", f"greatest(l__ymin - {m}, r__ymin)"
+        pairs = pairs.filter(f"_cell = {coords.point_cell(coords.level_of_cell('_cell'), *corner)}")
     return pairs.drop("_cell", "l__own", "r__own")
 
 
-def _margin_level(prefix: str, margin: float) -> Column:
-    width = F.greatest(
-        F.col(f"{prefix}_xmax") - F.col(f"{prefix}_xmin"), F.col(f"{prefix}_ymax") - F.col(f"{prefix}_ymin")
-    )
-    return coords.level_of_extent(width + F.lit(2 * margin))
-
-
 def _box(prefix: str):
     return tuple(F.col(f"{prefix}_{c}") for c in BOX)
 

@@ -99,6 +99,10 @@ def _written(df: DataFrame) -> DataFrame:
 ROOT_CELLS = 4
 
 
+# Index of the cell one level up.
+PARENT = f"CAST(floor({{}} / {coords.GRID_FACTOR}) AS BIGINT)"
+
+
 def _pyramid(right: Layer, k: int) -> tuple[list[DataFrame], list[int], list[int], bool]:
     """Occupied cells per grid level with their count and the tight box of their features.
 
@@ -107,7 +111,6 @@ def _pyramid(right: Layer, k: int) -> tuple[list[DataFrame], list[int], list[int
     whether the layer itself is small enough to broadcast.
     """
     features = right.df
-    x, y = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
     simple = right.family == "point" or right.boxes
     n_vertices = F.lit(1) if simple else shapes.n_points(F.col(GEOM))
     # Which levels are worth walking: one pass without a shuffle. The counts only steer the walk.
@@ -115,14 +118,9 @@ def _pyramid(right: Layer, k: int) -> tuple[list[DataFrame], list[int], list[int
         F.count("*").alias("rows"),
         F.sum(n_vertices).alias("vertices"),
         *[
-            F.hll_sketch_estimate(
-                F.hll_sketch_agg(
-                    coords.cell_key(
-                        m, coords.column_index(x, coords.cell_size(m)), coords.row_index(y, coords.cell_size(m))
-                    ),
-                    F.lit(12),
-                )
-            ).alias(f"level{m}")
+            F.expr(f"hll_sketch_estimate(hll_sketch_agg({coords.point_cell(m, *coords.CENTRE)}, 12))").alias(
+                f"level{m}"
+            )
             for m in range(coords.TOP_LEVEL + 1)
         ],
     ).first()
@@ -133,32 +131,25 @@ def _pyramid(right: Layer, k: int) -> tuple[list[DataFrame], list[int], list[int
     fine = [m for m, n in enumerate(occupied) if rows <= n * FEATURES_PER_CELL * max(1, k)]
     stop = min(max(fine, default=0), start)
     tight = [
-        F.sum("n").alias("n"),
-        F.min("x0").alias("x0"),
-        F.min("y0").alias("y0"),
-        F.max("x1").alias("x1"),
-        F.max("y1").alias("y1"),
+        F.expr(f"{f}({c}) AS {c}") for f, c in (("sum", "n"), ("min", "x0"), ("min", "y0"), ("max", "x1"), ("max", "y1"))
     ]
-    size = coords.cell_size(stop)
+    size = coords.size_of_level(stop)
     table = (
-        features.select(
-            coords.column_index(x, size).alias("ix"),
-            coords.row_index(y, size).alias("iy"),
-            F.lit(1).alias("n"),
-            F.col("xmin").alias("x0"),
-            F.col("ymin").alias("y0"),
-            F.col("xmax").alias("x1"),
-            F.col("ymax").alias("y1"),
+        features.selectExpr(
+            f"{coords.column_index(coords.CENTRE[0], size)} AS ix",
+            f"{coords.row_index(coords.CENTRE[1], size)} AS iy",
+            "1 AS n",
+            "xmin AS x0",
+            "ymin AS y0",
+            "xmax AS x1",
+            "ymax AS y1",
         )
         .groupBy("ix", "iy")
         .agg(*tight)
     )
     tables = {stop: table}
     for m in range(stop + 1, start + 1):
-        table = table.groupBy(
-            F.floor(F.col("ix") / coords.GRID_FACTOR).cast("long").alias("ix"),
-            F.floor(F.col("iy") / coords.GRID_FACTOR).cast("long").alias("iy"),
-        ).agg(*tight)
+        table = table.groupBy(F.expr(f"{PARENT.format('ix')} AS ix"), F.expr(f"{PARENT.format('iy')} AS iy")).agg(*tight)
         tables[m] = table
     chosen = list(range(start, stop - 1, -1))
     size = rows * BYTES_PER_ROW + (counts["vertices"] or 0) * BYTES_PER_VERTEX
@@ -199,21 +190,21 @@ def nearest_join(
     options = {} if rows_per_share is None else {"rows_per_share": rows_per_share}
     frontier = None
     for table, level, n_cells in zip(tables, levels, occupied):
+        parent = coords.cell_key(level + 1, PARENT.format("ix"), PARENT.format("iy"))
         cells = table.select(
-            coords.cell_key(level, F.col("ix"), F.col("iy")).alias("_here"),
-            F.floor(F.col("ix") / coords.GRID_FACTOR).cast("long").alias("_px"),
-            F.floor(F.col("iy") / coords.GRID_FACTOR).cast("long").alias("_py"),
+            F.expr(f"{coords.cell_key(level, 'ix', 'iy')} AS _here"),
+            F.expr(f"{parent} AS _cell"),
             "n",
             flat[0](F.col("x0")).alias("x0"),
             flat[1](F.col("y0")).alias("y0"),
             flat[0](F.col("x1")).alias("x1"),
             flat[1](F.col("y1")).alias("y1"),
-        ).withColumn("_cell", coords.cell_key(level + 1, F.col("_px"), F.col("_py")))
+        )
         if frontier is None:
             # At most ROOT_CELLS parents of GRID_FACTOR**2 cells each: small enough for literals.
             roots = [
                 F.struct(*[F.lit(v).alias(c) for c, v in row.asDict().items()])
-                for row in cells.drop("_cell", "_px", "_py").collect()
+                for row in cells.drop("_cell").collect()
             ]
             if not roots:
                 return _no_hits(left, right, left_columns, right_columns)
@@ -227,12 +218,7 @@ def nearest_join(
             )
         frontier = _still_possible(reached, px, py, k).select("_id", "_cx", "_cy", F.col("_here").alias("_cell"))
 
-    last = levels[-1] if levels else 0
-    size = coords.cell_size(last)
-    x, y = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
-    targets = right.df.withColumn(
-        "_cell", coords.cell_key(last, coords.column_index(x, size), coords.row_index(y, size))
-    )
+    targets = right.df.withColumn("_cell", F.expr(coords.point_cell(levels[-1], *coords.CENTRE)))
     carried = [F.col(right.id).alias("_rid"), *[F.col(c).alias(f"right_{c}") for c in right_columns]]
     if right.family == "point":
         # Of features on one spot only the k lowest ids can be among the k nearest; Spark applies

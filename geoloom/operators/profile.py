@@ -5,8 +5,6 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,108 +77,122 @@ def geometry_kinds(layers: dict[str, Layer]) -> DataFrame:
 def column_stats(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """Per numeric column: min, max, mean, sample stddev, quartiles, distinct values.
 
-    The columns are turned into rows (column_name, value) and aggregated in one shuffle of partial
-    results. Quartiles are exact (interpolated) from per-value counts, so a value that fills the
-    column is one counted entry; ``approximate`` replaces them and the distinct count by sketches.
+    Quartiles are exact (interpolated): a sketch first brackets each rank within a guaranteed error,
+    and only the values inside the brackets are counted and ordered. ``approximate`` takes the
+    sketches' answers as they are.
     """
-    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns]
-    long = df.select(F.explode(F.array(*pairs)).alias("e")).select("e.*").filter("value IS NOT NULL")
+    values = [F.col(c).cast("double") for c in columns]
     if approximate:
-        quartiles = F.percentile_approx("value", [0.25, 0.5, 0.75])
-        return long.groupBy("column_name").agg(
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("stddev"),
-            quartiles[0].alias("q25"),
-            quartiles[1].alias("median"),
-            quartiles[2].alias("q75"),
-            F.approx_count_distinct("value").alias("distinct_count"),
+        return _stats_rows(
+            df.agg(*_moments(columns, values, "approx_count_distinct"), *_sketches(columns, values, QUARTILES)), columns
         )
-    values = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    return _quartiles(long, values).join(_moments(long), "column_name")
-
-
-def _moments(long: DataFrame) -> DataFrame:
-    return long.groupBy("column_name").agg(
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("stddev"),
+    margin = 3.0 / SKETCH_ACCURACY
+    bounds = [min(max(q + d, 0.0), 1.0) for q in QUARTILES for d in (-margin, margin)]
+    facts = df.agg(*_sketches(columns, values, bounds)).first()  # six numbers per column
+    brackets = {
+        c: [(facts[c][2 * i], facts[c][2 * i + 1]) for i in range(len(QUARTILES))]
+        for c in columns
+        if facts[c] is not None
+    }
+    below = df.agg(
+        *_moments(columns, values, None),
+        *[
+            F.array(*[F.count_if(v < F.lit(lo)) for lo, _ in brackets[c]]).alias(f"{c}.below")
+            for c, v in zip(columns, values)
+            if c in brackets
+        ],
     )
+    inside = [
+        F.when(
+            (v >= F.lit(lo)) & (v <= F.lit(hi)),
+            F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("quartile"), v.alias("value")),
+        )
+        for c, v in zip(columns, values)
+        if c in brackets
+        for i, (lo, hi) in enumerate(brackets[c])
+    ]
+    near = df.select(F.explode(F.array_compact(F.array(*inside))).alias("e")).select("e.*")
+    near = near.groupBy("column_name", "quartile", "value").agg(F.count("*").alias("n"))
+    long = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), v.alias("value")) for c, v in zip(columns, values)])).alias("e")
+    )
+    distinct = (
+        long.select("e.*").filter("value IS NOT NULL").distinct().groupBy("column_name").agg(F.count("*").alias("distinct_count"))
+    )
+    stats = _stats_rows(below, columns).join(distinct, "column_name", "left")
+    return _pick_quartiles(near, stats).drop("below", "n")
+
+
+# Fixed value: the ranks reported.
+QUARTILES = (0.25, 0.5, 0.75)
+# A sketch's rank error is at most the row count divided by this.
+SKETCH_ACCURACY = 2000
+
+
+def _moments(columns, values, distinct: str | None):
+    counted = [getattr(F, distinct)(v).alias(f"{c}.distinct_count") for c, v in zip(columns, values)] if distinct else []
+    return counted + [
+        f.alias(f"{c}.{name}")
+        for c, v in zip(columns, values)
+        for name, f in (
+            ("n", F.count(v)),
+            ("min", F.min(v)),
+            ("max", F.max(v)),
+            ("mean", F.avg(v)),
+            ("stddev", F.stddev_samp(v)),
+        )
+    ]
 
 
-# Exact quartiles split the values of a column into this many ordered bins.
-QUANTILE_BINS = 256
-
+def _sketches(columns, values, probes):
+    return [
+        F.percentile_approx(v, list(probes), SKETCH_ACCURACY).alias(c) for c, v in zip(columns, values)
+    ]
 
-def _quartiles(long: DataFrame, values: DataFrame) -> DataFrame:
-    """Exact interpolated quartiles from (column_name, value, n), without sorting a column whole.
 
-    Values fall into bins of about equal depth; the bins' counts say which bins hold the wanted
-    ranks, and only those bins are ordered.
-    """
-    probes = [i / QUANTILE_BINS for i in range(1, QUANTILE_BINS)]
-    sketched = long.groupBy("column_name").agg(F.percentile_approx("value", probes, 10 * QUANTILE_BINS).alias("cuts"))
-    # QUANTILE_BINS numbers per column.
-    cuts = {r["column_name"]: sorted(set(r["cuts"])) for r in sketched.collect()}
-    binned = values.withColumn("bin", _bin_of(cuts)(F.col("column_name"), F.col("value")))
-    depth = binned.groupBy("column_name", "bin").agg(F.sum("n").alias("bin_n"), F.count("*").alias("bin_distinct"))
-    by_column = Window.partitionBy("column_name").orderBy("bin")
-    depth = depth.withColumns(
-        {
-            "before": F.sum("bin_n").over(by_column) - F.col("bin_n"),
-            "total": F.sum("bin_n").over(Window.partitionBy("column_name")),
-            "distinct_count": F.sum("bin_distinct").over(Window.partitionBy("column_name")),
-        }
-    )
-    ranks = F.array(*[_rank(p, f) for p in (0.25, 0.5, 0.75) for f in (F.floor, F.ceil)])
-    wanted = depth.withColumn("ranks", ranks).filter(
-        F.exists("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("bin_n")))
-    )
-    inside = binned.join(F.broadcast(wanted), ["column_name", "bin"])  # at most 6 bins per column
-    order = Window.partitionBy("column_name", "bin").orderBy("value")
-    inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(order))
+def _stats_rows(wide: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per column from the single row of ``<column>.<fact>`` values."""
+    names = set(wide.columns)
+
+    def fact(c, name, empty):
+        return (F.col(f"`{c}.{name}`") if f"{c}.{name}" in names else F.lit(None).cast(empty)).alias(name)
+
+    rows = []
+    for c in columns:
+        cells = [F.lit(c).alias("column_name"), fact(c, "n", "long")]
+        cells += [fact(c, m, "double") for m in ("min", "max", "mean", "stddev")]
+        if c in names:
+            cells += [F.col(f"`{c}`")[i].alias(q) for i, q in enumerate(("q25", "median", "q75"))]
+            cells.append(fact(c, "distinct_count", "long"))
+        else:
+            cells.append(fact(c, "below", "array<bigint>"))
+        rows.append(F.struct(*cells))
+    stacked = wide.select(F.inline(F.array(*rows)))
+    return stacked.drop("n") if "q25" in stacked.columns else stacked
+
+
+def _pick_quartiles(near: DataFrame, stats: DataFrame) -> DataFrame:
+    """The values at the wanted ranks, counted from the rows below each bracket."""
+    names = ("q25", "median", "q75")
+    facts = stats.select("column_name", F.col("n").alias("total"), "below")  # one row per column
+    ranked = near.join(F.broadcast(facts), "column_name")
+    order = Window.partitionBy("column_name", "quartile").orderBy("value")
+    ranked = ranked.withColumn("upto", F.col("below")[F.col("quartile")] + F.sum("n").over(order))
+    position = (F.col("total") - 1) * F.element_at(F.array(*[F.lit(q) for q in QUARTILES]), F.col("quartile") + 1)
 
     def at(rank):
-        covers = (rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto"))
-        return F.max(F.when(covers, F.col("value")))
+        return F.max(F.when((rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto")), F.col("value")))
 
-    picks = [at(F.col("ranks")[i]).alias(f"r{i}") for i in range(6)]
-    found = inside.groupBy("column_name").agg(
-        *picks, F.max("total").alias("total"), F.max("distinct_count").alias("distinct_count")
+    ranked = ranked.withColumn("position", position)
+    found = ranked.groupBy("column_name", "quartile").agg(
+        at(F.floor("position")).alias("low"), at(F.ceil("position")).alias("high"), F.first("position").alias("position")
     )
-
-    def quantile(p, i):
-        position = (F.col("total") - 1) * F.lit(p)
-        low, high = F.col(f"r{i}"), F.col(f"r{i + 1}")
-        return low + (high - low) * (position - F.floor(position))
-
-    return found.select(
-        "column_name",
-        quantile(0.25, 0).alias("q25"),
-        quantile(0.5, 2).alias("median"),
-        quantile(0.75, 4).alias("q75"),
-        "distinct_count",
+    share = F.col("position") - F.floor("position")
+    found = found.withColumn("q", F.col("low") + (F.col("high") - F.col("low")) * share)
+    wide = found.groupBy("column_name").agg(
+        *[F.max(F.when(F.col("quartile") == i, F.col("q"))).alias(n) for i, n in enumerate(names)]
     )
-
-
-def _rank(p: float, rounding):
-    return rounding((F.col("total") - 1) * F.lit(p)).cast("long")
-
-
-def _bin_of(cuts: dict[str, list[float]]):
-    """Arrow function: how many of a column's cuts are at or below a value."""
-    @F.arrow_udf(T.IntegerType())
-    def bin_of(names: pa.Array, values: pa.Array) -> pa.Array:
-        names, values = names.to_numpy(zero_copy_only=False), values.to_numpy(zero_copy_only=False)
-        bins = np.zeros(len(values), np.int32)
-        for name, bounds in cuts.items():
-            mine = names == name
-            bins[mine] = np.searchsorted(bounds, values[mine], side="right")
-        return pa.array(bins)
-
-    return bin_of
+    return stats.join(wide, "column_name", "left")
 
 
 def temporal_profile(df: DataFrame) -> DataFrame:

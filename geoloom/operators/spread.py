@@ -17,11 +17,11 @@ def _hot_keys(df: DataFrame, key: str, rows_per_share: int, name: str) -> DataFr
     A key is hot above max(rows_per_share, total / MAX_HOT_KEYS) rows, so there are at most
     MAX_HOT_KEYS of them and the list can be broadcast.
     """
-    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"), F.lit(1).alias("_one"))
+    total = counts.agg(F.sum("_n").alias("_total"), F.lit(1).alias("_one"))
     bar = F.greatest(F.lit(rows_per_share), F.ceil(F.col("_total") / F.lit(MAX_HOT_KEYS)))
     return (
-        counts.crossJoin(F.broadcast(total))  # one row
+        counts.join(F.broadcast(total), "_one")  # one row
         .filter(F.col("_n") > bar)
         .select(key, F.ceil(F.col("_n") / bar).cast("int").alias(name))
     )

@@ -115,10 +115,10 @@ def with_zone_column(events: Layer, zones: Layer, columns: list[str]) -> DataFra
     cells = zones.df.select(
         F.col(zones.id).alias("zone"),
         *[F.col(c).alias(f"_{c}") for c in BOX],
-        F.explode(coords.box_cells(F.lit(level), *[F.col(c) for c in BOX])).alias("_cell"),
+        F.expr(f"explode({coords.box_cells(level, *BOX)}) AS _cell"),
     )
     rows = events.df.select(*dict.fromkeys([events.id, *columns]), "xmin", "ymin")
-    rows = rows.withColumn("_at", coords.point_cell(level, x, y))
+    rows = rows.withColumn("_at", F.expr(coords.point_cell(level, "xmin", "ymin")))
     inside = (x > F.col("_xmin")) & (x < F.col("_xmax")) & (y > F.col("_ymin")) & (y < F.col("_ymax"))
     joined = rows.join(F.broadcast(cells), (F.col("_at") == F.col("_cell")) & inside, "left")
     return joined.select(*dict.fromkeys([events.id, *columns]), "zone")

@@ -130,11 +130,7 @@ def tile_unions(layer: Layer) -> Layer:
     Unions of unions are unions: every Arrow batch first unites what it holds of a tile, then
     ``FAN_IN`` sub-groups per tile do, so no task needs a whole tile. Equal polygons count once.
     """
-    x, y = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
-    extent = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
-    level = coords.level_of_extent(extent)
-    size = coords.size_of_level(level)
-    tile = coords.cell_key(level, coords.column_index(x, size), coords.row_index(y, size))
+    tile = F.expr(coords.point_cell(f"({coords.level_of_box()})", *coords.CENTRE))
     share = F.pmod(F.xxhash64(GEOM), F.lit(FAN_IN)).cast("int")
     rows = layer.df.select(tile.alias("_tile"), share.alias("_share"), GEOM).dropDuplicates(["_tile", GEOM])
     rows = rows.mapInArrow(_unite_tiles, REGION)

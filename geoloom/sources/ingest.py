@@ -240,7 +240,6 @@ def write_clustered(layer: Layer, path: str, level: int = 4, partitions: int | N
     """
     from geoloom.functions import coords
 
-    x, y = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
-    rows = layer.df.withColumn("cell", coords.point_cell(level, x, y))
+    rows = layer.df.withColumn("cell", F.expr(coords.point_cell(level, *coords.CENTRE)))
     rows = rows.repartitionByRange(partitions, "cell", layer.id) if partitions else rows.repartitionByRange("cell", layer.id)
     rows.sortWithinPartitions("cell", layer.id).write.mode("error").parquet(path)
