@@ -171,8 +171,8 @@ SQUARE_METRES_PER_ACRE = 4046.86
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Number with a fixed count of decimals and no grouping."""
-    return F.format_string(f"%.{digits}f", value)
+    """Number with a fixed count of decimals and no grouping; null stays null."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
 
 
 def display_distance(metres: Column) -> Column:

@@ -7,24 +7,16 @@ from pyspark.sql import functions as F
 
 # A task should not receive more rows of one key than this from either side.
 ROWS_PER_SHARE = 200_000
-# The list of hot keys of one side never grows beyond this, whatever the table size.
+# At most this many keys of a side are split, the largest ones. Any other key is then no larger than
+# a 1/MAX_HOT_KEYS part of the table, and is joined unsplit.
 MAX_HOT_KEYS = 10_000
 
 
 def _hot_keys(df: DataFrame, key: str, rows_per_share: int, name: str) -> DataFrame:
-    """Keys with more rows than a share and the number of shares they need.
-
-    A key is hot above max(rows_per_share, total / MAX_HOT_KEYS) rows, so there are at most
-    MAX_HOT_KEYS of them and the list can be broadcast.
-    """
-    counts = df.groupBy(key).agg(F.count("*").alias("_n"), F.lit(1).alias("_one"))
-    total = counts.agg(F.sum("_n").alias("_total"), F.lit(1).alias("_one"))
-    bar = F.greatest(F.lit(rows_per_share), F.ceil(F.col("_total") / F.lit(MAX_HOT_KEYS)))
-    return (
-        counts.join(F.broadcast(total), "_one")  # one row
-        .filter(F.col("_n") > bar)
-        .select(key, F.ceil(F.col("_n") / bar).cast("int").alias(name))
-    )
+    """The largest keys with more rows than a share, and the number of shares they need."""
+    counts = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows_per_share)
+    largest = counts.orderBy(F.col("_n").desc(), key).limit(MAX_HOT_KEYS)
+    return largest.select(key, F.ceil(F.col("_n") / rows_per_share).cast("int").alias(name))
 
 
 def spread_join(
