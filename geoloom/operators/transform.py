@@ -132,10 +132,13 @@ def tile_unions(layer: Layer) -> Layer:
     """
     tile = F.expr(coords.point_cell(f"({coords.level_of_box()})", *coords.CENTRE))
     share = F.pmod(F.xxhash64(GEOM), F.lit(FAN_IN)).cast("int")
-    rows = layer.df.select(tile.alias("_tile"), share.alias("_share"), GEOM).dropDuplicates(["_tile", GEOM])
+    # Few bytes but much arithmetic: the number of partitions must not follow the bytes.
+    partitions = int(layer.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = layer.df.select(tile.alias("_tile"), share.alias("_share"), GEOM)
+    rows = rows.repartition(partitions, "_tile", GEOM).dropDuplicates(["_tile", GEOM])
     rows = rows.mapInArrow(_unite_tiles, REGION)
     for keys in (["_tile", "_share"], ["_tile"]):
-        rows = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_unite_tiles, REGION)
+        rows = rows.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(_unite_tiles, REGION)
     return Layer(with_box(rows.drop("_share")), "_tile", "polygon")
 
 
