@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoloom.functions import coords, kernels, shapes
 from geoloom.layer import BOX, GEOM, Layer
@@ -19,10 +20,12 @@ from geoloom.operators.spread import spread_join
 
 PREDICATES = ("intersects", "contains", "within", "crosses", "touches", "overlaps", "dwithin")
 
-# A side is broadcast only when its measured size stays below this many bytes.
-BROADCAST_BYTES = 48 << 20
+# A side is broadcast only when its measured size, times the copies its cells can make of it, stays
+# below this many bytes.
+BROADCAST_BYTES = 128 << 20
 BYTES_PER_VERTEX = 48
 BYTES_PER_ROW = 160
+CELLS_PER_LEVEL = 4
 
 
 @dataclass(frozen=True)
@@ -34,21 +37,31 @@ class Footprint:
     levels: tuple[int, ...]
 
 
-def footprint(layer: Layer, margin: float = 0.0) -> Footprint:
-    """Measure a layer: at most ten rows reach the driver, whatever the layer's size."""
+def footprint(layer: Layer, margin: float = 0.0, columns: list[str] | None = None) -> Footprint:
+    """Measure a layer with the given attributes: at most ten rows reach the driver, whatever the
+    layer's size. Text and nested attributes count with their actual length.
+    """
     simple = layer.family == "point" or layer.boxes
     size = F.lit(1) if simple else shapes.n_points(F.col(GEOM))
+    wide = [c for c in columns or [] if not isinstance(layer.df.schema[c].dataType, FIXED_WIDTH)]
+    text = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in wide), F.lit(0))
     found = (
-        layer.df.select(F.expr(coords.level_of_box("", margin)).alias("level"), size.alias("size"))
+        layer.df.select(
+            F.expr(coords.level_of_box("", margin)).alias("level"), size.alias("size"), text.alias("text")
+        )
         .groupBy("level")
-        .agg(F.count("*").alias("rows"), F.sum("size").alias("vertices"))
+        .agg(F.count("*").alias("rows"), F.sum("size").alias("vertices"), F.sum("text").alias("text"))
         .collect()
     )
     rows = sum(r["rows"] for r in found)
-    bytes_ = rows * BYTES_PER_ROW + BYTES_PER_VERTEX * sum(r["vertices"] for r in found)
+    fixed = BYTES_PER_ROW + 8 * len(columns or [])
+    bytes_ = rows * fixed + sum(BYTES_PER_VERTEX * r["vertices"] + r["text"] for r in found)
     return Footprint(rows, bytes_, tuple(sorted(r["level"] for r in found)))
 
 
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def _prefixed(layer: Layer, prefix: str, columns: list[str]) -> DataFrame:
     keep = list(dict.fromkeys([layer.id, *columns]))
     shape = [c for c in (GEOM, *BOX) if c in layer.df.columns]
@@ -57,26 +70,35 @@ def _prefixed(layer: Layer, prefix: str, columns: list[str]) -> DataFrame:
     )
 
 
-def _to_cells(df: DataFrame, prefix: str, margin: float, levels, is_point: bool) -> DataFrame:
-    """One row per (feature, level, cell): the feature's own level and every coarser one in
-    ``levels``, where it may meet features too large for its own.
+def _point_cells(df: DataFrame, prefix: str, levels) -> DataFrame:
+    """Points: one row per grid level on which they may meet something."""
+    keys = [coords.point_cell(m, f"{prefix}_xmin", f"{prefix}_ymin") for m in levels]
+    cell = keys[0] if len(keys) == 1 else f"explode(array({', '.join(keys)}))"
+    return df.select("*", F.expr(f"{cell} AS _cell"))
+
+
+def _own_cells(df: DataFrame, prefix: str) -> DataFrame:
+    """One row per cell a feature meets on its own level."""
+    cells = coords.box_cells(f"{prefix}_level", *[f"{prefix}_{c}" for c in BOX])
+    return df.select("*", F.expr(f"{coords.level_of_box(f'{prefix}_')} AS {prefix}_level")).select(
+        "*", F.expr(f"explode({cells}) AS _cell")
+    )
+
+
+def _cells(df: DataFrame, prefix: str, margin: float, levels) -> DataFrame:
+    """One row per (feature, level, cell): the feature's own level (``own``) and every coarser one
+    in ``levels``, where it may meet features too large for its own.
     """
     x0, y0, x1, y1 = (f"{prefix}_{c}" for c in BOX)
-    if is_point:
-        keys = [coords.point_cell(m, x0, y0) for m in levels]
-        key = F.expr(keys[0] if len(keys) == 1 else f"explode(array({', '.join(keys)}))")
-        return df.withColumns({"_cell": key, f"{prefix}_own": F.lit(True)})
-    mine = f"{prefix}_level"
-    df = df.withColumn(mine, F.expr(coords.level_of_box(f"{prefix}_", margin)))
-    listed = ", ".join(str(m) for m in levels)
-    m = f"{margin!r}D"
+    mine, m = f"{prefix}_level", f"{margin!r}D"
+    listed = ", ".join(str(level) for level in levels)
     cells = coords.box_cells("m", f"({x0} - {m})", f"({y0} - {m})", f"({x1} + {m})", f"({y1} + {m})")
     spots = (
-        f"explode(flatten(transform(concat(array({mine}), filter(array({listed}), m -> m > {mine})), "
-        f"m -> transform({cells}, c -> struct(c AS cell, m = {mine} AS own)))))"
+        f"inline(flatten(transform(concat(array({mine}), filter(array({listed}), m -> m > {mine})), "
+        f"m -> transform({cells}, c -> struct(c AS _cell, m = {mine} AS {prefix}_own)))))"
     )
-    df = df.withColumn("_spot", F.expr(spots))
-    return df.withColumns({"_cell": F.col("_spot.cell"), f"{prefix}_own": F.col("_spot.own")}).drop("_spot", mine)
+    leveled = df.select("*", F.expr(f"{coords.level_of_box(f'{prefix}_', margin)} AS {mine}"))
+    return leveled.select("*", F.expr(spots))
 
 
 def box_pairs(
@@ -97,19 +119,21 @@ def box_pairs(
     left_columns = left.attributes if left_columns is None else left_columns
     right_columns = right.attributes if right_columns is None else right_columns
     left_point = left.family == "point" and margin == 0
-    right_size = footprint(right)
+    right_size = footprint(right, columns=right_columns)
     left_levels = (0,) if left_point else footprint(left, margin).levels
     levels = tuple(sorted({*right_size.levels, *(m for m in left_levels if not left_point)}))
     if not levels:
         levels = (0,)
 
-    lhs = _to_cells(_prefixed(left, "l_", left_columns), "l_", margin, levels, left_point)
-    rhs = _to_cells(_prefixed(right, "r_", right_columns), "r_", 0.0, levels, False)
+    lhs, rhs = _prefixed(left, "l_", left_columns), _prefixed(right, "r_", right_columns)
     if left_point:
-        rhs = rhs.filter(F.col("r__own"))
+        lhs, rhs = _point_cells(lhs, "l_", levels), _own_cells(rhs, "r_")
+    else:
+        lhs, rhs = _cells(lhs, "l_", margin, levels), _cells(rhs, "r_", 0.0, levels)
 
     if broadcast is None:
-        broadcast = right_size.bytes <= BROADCAST_BYTES
+        copies = CELLS_PER_LEVEL * (1 if left_point else len(levels))
+        broadcast = right_size.bytes * copies <= BROADCAST_BYTES
     if broadcast:
         pairs = lhs.join(F.broadcast(rhs), "_cell")
     else:
@@ -118,14 +142,15 @@ def box_pairs(
             lhs, rhs, "_cell", F.xxhash64(f"l_{left.id}"), F.xxhash64(f"r_{right.id}"), **options
         )
     m = f"{margin!r}D"
-    pairs = pairs.filter(
-        f"l__xmin - {m} <= r__xmax AND l__xmax + {m} >= r__xmin AND l__ymin - {m} <= r__ymax "
-        f"AND l__ymax + {m} >= r__ymin AND (l__own OR r__own)"
+    meet = (
+        f"l__xmin - {m} <= r__xmax AND l__xmax + {m} >= r__xmin AND l__ymin - {m} <= r__ymax AND l__ymax + {m} >= r__ymin"
     )
-    if not left_point:
-        corner = f"greatest(l__xmin - {m}, r__xmin)", f"greatest(l__ymin - {m}, r__ymin)"
-        pairs = pairs.filter(f"_cell = {coords.point_cell(coords.level_of_cell('_cell'), *corner)}")
-    return pairs.drop("_cell", "l__own", "r__own")
+    if left_point:
+        return pairs.filter(meet).drop("_cell", "r__level")
+    corner = f"greatest(l__xmin - {m}, r__xmin)", f"greatest(l__ymin - {m}, r__ymin)"
+    home = coords.point_cell(coords.level_of_cell("_cell"), *corner)
+    kept = pairs.filter(f"{meet} AND (l__own OR r__own) AND _cell = {home}")
+    return kept.drop("_cell", "l__own", "r__own", "l__level", "r__level")
 
 
 def _box(prefix: str):

@@ -161,3 +161,14 @@ def test_overlay_of_polygons_with_holes(spark):
     other = layer_of(spark, [polygon(box(0.5, 0.5, 2.5, 2.5)), polygon(box(1.2, 1.2, 1.8, 1.8))])
     rows = joins.overlay(holed, other).collect()
     assert [(r["right_id"], round(r["shared_area"], 9)) for r in rows] == [(0, 3.0)]
+
+
+def test_broadcast_follows_the_measured_size(spark, monkeypatch):
+    _, points = crowd(spark)
+    z = zones(spark)
+    described = z.with_df(z.df.withColumn("text", F.repeat(F.lit("x"), 10_000)))
+    small, large = joins.footprint(z, columns=["zid"]), joins.footprint(described, columns=["zid", "text"])
+    assert small.rows == large.rows == 44 and large.bytes > small.bytes + 44 * 10_000
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 4 * small.bytes)
+    assert "_j" not in plan(joins.spatial_join(points, z, "within", right_columns=["zid"]))
+    assert "_j" in plan(joins.spatial_join(points, described, "within", right_columns=["zid", "text"]))
