@@ -22,7 +22,7 @@ PREDICATES = ("intersects", "contains", "within", "crosses", "touches", "overlap
 
 # A side is broadcast only when its measured size, times the copies its cells can make of it, stays
 # below this many bytes.
-BROADCAST_BYTES = 128 << 20
+BROADCAST_BYTES = 256 << 20
 BYTES_PER_VERTEX = 48
 BYTES_PER_ROW = 160
 CELLS_PER_LEVEL = 4
