@@ -1,6 +1,6 @@
 """Every operator's query; importing it fills the registry."""
 
-from geoloom.llm import bpe, token_counts  # noqa: F401
+from geoloom.llm import bpe, quality, token_counts  # noqa: F401
 from geoloom.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
