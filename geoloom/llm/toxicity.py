@@ -21,9 +21,9 @@ from geoloom.llm.textbytes import LOWER, SPACE, U64, Texts, chunks
 
 BITS = 16
 DIM = 8
-WINDOW = 12
+WINDOW = 6
 GRAMS = (3, 4, 5)
-PER_CLASS = 1_200
+PER_CLASS = 1_500
 HELD_OUT = 5
 
 
@@ -56,6 +56,26 @@ def grams(texts: Texts, words) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def drop_repeats(words):
+    """Without words equal to the one before them in their text (a run of one word says no more than the word);
+    returns a mask of the bytes of the words left out."""
+    same = np.zeros(len(words.start), bool)
+    h = words.hashes()
+    same[1:] = h[1:] == h[:-1]
+    opening = words.first[:-1][words.counts > 0]
+    same[opening] = False
+    edge = np.zeros(len(words.texts.data) + 1, np.int8)
+    edge[words.start[same] - 1] += 1
+    edge[words.end[same] - 1] -= 1
+    keep = ~same
+    kept = np.zeros(len(same) + 1, np.int64)
+    np.cumsum(keep, out=kept[1:])
+    words.start, words.end, words._hash = words.start[keep], words.end[keep], h[keep]
+    words.first = kept[words.first]
+    words.counts = np.diff(words.first)
+    return np.cumsum(edge[:-1], dtype=np.int8) > 0
+
+
 def windows(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first byte, end byte, text) of consecutive windows of WINDOW words; texts without words have none."""
     n = -(-words.counts // WINDOW)
@@ -74,10 +94,11 @@ def _bags(texts: list[str]):
     for row, _, part in chunks(pa.array(texts, pa.large_string())):
         part = spaced(part)
         words = part.words()
+        out = drop_repeats(words)
         start, stop, text = windows(words)
         for at, cell in grams(part, words):
             w = np.searchsorted(start, at, "right") - 1
-            inside = (w >= 0) & (at < stop[np.maximum(w, 0)])
+            inside = (w >= 0) & (at < stop[np.maximum(w, 0)]) & ~out[at]
             cells.append(cell[inside])
             owner.append(w[inside] + base)
         text_of.append(text + row)
@@ -99,7 +120,7 @@ class _Adam:
             p -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
 
 
-def train(sample: list[tuple[str, int]], epochs: int = 6, parts: int = 12, seed: int = 3) -> tuple[np.ndarray, float]:
+def train(sample: list[tuple[str, int]], epochs: int = 8, parts: int = 12, seed: int = 3) -> tuple[np.ndarray, float]:
     """(score of every table cell, bias): a window's log odds are the mean score of its cells plus the bias."""
     rng = np.random.default_rng(seed)
     y = np.array([s[1] for s in sample])
@@ -149,11 +170,13 @@ def score_texts(texts: Texts, cell_score: np.ndarray, bias: float) -> np.ndarray
     """The probability of each text's worst window; that of an empty window where there is no word."""
     part = spaced(texts)
     words = part.words()
+    out = drop_repeats(words)
     start, stop, text = windows(words)
     total, n = np.zeros(len(part.data) + 1), np.zeros(len(part.data) + 1, np.int64)
     for at, cell in grams(part, words):
         total[at + 1] += cell_score[cell]
         n[at + 1] += 1
+    total[1:][out] = n[1:][out] = 0
     np.cumsum(total, out=total)
     np.cumsum(n, out=n)
     z = (total[stop] - total[start]) / np.maximum(n[stop] - n[start], 1) + bias
