@@ -1,15 +1,17 @@
-"""Shared by the operators: shared-folder checkpoints, Arrow maps, connected components, seeded order."""
+"""Shared by the operators: tables in the shared folder, Arrow maps, connected components, seeded order."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from geoloom.shipping import ship
+from geoloom.sources.place import fresh_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,21 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the checkpoint folder all executors share (``spark.checkpoint.dir``);
-    lost executors then cost no earlier stage. Only a local session without the setting gets a folder here."""
+    """Compute ``df`` once, as a Parquet table in the folder all executors share (``spark.checkpoint.dir``), and read it from
+    there: lost executors then cost no earlier stage, and planning sees real sizes (a checkpoint keeps the
+    estimate of its plan, which repeated joins square). The table goes when the application ends."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="geoloom-checkpoints-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    path = fresh_path(spark, "cut")
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _delete_written() -> None:
+    for spark, path in _written:
+        try:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # the session has ended first: its folder is the cluster's to clear
+            return
+
+
+def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Apply a function from batch to batches; the package is sent to executors first."""
     ship(df.sparkSession)
 

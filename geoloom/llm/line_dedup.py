@@ -92,13 +92,13 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id: str = "doc_id",
     and do not break a run. Runs do not cross documents. The first copy, by id and then line, stays. Copies
     may overlap, as in a line that is repeated over and over. A null text stays null, an empty one empty, both with 0 lines. Rows
     that share id and text are one document and get the same result; rows that share only the id are documents of
-    their own, ordered by a hash of the text. Null ids come first. An empty table gives an empty result.
+    their own, ordered by a hash of the text. Null ids come first, as the least integer. An empty table gives an empty result.
     """
-    key = [F.col(id).alias("d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("_text")]
+    key = [F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("_text")]
     removed = repeated_lines(docs.select(*key), min_words).groupBy(*KEY).agg(F.collect_list("line_no").alias("_gone"))
     rows = docs.select(F.struct("*").alias("row"), *key)
     r, g = rows.alias("r"), removed.alias("g")
-    joined = r.join(g, F.expr("r.d <=> g.d and r.h = g.h"), "left").select("row", "_text", F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone"))
+    joined = r.join(g, F.expr("r.d = g.d and r.h = g.h"), "left").select("row", "_text", F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone"))
     lines = F.split("_text", "\n", -1)
     left = F.filter(lines, lambda x, i: ~F.array_contains("_gone", i))
     return joined.select(

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from geoloom.llm.common import arrow_map, table
 from geoloom.llm.labelled import labelled_texts
@@ -184,7 +185,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     an empty result. Nothing is shuffled; the model (a few hundred KB, fixed) is broadcast.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", F.col(text).alias("text")), labels, per_class))
-    kind = docs.schema.simpleString()
+    schema = StructType().add("row", docs.schema)
+    for field in COLUMNS.split(", "):
+        schema = schema.add(*field.split())
 
     def score(batch: pa.RecordBatch):
         m = model.value
@@ -200,7 +203,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
             yield pa.RecordBatch.from_arrays(columns, ["row", *out])
 
     rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("_text"))
-    return arrow_map(rows, score, f"row {kind}, {COLUMNS}")
+    return arrow_map(rows, score, schema)
 
 
 @query("op2_quality")
