@@ -16,9 +16,8 @@ from geoloom.layer import BOX, GEOM, Layer, geometry, vertex
 from geoloom.operators.joins import spatial_pairs
 from geoloom.operators.nearest import distance_to
 
-# Viewport padding and feature cap.
+# Fixed value: viewport padding.
 VIEWPORT_PAD = 1.5
-VIEWPORT_LIMIT = 500_000
 
 
 def project(layer: Layer, fields: list[str] | str = "*", geometry: bool = True, oid: str = "oid") -> DataFrame:
@@ -159,11 +158,13 @@ def padded_bbox(bbox: tuple[float, float, float, float], pad: float = VIEWPORT_P
     )
 
 
-def viewport(layer: Layer, bbox, zoom: int, pad: float = VIEWPORT_PAD, limit: int = VIEWPORT_LIMIT) -> Layer:
-    """Features a map view needs: inside the padded box, polygons simplified for the zoom."""
+def viewport(layer: Layer, bbox, zoom: int, pad: float = VIEWPORT_PAD, limit: int | None = None) -> Layer:
+    """Features a map view needs: inside the padded box, polygons simplified for the zoom; all of them, or the
+    ``limit`` lowest ids.
+    """
     seen = where_bbox(layer, padded_bbox(bbox, pad))
     tolerance = simplify_tolerance(zoom)
-    rows = seen.df.orderBy(layer.id).limit(limit)
+    rows = seen.df if limit is None else seen.df.orderBy(layer.id).limit(limit)
     if tolerance > 0 and layer.family == "polygon" and not layer.boxes:
         rows = rows.withColumn(GEOM, kernels.simplify(F.col(GEOM), F.lit(tolerance)))
     return seen.with_df(rows)

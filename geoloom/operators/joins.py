@@ -8,6 +8,7 @@ pass over the pairs is needed to remove duplicates.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -231,6 +232,8 @@ def spatial_pairs(
     if predicate == "dwithin":
         if not distance or distance <= 0:
             raise ValueError("dwithin needs distance > 0")
+        if metric == "haversine":
+            return _sphere_pairs(left, right, float(distance), **options)
         # A hair wider than the exact radius: rounding must never lose a pair at the rim.
         margin = coords.search_margin(distance, metric) * (1 + 1e-9)
         pairs = box_pairs(left, right, margin, **options)
@@ -240,6 +243,48 @@ def spatial_pairs(
     return apply_predicate(box_pairs(left, right, **options), left, right, predicate)
 
 
+def _sphere_cells(df: DataFrame, prefix: str, size: float, around: bool) -> DataFrame:
+    """Points keyed by their cell in space, a cube of ``size`` earth radii; ``around`` adds the 26 neighbours."""
+    lon, lat = F.radians(f"{prefix}_xmin"), F.radians(f"{prefix}_ymin")
+    at = [F.floor(v / F.lit(size)) for v in (F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))]
+    if not around:
+        return df.withColumn("_cell", F.struct(*[v.alias(n) for n, v in zip("xyz", at)]))
+    for name, v in zip("xyz", at):
+        df = df.withColumn(f"_c{name}", F.explode(F.sequence(v - 1, v + 1)))
+    return df.withColumn("_cell", F.struct(*[F.col(f"_c{n}").alias(n) for n in "xyz"])).drop("_cx", "_cy", "_cz")
+
+
+def _sphere_pairs(
+    left: Layer,
+    right: Layer,
+    distance: float,
+    left_columns: list[str] | None = None,
+    right_columns: list[str] | None = None,
+    broadcast: bool | None = None,
+    rows_per_share: int | None = None,
+) -> DataFrame:
+    """Pairs of points within great-circle metres. The grid lies in space, not on the map: a chord no longer
+    than a cell's side ends in a neighbouring cell, at the poles and across the date line as anywhere.
+    """
+    if left.family != "point" or right.family != "point":
+        raise ValueError("metric 'haversine' needs point layers")
+    left_columns = left.attributes if left_columns is None else left_columns
+    right_columns = right.attributes if right_columns is None else right_columns
+    arc = min(distance / coords.HAVERSINE_RADIUS_M, math.pi)
+    size = max(2 * math.sin(arc / 2), 1e-9) * (1 + 1e-9)
+    lhs = _sphere_cells(_prefixed(left, "l_", left_columns), "l_", size, around=False)
+    rhs = _sphere_cells(_prefixed(right, "r_", right_columns), "r_", size, around=True)
+    if broadcast is None:
+        broadcast = footprint(right, columns=right_columns).bytes * 27 <= BROADCAST_BYTES
+    if broadcast:
+        pairs = lhs.join(F.broadcast(rhs), "_cell")
+    else:
+        shares = {} if rows_per_share is None else {"rows_per_share": rows_per_share}
+        pairs = spread_join(lhs, rhs, "_cell", F.xxhash64(f"l_{left.id}"), F.xxhash64(f"r_{right.id}"), **shares)
+    far = pair_distance(left, right, "haversine")
+    return pairs.drop("_cell").withColumn("_distance", far).filter(F.col("_distance") <= F.lit(distance))
+
+
 def spatial_join(
     left: Layer,
     right: Layer,

@@ -11,9 +11,6 @@ from geoloom.operators.joins import BROADCAST_BYTES, BYTES_PER_ROW, BYTES_PER_VE
 from geoloom.operators.spread import spread_join
 from geoloom.sources.place import fresh_path
 
-# Fixed value: the largest k of a point query.
-MAX_K = 100
-
 # nearest_join refines its grid until an average occupied cell holds this many features.
 FEATURES_PER_CELL = 16
 # A level's cell table is broadcast only up to this many rows.
@@ -33,7 +30,8 @@ def nearest(
 
     Each task keeps its own best k rows and only those travel (``TakeOrderedAndProject``).
     """
-    k = max(1, min(k, MAX_K))
+    if k < 1:
+        raise ValueError("k must be positive")
     rows = layer.df if where is None else layer.df.filter(where)
     if max_distance and max_distance > 0:
         margin = coords.search_margin(max_distance, metric) * (1 + 1e-9)

@@ -12,11 +12,12 @@ from pyspark.sql import types as T
 
 from geoloom.layer import BOX, GEOM, Layer
 
-# Default page sizes per family, the most indices one export takes, sample bounds.
+# Default page sizes per family.
 PAGE_POLYGONS = 500
 PAGE_OTHER = 10_000
-MAX_EXPORT_ROWS = 100_000
-MAX_SAMPLE = 100
+
+# Lists of wanted row ids up to this length are broadcast (8 bytes each); longer ones are joined.
+BROADCAST_IDS = 100_000
 
 # Numbering: rows one task numbers, and the most slices a table is cut into.
 ROWS_PER_SLICE = 100_000
@@ -68,20 +69,19 @@ def _slice_of(cuts: list):
 
 
 def take_rows(layer: Layer, indices: list[int], key: str | None = None) -> DataFrame:
-    """Rows at the given 0-based positions in key order (the first 100 000 positions count)."""
-    spark = layer.df.sparkSession
-    wanted = spark.createDataFrame([(int(i),) for i in indices[:MAX_EXPORT_ROWS]], "oid long").distinct()
+    """Rows at the given 0-based positions in key order; positions past the end have none."""
     numbered = with_row_id(layer.df, key or layer.id)
-    # At most MAX_EXPORT_ROWS longs.
-    return numbered.join(F.broadcast(wanted), "oid", "left_semi").drop("oid")
+    return numbered.join(_wanted(layer, indices), "oid", "left_semi").drop("oid")
+
+
+def _wanted(layer: Layer, ids: list[int]) -> DataFrame:
+    wanted = layer.df.sparkSession.createDataFrame([(int(i),) for i in ids], "oid long").distinct()
+    return F.broadcast(wanted) if len(ids) <= BROADCAST_IDS else wanted
 
 
 def by_ids(layer: Layer, ids: list[int]) -> DataFrame:
     """Rows whose row id (``oid``) is in ``ids``, with it."""
-    spark = layer.df.sparkSession
-    wanted = spark.createDataFrame([(int(i),) for i in ids], "oid long").distinct()
-    hint = F.broadcast(wanted) if len(ids) <= MAX_EXPORT_ROWS else wanted
-    return with_row_id(layer.df, layer.id).join(hint, "oid", "left_semi")
+    return with_row_id(layer.df, layer.id).join(_wanted(layer, ids), "oid", "left_semi")
 
 
 def order_columns(order_by: list[str]) -> list[Column]:
@@ -143,8 +143,10 @@ def ids_only(layer: Layer, where: Column | None = None) -> DataFrame:
 
 
 def sample(layer: Layer, n: int = 10, geometry: bool = True) -> DataFrame:
-    """The first n rows (1 to 100) by id."""
-    rows = layer.df.orderBy(layer.id).limit(max(1, min(n, MAX_SAMPLE)))
+    """The first n rows by id."""
+    if n < 1:
+        raise ValueError("n must be positive")
+    rows = layer.df.orderBy(layer.id).limit(n)
     return rows if geometry else rows.drop(GEOM, *BOX)
 
 

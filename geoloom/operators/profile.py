@@ -79,9 +79,9 @@ def column_stats(df: DataFrame, columns: list[str], approximate: bool = False) -
 
     Quartiles are exact (interpolated): a sketch first brackets each rank within a guaranteed error,
     and only the values inside the brackets are counted and ordered. ``approximate`` takes the
-    sketches' answers as they are.
+    sketches' answers as they are. NaN is no value, like null.
     """
-    values = [F.col(c).cast("double") for c in columns]
+    values = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns]
     if approximate:
         return _stats_rows(
             df.agg(*_moments(columns, values, "approx_count_distinct"), *_sketches(columns, values, QUARTILES)), columns

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.sources.place import fresh_path
+
 # A task should not receive more rows of one key than this from either side.
 ROWS_PER_SHARE = 200_000
-# At most this many keys of a side are split, the largest ones. Any other key is then no larger than
-# a 1/MAX_HOT_KEYS part of the table, and is joined unsplit.
-MAX_HOT_KEYS = 10_000
+# Up to so many hot keys are broadcast to the dealing of both sides; more are joined to it.
+BROADCAST_HOT_KEYS = 100_000
 
 
 def _hot_keys(df: DataFrame, key: str, rows_per_share: int, name: str) -> DataFrame:
-    """The largest keys with more rows than a share, and the number of shares they need."""
+    """The keys with more rows than a share, and the number of shares they need."""
     counts = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows_per_share)
-    largest = counts.orderBy(F.col("_n").desc(), key).limit(MAX_HOT_KEYS)
-    return largest.select(key, F.ceil(F.col("_n") / rows_per_share).cast("int").alias(name))
+    return counts.select(key, F.ceil(F.col("_n") / rows_per_share).cast("int").alias(name))
 
 
 def spread_join(
@@ -39,7 +39,10 @@ def spread_join(
         .join(_hot_keys(right, key, rows_per_share, "_b"), key, "full")
         .select(key, F.coalesce("_a", F.lit(1)).alias("_a"), F.coalesce("_b", F.lit(1)).alias("_b"))
     )
-    hot = F.broadcast(hot)  # at most 2 * MAX_HOT_KEYS rows, see _hot_keys
+    path = fresh_path(left.sparkSession, "hot-keys")  # counted once, read by both sides
+    hot.write.parquet(path)
+    hot = left.sparkSession.read.parquet(path)
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_HOT_KEYS else hot
 
     def deal(df, salt, own, other, own_share, other_share):
         df = df.join(hot, key, "left")

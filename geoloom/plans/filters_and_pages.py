@@ -92,10 +92,10 @@ def within(spark, sf_dir):
 
 @query(
     "o32_contains",
-    "SELECT zone_id FROM geo_zones WHERE xmin <= -104.9e0 AND xmax >= -104.7e0 AND ymin <= 39.1e0 AND ymax >= 39.3e0",
+    "SELECT zone_id FROM geo_zones WHERE xmin <= -107.5e0 AND xmax >= -106.5e0 AND ymin <= 37.1e0 AND ymax >= 37.7e0",
 )
 def contains(spark, sf_dir):
-    wkt = "POLYGON((-104.9 39.1, -104.7 39.1, -104.7 39.3, -104.9 39.3, -104.9 39.1))"
+    wkt = "POLYGON((-107.5 37.1, -106.5 37.1, -106.5 37.7, -107.5 37.7, -107.5 37.1))"
     return filters.where_spatial(layers.zones(spark, sf_dir), "contains", wkt).df.select("zone_id")
 
 

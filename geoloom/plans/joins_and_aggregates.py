@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import coords, kernels, shapes
 from geoloom.layer import BOX, GEOM, Layer, box_layer, with_box
-from geoloom.operators import aggregate, joins, nearest, profile
+from geoloom.operators import aggregate, joins, nearest, profile, timeline
 from geoloom.plans import layers
 from geoloom.plans.registry import query, rounded
 
@@ -244,6 +244,34 @@ def join_dwithin(spark, sf_dir):
     )
 
 
+HAVERSINE_SQL = """2 * 6371000e0 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2)
+    + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))"""
+
+
+@query(
+    "o41_join_dwithin_haversine",
+    f"SELECT a.pt_id, b.pt_id AS right_pt_id FROM geo_points a JOIN geo_points b ON {HAVERSINE_SQL} <= 4000e0",
+)
+def join_dwithin_haversine(spark, sf_dir):
+    points = layers.points(spark, sf_dir)
+    return joins.spatial_join(
+        points, points, "dwithin", distance=4000.0, metric="haversine", left_columns=["pt_id"], right_columns=["pt_id"]
+    )
+
+
+@query(
+    "o83_few_times",
+    """WITH few AS (SELECT DISTINCT date_trunc('day', ts) AS ts FROM events),
+    facts AS (SELECT date_diff('second', min(ts), max(ts)) AS seconds, count(*) AS n FROM few)
+    SELECT round(least(greatest(seconds / least(n, 200), 60), seconds), 6) AS step FROM facts""",
+)
+def few_times(spark, sf_dir):
+    """The slider's step over a range with fewer times than steps."""
+    days = layers.table(spark, sf_dir, "events").select(F.date_trunc("day", "ts").alias("ts"))
+    axis = timeline.time_axis(days, "ts")
+    return spark.range(1).select(F.round(F.lit(axis.step_seconds), 6).alias("step"))
+
+
 def _segment_meets_quad() -> str:
     quad = ["greatest(" + _side(a, b, "s.ax", "s.ay") + ", " + _side(a, b, "s.bx", "s.by_") + ") >= 0" for a, b in QUAD_EDGES]
     sides = ", ".join(_segment_side(f"c.x{i}", f"c.y{i}") for i in (1, 2, 3, 4))

@@ -252,12 +252,13 @@ COMMITS = (("BUILDING", "HOUSEHOLD"), ("AUTOMOBILE",), ("FURNITURE",), ("MACHINE
 VERSION_OF = "CASE category WHEN 'AUTOMOBILE' THEN 2 WHEN 'FURNITURE' THEN 3 WHEN 'MACHINERY' THEN 4 ELSE 1 END"
 
 
-def _history(spark, sf_dir) -> str:
-    root = fresh_path(spark, "history")
+def _history(spark, sf_dir):
+    """Points with the version that added them and its commit time, a day apart."""
     rows = layers.points(spark, sf_dir).df.select("pt_id", "category", "val")
+    number = F.lit(None).cast("int")
     for i, categories in enumerate(COMMITS, start=1):
-        versions.commit(rows.filter(F.col("category").isin(*categories)), root, at=datetime(2024, 1, i))
-    return root
+        number = F.when(F.col("category").isin(*categories), i).otherwise(number)
+    return rows.withColumn("version", number).withColumn("committed_at", F.make_timestamp_ntz(F.lit(2024), F.lit(1), "version", F.lit(0), F.lit(0), F.lit(0)))
 
 
 @query(
@@ -266,17 +267,17 @@ def _history(spark, sf_dir) -> str:
       make_timestamp(2024, 1, {VERSION_OF}, 0, 0, 0) AS committed_at FROM geo_points GROUP BY {VERSION_OF}""",
 )
 def snapshots(spark, sf_dir):
-    return versions.snapshots(spark, _history(spark, sf_dir)).select("version", "operation", "rows", "committed_at")
+    return versions.commits(_history(spark, sf_dir))
 
 
 @query("o14_as_of_version", f"{CATEGORY_TOTALS} WHERE {VERSION_OF} <= 2 GROUP BY category")
 def as_of_version(spark, sf_dir):
-    return _category_totals(versions.as_of(spark, _history(spark, sf_dir), version=2))
+    return _category_totals(versions.as_of(_history(spark, sf_dir), 2))
 
 
 @query("o14_as_of_time", f"{CATEGORY_TOTALS} WHERE {VERSION_OF} <= 3 GROUP BY category")
 def as_of_time(spark, sf_dir):
-    return _category_totals(versions.as_of(spark, _history(spark, sf_dir), timestamp=datetime(2024, 1, 3, 12)))
+    return _category_totals(versions.as_of(_history(spark, sf_dir), timestamp=datetime(2024, 1, 3, 12)))
 
 
 @query(
@@ -286,20 +287,19 @@ def as_of_time(spark, sf_dir):
     UNION ALL SELECT pt_id + 100000000, 'added' FROM geo_points WHERE category = 'AUTOMOBILE'""",
 )
 def diff(spark, sf_dir):
-    root = fresh_path(spark, "diff")
     rows = layers.points(spark, sf_dir).df.select("pt_id", "category", "val")
-    versions.commit(rows, root)
     kept = rows.filter("category <> 'BUILDING'").withColumn(
         "val", F.when(F.col("category") == "MACHINERY", F.col("val") + 1).otherwise(F.col("val"))
     )
     new = rows.filter("category = 'AUTOMOBILE'").withColumn("pt_id", F.col("pt_id") + 100000000)
-    versions.commit(kept.unionByName(new), root, "overwrite")
-    return versions.diff(spark, root, 1, 2, "pt_id")
+    return versions.diff(rows, kept.unionByName(new), "pt_id")
 
 
 @query("o15_diff_appended", f"SELECT pt_id, 'added' AS change FROM geo_points WHERE {VERSION_OF} IN (3, 4)")
 def diff_appended(spark, sf_dir):
-    return versions.diff(spark, _history(spark, sf_dir), 2, 4, "pt_id")
+    history = _history(spark, sf_dir)
+    before, after = (versions.as_of(history, n).select("pt_id", "category", "val") for n in (2, 4))
+    return versions.diff(before, after, "pt_id")
 
 
 @query("o16_export_geojson", "SELECT pt_id, 'Feature' AS type, 'Point' AS kind, lon AS x, lat AS y, category FROM geo_points WHERE val > 0")
@@ -325,10 +325,10 @@ def export_geojson(spark, sf_dir):
 
 @query(
     "o16_export_summary",
-    "SELECT 'points' AS source_table, least(count(*), 500) AS feature_count, count(*) > 500 AS truncated FROM geo_points",
+    "SELECT 'points' AS source_table, count(*) AS feature_count, false AS truncated FROM geo_points",
 )
 def export_summary(spark, sf_dir):
-    return export.write_geojson(layers.points(spark, sf_dir), fresh_path(spark, "export-500"), "points")
+    return export.write_geojson(layers.points(spark, sf_dir), fresh_path(spark, "export-all"), "points")
 
 
 QUOTED_TEXT = """CASE WHEN contains(text, ',') OR contains(text, '"') OR contains(text, chr(10))
@@ -704,19 +704,14 @@ def zone_counts_stream(spark, sf_dir):
 
 
 GEOFENCE_SQL = """WITH placed AS (SELECT e.user_id, e.ts, e.event_id, z.zone_id AS zone FROM geo_events e LEFT JOIN geo_zones z
-      ON e.lon > z.xmin AND e.lon < z.xmax AND e.lat > z.ymin AND e.lat < z.ymax AND z.zone_class IN (0, 1)),
+      ON e.lon > z.xmin AND e.lon < z.xmax AND e.lat > z.ymin AND e.lat < z.ymax),
     moved AS (SELECT *, lag(zone) OVER w AS before, row_number() OVER w AS k FROM placed WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
     SELECT user_id, ts, event_id, before AS left_zone, zone AS entered_zone FROM moved WHERE zone IS DISTINCT FROM before"""
 
 
-def _fenced_zones(spark, sf_dir) -> Layer:
-    zones = layers.zones(spark, sf_dir)
-    return zones.with_df(zones.df.filter(F.col("zone_class").isin(0, 1)))
-
-
 @query("o86_geofence", GEOFENCE_SQL)
 def geofence(spark, sf_dir):
-    visits = timeline.with_zone(layers.events(spark, sf_dir), _fenced_zones(spark, sf_dir), ["user_id", "ts"])
+    visits = timeline.with_zone(layers.events(spark, sf_dir), layers.zones(spark, sf_dir), ["user_id", "ts"])
     return timeline.geofence_events(visits, "user_id", "ts", "event_id")
 
 
@@ -724,7 +719,7 @@ def geofence(spark, sf_dir):
 def geofence_stream(spark, sf_dir):
     out = fresh_path(spark, "geofence")
     events = layers.event_layer(_event_stream(spark, sf_dir))
-    visits = timeline.with_zone_column(events, _fenced_zones(spark, sf_dir), ["user_id", "ts"])
+    visits = timeline.with_zone_column(events, layers.zones(spark, sf_dir), ["user_id", "ts"])
     notices = jobs.geofence_stream(visits, "user_id", "ts", "event_id", watermark="2 days")
     jobs.run_appends(notices, out, fresh_path(spark, "geofence-checkpoint"))
     return spark.read.parquet(out).select(

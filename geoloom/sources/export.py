@@ -13,9 +13,7 @@ from geoloom.layer import BOX, GEOM, Layer
 from geoloom.operators.profile import TEMPORAL_TYPES
 from geoloom.operators.transform import flatten_structs
 
-# Export limits and the quantisation grid.
-GEOJSON_LIMIT = 500
-GEOJSON_MAX = 5000
+# Fixed value: the quantisation grid.
 RESOLUTION = 1e8
 
 
@@ -25,7 +23,7 @@ def geojson_features(
     """One GeoJSON Feature (text) per row, with the chosen or all attributes as properties."""
     rows = layer.df if where is None else layer.df.filter(where)
     if limit is not None:
-        rows = rows.orderBy(layer.id).limit(max(1, min(limit, GEOJSON_MAX)))
+        rows = rows.orderBy(layer.id).limit(limit)
     names = layer.attributes if columns is None else columns
     properties = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
     shape = F.coalesce(text.to_geojson(F.col(GEOM)), F.lit("null"))
@@ -41,17 +39,17 @@ def write_geojson(
     source: str,
     columns: list[str] | None = None,
     where: Column | str | None = None,
-    limit: int | None = GEOJSON_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Write newline-delimited features in parallel; returns one row: source_table, feature_count,
-    truncated. ``limit=None`` exports everything.
+    truncated. Everything is exported unless a ``limit`` of rows, the lowest ids, is given.
     """
     features = geojson_features(layer, columns, where, limit)
     seen = Observation()
     features.observe(seen, F.count(F.lit(1)).alias("n")).select("feature").write.mode("error").text(path)
     written = seen.get["n"]
     cut = False
-    if limit is not None and written >= min(limit, GEOJSON_MAX):
+    if limit is not None and written >= limit:
         rows = layer.df if where is None else layer.df.filter(where)
         cut = rows.limit(written + 1).count() > written
     return layer.df.sparkSession.createDataFrame(

@@ -128,14 +128,31 @@ def read_geoparquet(spark: SparkSession, path: str, id: str | None = None) -> tu
 
 
 def _declared_geometry(df: DataFrame) -> str | None:
+    """The ``primary_column`` of the footer of one file, read wherever Spark reads it; None without ``geo`` metadata. A
+    footer that names a column the table lacks is an error.
+    """
+    import pyarrow as pa
     import pyarrow.parquet as pq
 
-    try:
-        metadata = pq.read_schema(df.inputFiles()[0].removeprefix("file://")).metadata or {}
-        declared = json.loads(metadata[b"geo"]).get("primary_column", "geometry")
-    except (OSError, KeyError, ValueError, IndexError):
+    paths = df.select("_metadata.file_path").limit(1).collect()
+    if not paths:
+        return None
+    # A Parquet file ends in its footer, the footer's length (4 bytes) and 4 bytes of magic.
+    tail = df.sparkSession.read.format("binaryFile").load(paths[0][0]).select(
+        F.expr("substring(content, -8, 4)").alias("size"), "length"
+    )
+    size = int.from_bytes(tail.first()["size"], "little")
+    footer = df.sparkSession.read.format("binaryFile").load(paths[0][0]).select(
+        F.expr("substring(content, 1, 4)").alias("head"), F.expr(f"substring(content, {-size - 8})").alias("footer")
+    ).first()
+    file = pa.BufferReader(bytes(footer["head"]) + bytes(footer["footer"]))
+    metadata = pq.read_metadata(file).metadata or {}
+    if b"geo" not in metadata:
         return None
-    return declared if declared in df.columns else None
+    declared = json.loads(metadata[b"geo"]).get("primary_column", "geometry")
+    if declared not in df.columns:
+        raise ValueError(f"the footer names {declared!r} as geometry, the table has {df.columns}")
+    return declared
 
 
 def union_layers(layers: list[Layer]) -> Layer:
@@ -153,10 +170,12 @@ def union_layers(layers: list[Layer]) -> Layer:
     return Layer(df, layers[0].id, families.pop() if len(families) == 1 else "mixed")
 
 
-def preview(df: DataFrame, n: int = PREVIEW_ROWS, width: int = PREVIEW_WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(first n rows as text cut to ``width``, one row per column: type, null count, row count)."""
+def preview(
+    df: DataFrame, n: int = PREVIEW_ROWS, width: int = PREVIEW_WIDTH, id: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(first n rows, by ``id`` if given, as text cut to ``width``, one row per column: type, null count, row count)."""
     names = [c for c in df.columns if c not in (GEOM, *BOX)]
-    head = df.limit(n).select(*[F.substring(F.col(c).cast("string"), 1, width).alias(c) for c in names])
+    head = (df if id is None else df.orderBy(id)).limit(n).select(*[F.substring(F.col(c).cast("string"), 1, width).alias(c) for c in names])
     counts = df.agg(F.count("*").alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in names])
     rows = [
         F.struct(

@@ -1,89 +1,46 @@
-"""Versioned datasets: immutable Parquet batches and a table that lists them."""
+"""Tables that carry their own history: a version number and commit time on every row."""
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-SNAPSHOTS = "version long, committed_at timestamp_ntz, operation string, rows long, files long"
 
-
-def snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """Every version: number, time, operation, rows and files it added."""
-    try:
-        return spark.read.schema(SNAPSHOTS).parquet(f"{root}/snapshots")
-    except AnalysisException:
-        return spark.createDataFrame([], SNAPSHOTS)
-
-
-def commit(df: DataFrame, root: str, operation: str = "append", at: datetime | None = None) -> int:
-    """Add a version that appends rows, or replaces all of them (``overwrite``); one writer at a
-    time. The batch is complete before the version becomes visible.
-    """
-    if operation not in ("append", "overwrite"):
-        raise ValueError(f"unknown operation {operation!r}")
-    spark = df.sparkSession
-    version = (snapshots(spark, root).agg(F.max("version")).first()[0] or 0) + 1
-    seen = Observation()
-    batch = f"{root}/data/{version}"
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(batch)
-    files = len(spark.read.parquet(batch).inputFiles())
-    at = at or datetime.now(timezone.utc).replace(tzinfo=None)
-    row = spark.createDataFrame([(version, at, operation, seen.get["n"], files)], SNAPSHOTS)
-    row.coalesce(1).write.mode("append").parquet(f"{root}/snapshots")
-    return version
-
-
-def _batches(
-    spark: SparkSession, root: str, version: int | None = None, timestamp: datetime | None = None
-) -> list[int]:
-    """Versions whose batches make up the dataset at a version or time (one small row each)."""
-    if (version is None) == (timestamp is None):
-        raise ValueError("give either version or timestamp")
-    known = snapshots(spark, root)
-    if version is not None:
-        seen = known.filter(F.col("version") <= version)
-    else:
-        seen = known.filter(F.col("committed_at") <= F.lit(timestamp).cast("timestamp_ntz"))
-    listed = seen.orderBy("version").collect()
-    if not listed or (version is not None and listed[-1]["version"] != version):
-        raise ValueError(f"no such version of {root}")
-    start = max((i for i, r in enumerate(listed) if r["operation"] == "overwrite"), default=0)
-    return [r["version"] for r in listed[start:]]
-
-
-def _read(spark: SparkSession, root: str, batches: list[int]) -> DataFrame:
-    return spark.read.option("mergeSchema", True).parquet(*[f"{root}/data/{b}" for b in batches])
+def commits(df: DataFrame, version: str = "version", committed_at: str = "committed_at") -> DataFrame:
+    """Every version with the rows it added and its time."""
+    found = df.groupBy(F.col(version).alias("version")).agg(F.count("*").alias("rows"), F.max(committed_at).alias("committed_at"))
+    return found.select("version", F.lit("append").alias("operation"), "rows", "committed_at")
 
 
 def as_of(
-    spark: SparkSession, root: str, version: int | None = None, timestamp: datetime | None = None
+    df: DataFrame,
+    number: int | None = None,
+    timestamp: datetime | None = None,
+    version: str = "version",
+    committed_at: str = "committed_at",
 ) -> DataFrame:
-    """The dataset as it was at a version, or at a time (exactly one of them)."""
-    return _read(spark, root, _batches(spark, root, version, timestamp))
+    """The rows that had been added at a version, or at a time (exactly one of them); the filter reaches the scan."""
+    if (number is None) == (timestamp is None):
+        raise ValueError("give either a version number or a timestamp")
+    if number is not None:
+        return df.filter(F.col(version) <= number)
+    return df.filter(F.col(committed_at) <= F.lit(timestamp).cast(df.schema[committed_at].dataType))
 
 
-def diff(spark: SparkSession, root: str, old: int, new: int, key: str) -> DataFrame:
-    """Rows, by unique key, that were added, removed or changed between two versions.
+def diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """Rows, by unique key, that were added, removed or changed between two tables.
 
-    When the newer version only appended to the older one, just the appended batches are read.
+    Only a digest of each row is shuffled. A column that one table lacks counts as null there.
     """
-    before, after = _batches(spark, root, version=old), _batches(spark, root, version=new)
-    if after[: len(before)] == before:
-        extra = after[len(before) :]
-        rows = _read(spark, root, extra) if extra else _read(spark, root, before).limit(0)
-        return rows.select(key, F.lit("added").alias("change"))
-    old_rows, new_rows = _read(spark, root, before), _read(spark, root, after)
-    columns = sorted(set(old_rows.columns) | set(new_rows.columns))
+    columns = sorted(set(before.columns) | set(after.columns))
 
     def digest(df, name):
         cells = [F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns if c != key]
         return df.select(key, F.xxhash64(F.to_json(F.struct(*cells))).alias(name))
 
-    both = digest(old_rows, "_old").join(digest(new_rows, "_new"), key, "full")
+    both = digest(before, "_old").join(digest(after, "_new"), key, "full")
     change = (
         F.when(F.col("_old").isNull(), "added")
         .when(F.col("_new").isNull(), "removed")

@@ -145,7 +145,7 @@ NOTICE = T.StructType(
 LAST_ZONE = T.StructType([T.StructField("seen", T.BooleanType()), T.StructField("zone", T.LongType())])
 
 
-def _notices(key, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int) -> Iterator[pd.DataFrame]:
+def _notices(key, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
@@ -158,8 +158,9 @@ def _notices(key, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: i
     changed = ~((zone == before).fillna(False).astype(bool) | (zone.isna() & before.isna()))
     tail = zone.iloc[-1]
     state.update((True, None if pd.isna(tail) else int(tail)))
-    newest = int(rows["ts"].max().timestamp() * 1000)
-    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
+    if idle_ms is not None:
+        newest = int(rows["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
     at = changed.to_numpy(bool)
     hit = rows[at]
     yield pd.DataFrame(
@@ -174,10 +175,10 @@ def _notices(key, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: i
 
 
 def geofence_stream(
-    visits: DataFrame, key: str, ts: str, id: str, watermark: str, idle_ms: int = 30 * 86_400_000
+    visits: DataFrame, key: str, ts: str, id: str, watermark: str, idle_ms: int | None = None
 ) -> DataFrame:
-    """Notices when a key enters or leaves a zone; the only state is each key's last zone, dropped
-    once the watermark is ``idle_ms`` past its last event. The size of a micro-batch (files per
+    """Notices when a key enters or leaves a zone; the only state is each key's last zone, kept for good, or
+    dropped once the watermark is ``idle_ms`` past its last event if that is given. The size of a micro-batch (files per
     trigger) bounds what one key brings at a time.
     """
     rows = visits.select(

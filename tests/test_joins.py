@@ -1,6 +1,7 @@
 """Join strategies against brute force, with hot cells, huge features and shared spots."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +173,22 @@ def test_broadcast_follows_the_measured_size(spark, monkeypatch):
     monkeypatch.setattr(joins, "BROADCAST_BYTES", 4 * small.bytes)
     assert "_j" not in plan(joins.spatial_join(points, z, "within", right_columns=["zid"]))
     assert "_j" in plan(joins.spatial_join(points, described, "within", right_columns=["zid", "text"]))
+
+
+def test_haversine_pairs_near_the_poles_and_the_date_line(spark):
+    rng = random.Random(5)
+    spots = [(0, 179.999, 0.0), (1, -179.999, 0.0), (2, 0.0, 89.0), (3, 20.0, 89.0), (4, 10.0, 90.0), (5, -170.0, -89.9)]
+    spots += [(i, rng.uniform(-180, 180), rng.choice([rng.uniform(-90, 90), rng.uniform(88, 90), rng.uniform(-1, 1)])) for i in range(6, 300)]
+    spots += [(i, rng.choice([-1, 1]) * rng.uniform(179.5, 180), rng.uniform(-0.5, 0.5)) for i in range(300, 360)]
+    points = point_layer(spark.createDataFrame(spots, "id long, lon double, lat double"), "id")
+
+    def metres(a, b):
+        (lon1, lat1), (lon2, lat2) = (map(math.radians, p[1:]) for p in (a, b))
+        h = math.sin((lat2 - lat1) / 2) ** 2 + math.cos(lat1) * math.cos(lat2) * math.sin((lon2 - lon1) / 2) ** 2
+        return 2 * 6371000.0 * math.asin(min(1.0, math.sqrt(h)))
+
+    for distance in (1000.0, 40_000.0, 3_000_000.0):
+        want = sorted((a[0], b[0]) for a in spots for b in spots if metres(a, b) <= distance)
+        for options in STRATEGIES:
+            found = joins.spatial_join(points, points, "dwithin", distance, metric="haversine", left_columns=["id"], right_columns=["id"], **options)
+            assert sorted((r["id"], r["right_id"]) for r in found.collect()) == want

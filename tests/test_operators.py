@@ -7,7 +7,7 @@ from test_joins import layer_of
 
 from geoloom.functions import kernels, text
 from geoloom.layer import GEOM, geometry_column, id_column, point_layer
-from geoloom.operators import aggregate, filters, paging, profile, textlog, timeline, transform
+from geoloom.operators import aggregate, filters, nearest, paging, profile, textlog, timeline, transform
 
 
 @pytest.mark.parametrize("rows_per_slice", [100_000, 37])
@@ -209,3 +209,28 @@ def test_long_sequences_are_cut_into_runs(spark, monkeypatch):
     cut = transform.geodesic_measures(vertices, "id", "seq").first()
     assert cut["n_vertices"] == whole["n_vertices"] == 199
     assert cut["length_m"] == pytest.approx(whole["length_m"]) and cut["area_m2"] == pytest.approx(whole["area_m2"])
+
+
+def test_limits_are_the_callers(spark):
+    points = point_layer(spark.range(400).selectExpr("id", "id / 10.0D AS lon", "0.0D AS lat"), "id")
+    assert nearest.nearest(points, 0.0, 0.0, k=300).count() == 300
+    assert paging.sample(points, 300).count() == 300
+    assert paging.take_rows(points, list(range(150_000))).count() == 400
+    assert filters.viewport(points, (0.0, -1.0, 50.0, 1.0), zoom=8).df.count() == 400
+    for wrong in (lambda: nearest.nearest(points, 0.0, 0.0, k=0), lambda: paging.sample(points, 0)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_column_stats_take_nan_as_no_value(spark):
+    rows = [(float(i),) for i in range(1, 9)] + [(float("nan"),), (None,)]
+    found = profile.column_stats(spark.createDataFrame(rows, "v double"), ["v"]).first()
+    assert (found["min"], found["max"], found["mean"], found["q25"], found["median"], found["q75"]) == (1.0, 8.0, 4.5, 2.75, 4.5, 6.25)
+    assert found["distinct_count"] == 8
+
+
+def test_time_axis_counts_few_times_exactly(spark):
+    for n in (2, 120, 150, 199, 200, 500):
+        times = spark.range(n).selectExpr("timestamp_seconds(id * 86400) AS ts").unionAll(spark.sql("SELECT CAST(NULL AS timestamp) AS ts"))
+        seconds = (n - 1) * 86400
+        assert timeline.time_axis(times, "ts").step_seconds == seconds / min(n, 200)
