@@ -77,18 +77,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     maps = None
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p")).select("node", F.least("node", "p").alias("p")))
-        for _ in range(2):
-            up = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-            parent = cut(parent.join(up, "p", "left").select("node", F.coalesce("pp", "p").alias("p")))
-        pa_, pb_ = parent.toDF("a", "pa"), parent.toDF("b", "pb")
-        live = cut(
-            live.join(pa_, "a")
-            .join(pb_, "b")
-            .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-            .where("a < b")
-            .distinct()
-        )
+        first = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p")).select("node", F.least("node", "p").alias("p")))
+        up = first.toDF("p", "pp")
+        second = first.join(up, "p", "left").select("node", F.coalesce("pp", "p").alias("p"))
+        parent = cut(second.join(up, "p", "left").select("node", F.coalesce("pp", "p").alias("p")))
+        drawn = live.join(parent.toDF("a", "pa"), "a").join(parent.toDF("b", "pb"), "b")
+        live = cut(drawn.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a < b").distinct())
         if maps is None:
             maps = parent.toDF("node", "component")
         else:

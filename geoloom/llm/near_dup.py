@@ -8,7 +8,8 @@ along some path with a probability that falls only like 1 / depth; dissimilar on
 
 A node's members are first compared with its first member only. What that links becomes one component, and a
 node whose members are all of one component is done, however large; nodes of up to SMALL members are compared
-exhaustively across components; larger mixed nodes branch on until none is left. Candidates whose sketches
+exhaustively across components, and so is a larger node in which at most SMALL members are outside its largest
+component; other large nodes branch on until none is left. Candidates whose sketches
 agree in far too few positions are dropped, all others are confirmed on the full sets.
 """
 
@@ -28,7 +29,7 @@ MINIMA = 64
 TREES = 16
 SMALL = 32
 LEVELS = 3  # levels branched between two rounds of comparison
-DEEPEST = 60  # beyond it nodes are compared exhaustively: equal signatures cannot part
+DEEPEST = 60  # beyond it all nodes are compared across components: equal signatures cannot part
 SLACK = 0.2  # a pair is confirmed if its sketches agree in at least threshold - SLACK of the positions
 #: Members confirmed against one copy of a group's first member in one task.
 BLOCK = 128
@@ -199,6 +200,32 @@ def _within(nodes: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return arrow_map(grouped, run, "a long, b long").distinct()
 
 
+def _apart(nodes: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """(a, b): in each node, every member outside its most frequent label against all members of other labels, where the
+    sketches agree enough. A node travels in blocks of about BLOCK members, each with a copy of those few."""
+    rows = nodes.join(sets.select("doc", "sketch"), "doc").withColumn("blocks", F.ceil(F.col("n") / (4 * BLOCK)).cast("int"))
+    every = rows.select("key", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("odd"), "doc", "label", "sketch")
+    odd = rows.where("label <> most").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("odd"), "doc", "label", "sketch")
+    grouped = every.unionByName(odd).groupBy("key", "block").agg(F.collect_list(F.struct("odd", "doc", "label", "sketch")).alias("m")).select("m")
+
+    def run(batch: pa.RecordBatch):
+        column = batch.column(0)
+        at, inner = np.asarray(column.offsets), column.values
+        odd, doc, label = (inner.field(c).to_numpy() for c in ("odd", "doc", "label"))
+        sketch = _matrix(inner.field("sketch"), np.uint8, MINIMA)
+        a, b = [], []
+        for s, e in zip(at[:-1], at[1:]):
+            others = s + np.flatnonzero(odd[s:e] == 0)
+            for i in s + np.flatnonzero(odd[s:e] == 1):
+                j = others[(label[others] != label[i]) & ((sketch[others] == sketch[i]).sum(1) >= least)]
+                a.append(np.minimum(doc[j], doc[i]))
+                b.append(np.maximum(doc[j], doc[i]))
+        a, b = np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return arrow_map(grouped, run, "a long, b long").where("a < b").distinct()
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets.
 
@@ -274,24 +301,30 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = 80, id: str = "doc_i
             nodes = _nodes(level)
             wave.append(nodes)
             depth += 1
+            if nodes.where(F.col("n") > SMALL).isEmpty():
+                break
             level = _next_level(nodes.where(F.col("n") > SMALL), sets, threshold)
         met = wave[0]
         for nodes in wave[1:]:
             met = met.unionByName(nodes)
         stars = _labelled(met.select(F.col("leader").alias("doc"), F.col("doc").alias("b")), labels, "a", "la")
         stars = _labelled(stars.withColumnRenamed("b", "doc"), labels, "b", "lb").where("a < b and la <> lb").select("a", "b").distinct()
-        links = links.unionByName(confirm(_alike(stars, sets, least), texts, k, percent))
-        labels = components(links)
-        small = _labelled(met.where((F.col("n") > 2) & (F.col("n") <= (SMALL if depth <= DEEPEST else 1 << 62))).select("key", "doc"), labels, "doc", "label")
-        links = links.unionByName(confirm(_within(small, sets, least), texts, k, percent))
+        links = cut(links.unionByName(confirm(_alike(stars, sets, least), texts, k, percent)))
         labels = components(links)
-        # only the nodes of the last level can go deeper, if they are large and still mixed
-        large = _labelled(wave[-1].where(F.col("n") > SMALL).select("key", "doc"), labels, "doc", "label")
-        mixed = large.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x < _y").select("key")
-        large = cut(large.join(mixed, "key").select("key", "doc"))
-        if depth > DEEPEST or large.isEmpty():
+        small = met.where((F.col("n") > 2) & (F.col("n") <= SMALL)).select("key", "doc")
+        deep = cut(_labelled(wave[-1].where(F.col("n") > SMALL).select("key", "doc"), labels, "doc", "label"))
+        counts = deep.groupBy("key", "label").count().groupBy("key").agg(F.sum("count").alias("n"), F.max(F.struct("count", "label")).alias("most"))
+        counts = counts.select("key", "n", F.col("most.label").alias("most"), (F.col("n") - F.col("most.count")).alias("rest")).where("rest > 0")
+        few = F.lit(True) if depth > DEEPEST else F.col("rest") <= SMALL
+        near = _within(_labelled(small, labels, "doc", "label"), sets, least).unionByName(_apart(deep.join(counts.where(few), "key"), sets, least))
+        found = confirm(near.distinct(), texts, k, percent)
+        if not found.isEmpty():
+            links = cut(links.unionByName(found))
+            labels = components(links)
+        many = cut(deep.join(counts.where(~few), "key").select("key", "doc"))
+        if many.isEmpty():
             break
-        level = _next_level(large, sets, threshold)
+        level = _next_level(many, sets, threshold)
 
     own = every.join(classes.select(*equal, "doc"), equal, "left")
     named = own.join(labels.toDF("doc", "component"), "doc", "left")
