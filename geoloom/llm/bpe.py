@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
 from operator import itemgetter
 
@@ -24,19 +25,21 @@ from geoloom.llm.textbytes import chunks
 from geoloom.llm.token_counts import _byte_letters
 
 END = "\ue000"
+#: A word pattern that ends so takes a run of letters whole, whatever contractions come before it.
+PLAIN = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Entries of a generation of the word caches of a task's process; two generations are held.
 CACHE_WORDS = 150_000
 
 
 class Recent(dict):
-    """key -> compute(key), remembering at least the last CACHE_WORDS computed keys, at most twice as many."""
+    """key -> compute(key), remembering at least the last ``size`` computed keys, at most twice as many."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, size: int):
         super().__init__()
-        self.compute, self.older = compute, {}
+        self.compute, self.size, self.older = compute, size, {}
 
     def __missing__(self, key):
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.size:
             self.older = dict(self)
             self.clear()
         value = self.older.get(key)
@@ -63,14 +66,14 @@ class PrefixBpe:
             raise ValueError("this encoder knows a split by pattern that keeps the matches, then bytes")
         self.fold = bool(kinds)
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.names = {i: w for w, i in model["vocab"].items()}
+        self.names = {i: w + " " for w, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pieces = regex.compile(steps[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"), regex.V0)
         self.controls = regex.compile("[\x1c-\x1f]")
         self.blank = regex.compile(r"\p{White_Space}+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        letters = _byte_letters()
-        self.letter = {b: c for c, b in letters.items()}
+        self.plain = steps[0]["pattern"]["Regex"].endswith(PLAIN)
+        self.letter = {b: c for c, b in _byte_letters().items()}
 
         vocab = model["vocab"]
         self.rank: dict[tuple[int, int], int] = {}
@@ -90,8 +93,8 @@ class PrefixBpe:
             if atom or (i in self.parts and self.joins(*self.parts[i], self.born[i])):
                 self.automaton.add_word(text, (i, len(text)))
         self.automaton.make_automaton()
-        self.words = Recent(self._word)
-        self.piece = Recent(self._piece)
+        self.words = Recent(self._word, CACHE_WORDS)
+        self.piece = Recent(self._piece, 2 * CACHE_WORDS)
 
     def joins(self, left: int, right: int, until: int) -> bool:
         """Whether two neighbours meet unmerged before the merge of rank ``until``: walk back through their
@@ -123,31 +126,49 @@ class PrefixBpe:
     def ids(self, piece: str) -> list[int]:
         """The ids of one piece of a word, given as byte letters."""
         text = piece + END if self.suffix else piece
-        last, back = [-1] * (len(text) + 1), [0] * (len(text) + 1)
-        compatible = self.compatible
+        size = len(text)
+        last, back = [-1] * (size + 1), [0] * (size + 1)
+        known, compatible = self.stable.get, self.compatible
         for stop, (token, length) in self.automaton.iter(text):
             stop += 1
+            if last[stop] >= 0:
+                continue
             start = stop - length
-            if last[stop] < 0 and (start == 0 or (last[start] >= 0 and compatible(last[start], token))):
-                last[stop], back[stop] = token, start
-        out, at = [], len(text)
-        while at:
-            out.append(last[at])
-            at = back[at]
-        return out[::-1]
-
-    def _piece(self, piece: str):
-        letters = "".join(map(self.letter.__getitem__, piece.encode()))
-        ids = self.ids(letters)
-        return ids, [self.names[i] for i in ids]
-
-    def _word(self, word: str):
+            if start:
+                left = last[start]
+                if left < 0:
+                    continue
+                fits = known(left << 24 | token)
+                if fits is None:
+                    fits = compatible(left, token)
+                if not fits:
+                    continue
+            last[stop], back[stop] = token, start
+        out = []
+        while size:
+            out.append(last[size])
+            size = back[size]
+        out.reverse()
+        return out
+
+    def _piece(self, piece: str) -> tuple[bytes, str]:
+        ids = self.ids(piece.encode().decode("latin-1").translate(self.letter))
+        return array("i", ids).tobytes(), "".join([self.names[i] for i in ids])
+
+    def _word(self, word: str) -> tuple[bytes, str]:
         """(ids as int32 bytes, decoded text with a blank after every token) of what stands between blanks."""
         if self.fold:
-            word = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+            if not word.isascii():
+                word = unicodedata.normalize("NFC", word).replace("Σ", "σ")
+            word = word.lower()
+        if self.plain:  # letters, and perhaps one mark behind them, need no pattern
+            if word.isalpha():
+                return self.piece[word]
+            if word[-1] in ".,;:!?" and word[:-1].isalpha():
+                (a, x), (b, y) = self.piece[word[:-1]], self.piece[word[-1]]
+                return a + b, x + y
         found = [self.piece[p] for p in self.pieces.findall(word)]
-        ids = [i for x in found for i in x[0]]
-        return np.array(ids, "<i4").tobytes(), "".join(n + " " for x in found for n in x[1])
+        return b"".join([x[0] for x in found]), "".join([x[1] for x in found])
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """(ids as int32 bytes, the decoded text)."""
@@ -156,7 +177,7 @@ class PrefixBpe:
         else:
             found = []
             for k, part in enumerate(self.specials.split(text)):
-                found += [(np.array([self.special[part]], "<i4").tobytes(), part + " ")] if k % 2 else self._run(part)
+                found += [(array("i", [self.special[part]]).tobytes(), part + " ")] if k % 2 else self._run(part)
         return b"".join(map(itemgetter(0), found)), "".join(map(itemgetter(1), found))[:-1]
 
     def _run(self, text: str) -> list:
