@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import coords, kernels, shapes
 from geoloom.layer import BOX, GEOM, Layer, geometry, vertex
-from geoloom.operators.joins import BROADCAST_BYTES, BYTES_PER_ROW, BYTES_PER_VERTEX
+from geoloom.operators.joins import BROADCAST_BYTES, BYTES_PER_ROW, BYTES_PER_VERTEX, footprint
 from geoloom.operators.spread import spread_join
 from geoloom.sources.place import fresh_path
 
@@ -184,6 +184,8 @@ def nearest_join(
     px, py = flat[0](F.col("_cx")), flat[1](F.col("_cy"))
 
     tables, levels, occupied, small = _pyramid(right, k)
+    # text and other carried columns count with their actual length
+    small = small and footprint(right, columns=right_columns).bytes <= BROADCAST_BYTES
     small = small and rows_per_share is None
     options = {} if rows_per_share is None else {"rows_per_share": rows_per_share}
     frontier = None

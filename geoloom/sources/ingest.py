@@ -52,17 +52,6 @@ def type_name(dtype: T.DataType) -> str:
     return dtype.simpleString().upper()
 
 
-def normalize_types(df: DataFrame) -> DataFrame:
-    """Cast exotic numeric columns to the common types; what does not fit becomes null."""
-    columns = []
-    for field in df.schema.fields:
-        target = SPARK_TYPES.get(type_name(field.dataType))
-        column = F.col(f"`{field.name}`")
-        same = target is None or target == field.dataType or isinstance(field.dataType, T.TimestampType)
-        columns.append(column if same else column.try_cast(target).alias(field.name))
-    return df.select(*columns)
-
-
 def _canonical(df: DataFrame, geom: Column, source: str, id: str | None) -> tuple[Layer, DataFrame]:
     """Split rows into a layer (geometry first) and the quarantine of unreadable geometries."""
     parsed = df.withColumn(GEOM, geom)

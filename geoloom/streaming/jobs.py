@@ -91,11 +91,6 @@ def sliding_stream(
     return timeline.sliding_windows(stream.withWatermark(ts, watermark), ts, width, aggregates, keys)
 
 
-def late_rows(stream: DataFrame, ts: str, reference: str, delay_seconds: int) -> DataFrame:
-    """Rows that arrived more than a delay after their event time."""
-    return stream.filter(F.unix_micros(F.col(reference).cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp")) > delay_seconds * 1_000_000)
-
-
 def _ingest_batch(batch: DataFrame, batch_id: int, to_layer, root: str) -> None:
     layer = to_layer(batch)
     family = F.coalesce(shapes.family(F.col(GEOM)), F.lit("other"))
@@ -122,10 +117,6 @@ def ingested(spark: SparkSession, root: str, family: str | None = None) -> DataF
     return rows if family is None else rows.filter(F.col("family") == family)
 
 
-def ingest_counts(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(root).groupBy("batch", "family").agg(F.count("*").alias("n"))
-
-
 def live_zone_counts(
     events: Layer, zones: Layer, ts: str, width: str | int, value: str, watermark: str
 ) -> DataFrame:
