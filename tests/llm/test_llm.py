@@ -14,10 +14,8 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-import oracle
 from geoloom.llm import bpe, context_mixing, embedding_dedup, language, line_dedup, mixing, near_dup, quality, token_counts, toxicity
 from geoloom.llm.common import components
-from geoloom.llm.queries import ORACLES, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, size int, kept string, component_id int, n_words string, _text string, _id int"
@@ -478,11 +476,6 @@ def test_language_held_out(spark, edges, empty):
 # --- queries and pipeline ---------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
-def test_query_agrees_with_sql(spark, name):
-    assert oracle.difference(QUERIES[name](spark, SF), oracle.connect(SF), ORACLES[name]) is None
-
-
 def test_pipeline_stages(spark, docs, edges, empty, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for table, where in ((edges, str(tmp_path)), (empty, str(tmp_path)), (docs, SF)):
