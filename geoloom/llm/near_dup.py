@@ -233,6 +233,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     task holds a large group; only texts that occur in pairs are moved.
     """
     pairs = cut(pairs)
+    if pairs.isEmpty():
+        return pairs
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     rows = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
     wanted = rows.select("a", "block", F.col("b").alias("doc"), F.lit(0).alias("lead")).unionByName(
@@ -297,7 +299,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = 80, id: str = "doc_i
     level, depth = _first_level(sets, threshold), 1
     while True:
         wave = []
-        for _ in range(LEVELS):
+        for _ in range(1 if depth == 1 else LEVELS):  # large groups of copies are found, and done, at the first level
             nodes = _nodes(level)
             wave.append(nodes)
             depth += 1
