@@ -23,7 +23,7 @@ BITS = 16
 DIM = 8
 WINDOW = 6
 GRAMS = (3, 4, 5)
-PER_CLASS = 1_500
+PER_CLASS = 1_200
 HELD_OUT = 5
 
 
@@ -91,21 +91,23 @@ def windows(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _bags(texts: list[str]):
     """All n-gram cells of the sample's windows in window order, and each window's text."""
     cells, owner, text_of, base = [], [], [], 0
-    for row, _, part in chunks(pa.array(texts, pa.large_string())):
+    for row, _, part in chunks(pa.array(texts, pa.large_string()), 1 << 20):
         part = spaced(part)
         words = part.words()
         out = drop_repeats(words)
         start, stop, text = windows(words)
+        found = []
         for at, cell in grams(part, words):
             w = np.searchsorted(start, at, "right") - 1
             inside = (w >= 0) & (at < stop[np.maximum(w, 0)]) & ~out[at]
-            cells.append(cell[inside])
-            owner.append(w[inside] + base)
+            found.append((cell[inside].astype(np.uint16), w[inside].astype(np.int32)))
+        cell, w = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        order = np.argsort(w, kind="stable")
+        cells.append(cell[order])
+        owner.append(w[order] + np.int32(base))
         text_of.append(text + row)
         base += len(start)
-    owner, cells, text_of = np.concatenate(owner), np.concatenate(cells), np.concatenate(text_of)
-    order = np.argsort(owner, kind="stable")
-    return cells[order].astype(np.int64), owner[order], text_of
+    return np.concatenate(cells), np.concatenate(owner), np.concatenate(text_of)
 
 
 class _Adam:
@@ -120,7 +122,7 @@ class _Adam:
             p -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
 
 
-def train(sample: list[tuple[str, int]], epochs: int = 8, parts: int = 12, seed: int = 3) -> tuple[np.ndarray, float]:
+def train(sample: list[tuple[str, int]], epochs: int = 8, parts: int = 20, seed: int = 3) -> tuple[np.ndarray, float]:
     """(score of every table cell, bias): a window's log odds are the mean score of its cells plus the bias."""
     rng = np.random.default_rng(seed)
     y = np.array([s[1] for s in sample])
@@ -134,7 +136,7 @@ def train(sample: list[tuple[str, int]], epochs: int = 8, parts: int = 12, seed:
     for epoch in range(epochs):
         if epoch >= 2:  # only the worst window of a toxic text is toxic for sure
             score = table_ @ (out[:, 1] - out[:, 0])
-            z = np.add.reduceat(np.append(score[cells], 0), first[:-1]) / size
+            z = np.add.reduceat(np.append(score[cells], np.float32(0)), first[:-1]) / size
             order = np.lexsort((-z, text_of))
             worst = order[np.flatnonzero(np.append(True, text_of[order][1:] != text_of[order][:-1]))]
             target, weight = np.zeros(len(text_of), int), (~toxic).astype(np.float32)
@@ -146,8 +148,8 @@ def train(sample: list[tuple[str, int]], epochs: int = 8, parts: int = 12, seed:
             chosen = np.flatnonzero((group == part) & (weight > 0))
             if not len(chosen):
                 continue
-            mine = np.zeros(len(text_of), np.int64) - 1
-            mine[chosen] = np.arange(len(chosen))
+            mine = np.full(len(text_of), -1, np.int32)
+            mine[chosen] = np.arange(len(chosen), dtype=np.int32)
             of = mine[owner]
             used = of >= 0
             c, o = cells[used], of[used]
