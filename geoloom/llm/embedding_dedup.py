@@ -3,13 +3,16 @@
 Equal vectors merge at once. Random hyperplane buckets give every vector a first list of NEIGHBOURS; each round
 then compares the neighbours (both ways) of every vector with one another, as neighbours of neighbours are
 likely near, and keeps the nearest. An audit compares a fixed number of query vectors with all vectors; while it misses
-too many links, new buckets and rounds follow. A list full of links is saturated: it may hide further ones, so
-it is enlarged to the whole component its links reach, compared block by block. Only links of cosine THRESHOLD or more in
-double precision are kept.
+too many links, new buckets and rounds follow. A list full of links is saturated: it may hide further ones. Those
+inside its component are found by comparing the whole component block by block; those that leave it by new lists
+over the saturated vectors of other components only, again and again until no list holds a link. Only links of cosine
+THRESHOLD or more in double precision are kept.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -98,19 +101,99 @@ def _grouped(rows: DataFrame, by: list[str]) -> DataFrame:
     return dealt.groupBy(*by, "_block").agg(F.collect_list(F.struct("id", "least", "vec")).alias("m")).where(F.size("m") > 1).select("m")
 
 
-def _bucketed(vectors: DataFrame, dim: int, n: int, seed: int) -> DataFrame:
-    """Neighbour candidates from TABLES random-hyperplane tables with about BUCKET vectors to a bucket."""
-    bits = max(0, int(np.log2(max(1, n / BUCKET))))
+def _bits(n: int) -> int:
+    return max(0, int(np.log2(max(1, n / BUCKET))))
+
+
+def _codes(rows: DataFrame, dim: int, bits: int, tables: int, seed: int) -> DataFrame:
+    """(t, code, id, label, vec): the bucket of each row (id, label, vec) in ``tables`` random-hyperplane tables."""
 
     def run(batch: pa.RecordBatch):
-        x = _matrix(batch.column(1), np.float32)
-        for t in range(TABLES):
+        x = _matrix(batch.column(2), np.float32)
+        for t in range(tables):
             plane = np.random.default_rng([seed, t, dim]).normal(size=(dim, max(1, bits))).astype(np.float32)
             code = ((x @ plane > 0) @ (1 << np.arange(max(1, bits)))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code), batch.column(0), pa.array(np.full(len(x), -2, np.float32)), batch.column(1)], ["t", "code", "id", "least", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code), *batch.columns], ["t", "code", "id", "label", "vec"])
+
+    return arrow_map(rows.select("id", "label", "vec"), run, "t int, code long, id long, label long, vec binary")
+
+
+def _bucketed(vectors: DataFrame, dim: int, n: int, seed: int) -> DataFrame:
+    """Neighbour candidates from TABLES random-hyperplane tables with about BUCKET vectors to a bucket."""
+    rows = _codes(vectors.withColumn("label", F.col("id")), dim, _bits(n), TABLES, seed)
+    return _compare(_grouped(rows.withColumn("least", F.lit(-2.0).cast("float")), ["t", "code"]), NEIGHBOURS)
+
+
+def _across(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between members (t, code, id, label, vec) of one bucket with different labels; each member that has such
+    links within a pair of blocks gives its NEIGHBOURS nearest, so none is left without one.
+
+    A bucket is dealt into blocks of about ``block`` members and all pairs of its blocks are compared. A label of a block's
+    size or more has blocks of its own, which are not compared with one another.
+    """
+    by = ["t", "code"]
+    sizes = rows.groupBy(*by, "label").agg(F.count("*").alias("n"))
+    groups = sizes.groupBy(*by).agg(F.count("*").alias("labels"), F.sum(F.when(F.col("n") < block, F.col("n")).otherwise(0)).alias("rest")).where("labels > 1")
+    sizes = cut(sizes.join(groups, by))
+    large = sizes.where(F.col("n") >= block).select(*by, "label", F.ceil(F.col("n") / block).alias("parts"))
+    mixed = F.col("parts").isNull()
+    rest = F.greatest(F.lit(1), F.ceil(F.col("rest") / block))
+    place = F.when(mixed, F.pmod(F.xxhash64("label"), rest)).otherwise(F.xxhash64("label", F.pmod(F.xxhash64("id"), F.col("parts"))))
+    dealt = rows.join(groups, by).join(large, [*by, "label"], "left").select(*by, place.alias("block"), F.when(~mixed, F.col("label")).alias("own"), "id", "label", "vec")
+    small = sizes.where(F.col("n") < block).select(*by, F.pmod(F.xxhash64("label"), rest).alias("block"), F.lit(None).cast("long").alias("own"))
+    pieces = large.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "label")
+    blocks = cut(small.unionByName(pieces.select(*by, F.xxhash64("label", "part").alias("block"), F.col("label").alias("own"))).distinct())
+    x, y = blocks.toDF(*by, "x", "xo"), blocks.toDF(*by, "y", "yo")
+    pairs = x.join(y, by).where("x < y and (xo is null or yo is null or xo <> yo) or x = y and xo is null").select(*by, "x", "y")
+    left = dealt.join(pairs.withColumn("block", F.col("x")), [*by, "block"]).withColumn("side", F.lit(0))
+    right = dealt.join(pairs.withColumn("block", F.col("y")), [*by, "block"]).withColumn("side", F.lit(1))
+    members = left.unionByName(right).groupBy(*by, "x", "y").agg(F.collect_list(F.struct("side", "id", "label", "vec")).alias("m")).select("m")
+
+    def run(batch: pa.RecordBatch):
+        column = batch.column(0)
+        at, inner = np.asarray(column.offsets), column.values
+        side, ids, label = (inner.field(k).to_numpy() for k in ("side", "id", "label"))
+        v = _matrix(inner.field("vec"), np.float32)
+        a, b = [], []
+        for s, e in zip(at[:-1], at[1:]):
+            own, others = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
+            sim = v[own] @ v[others].T
+            sim[label[own][:, None] == label[others]] = -2
+            k = min(NEIGHBOURS, len(others))
+            near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+            row, col = np.nonzero(np.take_along_axis(sim, near, 1) >= THRESHOLD - 1e-4)
+            a.append(ids[own[row]])
+            b.append(ids[others[near[row, col]]])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    found = arrow_map(members, run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
-    rows = arrow_map(vectors.select("id", "vec"), run, "t int, code long, id long, least float, vec binary")
-    return _compare(_grouped(rows, ["t", "code"]), NEIGHBOURS)
+def _labelled(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, label, vec): the component of each vector, itself where it has none."""
+    return vectors.join(labels.toDF("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label"), "vec")
+
+
+def _enlarged(edges: DataFrame, near: DataFrame, vectors: DataFrame, classes: DataFrame, dim: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, component of each linked vector) with the links that saturated lists hide between components."""
+    full = near.where((F.size("near") >= NEIGHBOURS) & (F.element_at("near", -1)["sim"] >= THRESHOLD - 1e-4))
+    full = cut(vectors.join(full.select(F.col("a").alias("id")), "id"))
+    n, labels = full.count(), cut(components(edges))
+    for turn in count() if n else ():
+        more = cut(_exact(_across(_codes(_labelled(full, labels), dim, _bits(n), TABLES, 1000 * (seed + 1) + turn)), classes))
+        if more.isEmpty():
+            break
+        edges = cut(edges.unionByName(more))
+        labels = cut(components(edges))
+    return edges, labels
+
+
+def _close(near: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): the links among the lists' entries."""
+    close = near.select("a", F.explode("near").alias("x")).where(F.col("x.sim") >= THRESHOLD - 1e-4)
+    return _exact(close.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct(), classes)
 
 
 def _descend(near: DataFrame, vectors: DataFrame) -> tuple[DataFrame, int]:
@@ -198,7 +281,7 @@ def _linked(classes: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
 
     vectors = cut(arrow_map(classes.select("id", "vec"), narrow, "id long, vec binary"))
     n = classes.count()
-    near = None
+    near = edges = None
     for wave in range(WAVES):
         found = _bucketed(vectors, dim, n, wave)
         if near is not None:
@@ -208,9 +291,9 @@ def _linked(classes: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
             near, entered = _descend(near, vectors)
             if entered <= 0.001 * n * NEIGHBOURS:
                 break
-        close = near.select("a", F.explode("near").alias("x")).where(F.col("x.sim") >= THRESHOLD - 1e-4)
-        edges = _exact(close.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct(), classes)
-        labels = cut(components(edges))
+        now = _close(near, classes)
+        edges = cut(now if edges is None else edges.unionByName(now).distinct())  # a link stays, whatever enters the lists later
+        edges, labels = _enlarged(edges, near, vectors, classes, dim, wave)
         if audit(classes, labels) >= RECALL:
             break
     return _link_counts(classes, labels), labels

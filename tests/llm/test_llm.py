@@ -459,6 +459,32 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def dense_groups(groups, size, angle, seed=5):
+    """``groups`` runs of ``size`` vectors: cosine over 0.99 in a run, neighbouring runs ``angle`` apart."""
+    r = np.random.default_rng(seed)
+    centres = [[np.cos(g * angle), np.sin(g * angle), *[0.0] * 14] for g in range(groups)]
+    x = np.repeat(np.array(centres), size, 0) + 0.01 * r.normal(size=(groups * size, 16))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def dedup_vectors(spark, x):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {g["vec_id"]: g for g in rows_of(embedding_dedup.embedding_dedup(df))}
+    return [got[i]["n_links"] for i in range(len(x))], [got[i]["component_id"] for i in range(len(x))]
+
+
+@pytest.mark.parametrize("block", [256, 16])
+def test_embeddings_adjoining_dense_groups(spark, monkeypatch, block):
+    """All nearest neighbours of a vector are in its own group, but most of its links lead out of it."""
+    monkeypatch.setattr(embedding_dedup._across, "__defaults__", (block,))
+    monkeypatch.setattr(embedding_dedup, "audit", lambda *args, **named: 1.0)
+    x = dense_groups(2, 40, 0.3)
+    link = x @ x.T >= 0.9
+    np.fill_diagonal(link, False)
+    assert link.sum() == 80 * 79 and (np.argsort(-(x @ x.T), axis=1)[:, 1:7] // 40 == np.arange(80)[:, None] // 40).all()
+    assert dedup_vectors(spark, x) == (link.sum(1).tolist(), [0] * 80)
+
+
 # --- 10 language ------------------------------------------------------------------------------------------
 
 
