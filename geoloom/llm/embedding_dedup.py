@@ -2,8 +2,8 @@
 
 Equal vectors merge at once. Random hyperplane buckets give every vector a first list of NEIGHBOURS; each round
 then compares the neighbours (both ways) of every vector with one another, as neighbours of neighbours are
-likely near, and keeps the nearest. An audit compares a fixed number of query vectors with all vectors; while it misses
-too many links, new buckets and rounds follow. A list full of links is saturated: it may hide further ones. Those
+likely near, and keeps the nearest. An audit compares sampled query vectors with all vectors; while it misses too many
+links, new buckets and rounds follow, and in the end a comparison of all vectors in blocks. A list full of links is saturated: it may hide further ones. Those
 inside its component are found by comparing the whole component block by block; those that leave it by new lists
 over the saturated vectors of other components only, again and again until no list holds a link. Only links of cosine
 THRESHOLD or more in double precision are kept.
@@ -27,9 +27,12 @@ TABLES = 8
 BUCKET = 64  # vectors expected in a bucket
 BLOCK = 256  # vectors compared at once in a task
 ROUNDS = 3
-AUDIT = 256  # query vectors of the audit
+AUDIT = 256  # query vectors of an audit's first sample
+ENOUGH = 64  # linked query vectors an audit needs
+QUERIES = 2048  # query vectors broadcast at once
 RECALL = 0.98
-WAVES = 4
+WAVES = 4  # of buckets and rounds; if recall is still lower then, all vectors are compared
+WIDE = 4096  # vectors in a block of that comparison
 
 
 def _matrix(column: pa.Array, kind) -> np.ndarray:
@@ -105,6 +108,12 @@ def _bits(n: int) -> int:
     return max(0, int(np.log2(max(1, n / BUCKET))))
 
 
+def _tables(bits: int) -> int:
+    """So many tables that a pair at THRESHOLD shares a bucket of one with probability RECALL, TABLES at least."""
+    same = (1 - np.arccos(THRESHOLD) / np.pi) ** bits
+    return TABLES if same >= 1 else max(TABLES, int(np.ceil(np.log(1 - RECALL) / np.log(1 - same))))
+
+
 def _codes(rows: DataFrame, dim: int, bits: int, tables: int, seed: int) -> DataFrame:
     """(t, code, id, label, vec): the bucket of each row (id, label, vec) in ``tables`` random-hyperplane tables."""
 
@@ -119,8 +128,8 @@ def _codes(rows: DataFrame, dim: int, bits: int, tables: int, seed: int) -> Data
 
 
 def _bucketed(vectors: DataFrame, dim: int, n: int, seed: int) -> DataFrame:
-    """Neighbour candidates from TABLES random-hyperplane tables with about BUCKET vectors to a bucket."""
-    rows = _codes(vectors.withColumn("label", F.col("id")), dim, _bits(n), TABLES, seed)
+    """Neighbour candidates from random-hyperplane tables with about BUCKET vectors to a bucket."""
+    rows = _codes(vectors.withColumn("label", F.col("id")), dim, _bits(n), _tables(_bits(n)), seed)
     return _compare(_grouped(rows.withColumn("least", F.lit(-2.0).cast("float")), ["t", "code"]), NEIGHBOURS)
 
 
@@ -182,7 +191,8 @@ def _enlarged(edges: DataFrame, near: DataFrame, vectors: DataFrame, classes: Da
     full = cut(vectors.join(full.select(F.col("a").alias("id")), "id"))
     n, labels = full.count(), cut(components(edges))
     for turn in count() if n else ():
-        more = cut(_exact(_across(_codes(_labelled(full, labels), dim, _bits(n), TABLES, 1000 * (seed + 1) + turn)), classes))
+        codes = _codes(_labelled(full, labels), dim, _bits(n), _tables(_bits(n)), 1000 * (seed + 1) + turn)
+        more = cut(_exact(_across(codes), classes))
         if more.isEmpty():
             break
         edges = cut(edges.unionByName(more))
@@ -190,6 +200,18 @@ def _enlarged(edges: DataFrame, near: DataFrame, vectors: DataFrame, classes: Da
     return edges, labels
 
 
+def _finished(edges: DataFrame, vectors: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """Component of each linked vector, all vectors of different components compared, in blocks, until no link is left."""
+    block = int(np.clip(n // 16, BLOCK, WIDE))
+    while True:
+        labels = cut(components(edges))
+        rows = _labelled(vectors, labels).select(F.lit(0).alias("t"), F.lit(0).cast("long").alias("code"), "id", "label", "vec")
+        more = cut(_exact(_across(rows, block), classes))
+        if more.isEmpty():
+            return labels
+        edges = cut(edges.unionByName(more))
+
+
 def _close(near: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): the links among the lists' entries."""
     close = near.select("a", F.explode("near").alias("x")).where(F.col("x.sim") >= THRESHOLD - 1e-4)
@@ -222,26 +244,70 @@ def _exact(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return arrow_map(pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb"), run, "a long, b long")
 
 
-def audit(classes: DataFrame, labels: DataFrame, seed: int = 9) -> float:
-    """The share of the true links of about AUDIT vectors whose two ends are in one component (1 where there are none)."""
-    n = classes.count()
-    chosen = classes.where(F.pmod(seeded(seed, "id"), F.lit(1_000_000)) < int(min(1.0, AUDIT / max(1, n)) * 1_000_000) + 1).select("id", "vec").collect()
-    if not chosen:
-        return 1.0
-    ids = np.array([r[0] for r in chosen])
-    shared = classes.sparkSession.sparkContext.broadcast((ids, np.stack([np.frombuffer(r[1], np.float64) for r in chosen])))
+def _recalls(classes: DataFrame, labels: DataFrame, chosen: DataFrame) -> np.ndarray:
+    """For each of the ``chosen`` query vectors (id, vec) that has true links, the share of them in its own component."""
+    got = chosen.select("id", "vec").collect()
+    if not got:
+        return np.zeros(0)
+    shared = classes.sparkSession.sparkContext.broadcast((np.array([r[0] for r in got]), np.stack([np.frombuffer(r[1], np.float64) for r in got])))
 
     def run(batch: pa.RecordBatch):
         ids, q = shared.value
-        mine = batch.column(0).to_numpy()
+        mine, label = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         i, j = np.nonzero(_matrix(batch.column(1), np.float64) @ q.T >= THRESHOLD)
         keep = mine[i] != ids[j]
-        yield pa.RecordBatch.from_arrays([pa.array(mine[i][keep]), pa.array(ids[j][keep])], ["a", "b"])
+        pairs, n = np.unique(np.stack([ids[j][keep], label[i][keep]]), axis=1, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(n.astype(np.int64))], ["id", "label", "n"])
+
+    rows = _labelled(classes, labels).select("id", "vec", "label")
+    links = arrow_map(rows, run, "id long, label long, n long")
+    own = _labelled(chosen, labels).select("id", F.col("label").alias("own"))
+    each = links.join(own, "id").groupBy("id").agg((F.sum(F.when(F.col("label") == F.col("own"), F.col("n")).otherwise(0)) / F.sum("n")).alias("r"))
+    found = np.array([r[0] for r in each.select("r").collect()], float)
+    shared.destroy()
+    return found
+
+
+def audit(classes: DataFrame, labels: DataFrame, seed: int = 9) -> float:
+    """Estimated recall: the share of a linked vector's true links that lie in its component, each vector counting alike, however
+    many links it has; the lower of the averages within and outside the largest component (1 where nothing is linked).
 
-    links = arrow_map(classes.select("id", "vec"), run, "a long, b long")
-    la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
-    hit, total = links.join(la, "a", "left").join(lb, "b", "left").agg(F.coalesce(F.sum((F.col("la") == F.col("lb")).cast("long")), F.lit(0)), F.count("*")).first()
-    return hit / total if total else 1.0
+    Outside it, vectors with and without a component are sampled apart, as the latter are linked only if all their
+    links were missed. Their sample grows until it holds ENOUGH linked ones, or is so large without one that
+    (with 95 % certainty) the missed ones cannot bring recall below RECALL, or holds all.
+    """
+    sized = cut(labels.groupBy("component").agg(F.count("*").alias("n")))
+    largest = sized.orderBy(F.desc("n"), "component").first()
+    known = labels.toDF("id", "component")
+    drawn = classes.select("id", "vec").join(known, "id", "left").withColumn("place", F.pmod(seeded(seed, "id"), F.lit(1 << 40)) / float(1 << 40))
+
+    def part(rows: DataFrame, n: int, at: int, to: int) -> np.ndarray:
+        """Recalls of the sampled rows number ``at`` to ``to``, in about QUERIES at once."""
+        out = [np.zeros(0)]
+        for a in range(at, min(n, to), QUERIES):
+            b = min(n, to, a + QUERIES)
+            rank = rows.where((F.col("place") >= a / n) & (F.col("place") < (b / n if b < n else 2.0)))
+            out.append(_recalls(classes, labels, rank))
+        return np.concatenate(out)
+
+    inside = outside = 1.0
+    others = 0
+    if largest is not None:
+        others = labels.count() - largest["n"]
+        inside = part(drawn.where(F.col("component") == largest["component"]), largest["n"], 0, AUDIT).mean()
+    if others:
+        met = part(drawn.where(F.col("component") != largest["component"]), others, 0, AUDIT)
+        outside = met.mean() if len(met) else 1.0
+    alone = drawn.where("component is null")
+    n, at, size, missed = alone.count(), 0, AUDIT, 0
+    while at < n:
+        missed += len(part(alone, n, at, size))
+        at = min(n, size)
+        if missed >= ENOUGH or not missed and 3 * n / at <= (1 - RECALL) * others:
+            break
+        size *= 4
+    lost = missed * n / at if at else 0.0
+    return float(min(inside, outside * others / (others + lost) if lost else outside))
 
 
 def _link_counts(classes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -296,6 +362,8 @@ def _linked(classes: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
         edges, labels = _enlarged(edges, near, vectors, classes, dim, wave)
         if audit(classes, labels) >= RECALL:
             break
+    else:
+        labels = _finished(edges, vectors, classes, n)
     return _link_counts(classes, labels), labels
 
 
@@ -305,7 +373,8 @@ def embedding_dedup(rows: DataFrame, id: str = "vec_id", embedding: str = "embed
     Two vectors are linked if their cosine is THRESHOLD or more. Vectors that are null, empty or zero, or hold null or
     non-finite components, and rows without an id, have no link, are their own component and kept. Vectors of different
     lengths are never linked. Repeated rows are vectors of their own. An empty table gives an empty result.
-    Reported links are exact; links missed are audited (see ``audit``), and each wave adds tables until RECALL is met.
+    Reported links are exact; links missed are audited (see ``audit``), each wave adds tables until RECALL is met, and if
+    WAVES of them do not meet it all vectors of different components are compared, which misses none.
     """
     every = cut(unit_vectors(rows, id, embedding))
     classes = cut(every.where("vec is not null and vec_id is not null").groupBy("dim", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))

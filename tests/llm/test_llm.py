@@ -485,6 +485,34 @@ def test_embeddings_adjoining_dense_groups(spark, monkeypatch, block):
     assert dedup_vectors(spark, x) == (link.sum(1).tolist(), [0] * 80)
 
 
+def test_embeddings_reach_recall_or_finish(spark, monkeypatch):
+    """Buckets that part everything: the audit must see what is lost beside one large group, and the rest is done exactly."""
+    assert all(1 - (1 - 0.85643**b) ** embedding_dedup._tables(b) >= embedding_dedup.RECALL for b in range(25))
+    monkeypatch.setattr(embedding_dedup, "_bits", lambda n: 40)
+    monkeypatch.setattr(embedding_dedup, "_tables", lambda bits: 1)
+    monkeypatch.setattr(embedding_dedup, "WAVES", 1)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(80, 16))
+    x = np.concatenate([x[:1] + 1e-6 * r.normal(size=(300, 16)), x[1:], x[1:] + 0.1 * r.normal(size=(79, 16))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= 0.9
+    np.fill_diagonal(link, False)
+    assert dedup_vectors(spark, x) == (link.sum(1).tolist(), list(brute_labels(link)))
+    ids = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id long, vec binary")
+    one = spark.createDataFrame([(i, 0) for i in range(300)], "node long, component long")
+    assert embedding_dedup.audit(ids, one) < 0.1  # 99.8 % of the links, but hardly a linked vector besides
+    assert embedding_dedup.audit(ids, spark.createDataFrame(list(enumerate(brute_labels(link))), "node long, component long")) == 1.0
+
+
+def brute_labels(link):
+    label = np.arange(len(link))
+    while True:
+        low = np.minimum(label, np.where(link, label[None, :], len(link)).min(1)).astype(int)
+        if (low == label).all():
+            return label.tolist()
+        label = low
+
+
 # --- 10 language ------------------------------------------------------------------------------------------
 
 
