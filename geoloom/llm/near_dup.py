@@ -3,13 +3,14 @@
 Texts become sets of word shingles; equal sets merge at once. Every set has MINIMA minwise tokens (the smallest
 value of its shingles under as many hash functions). Each of TREES independent trees branches recursively: a
 node chooses some positions of the signature by a hash of its own path, about 1 / threshold of them, and sends
-a set to one child per chosen position, named by the set's minwise token there. Similar sets stay together
-along some path with a probability that falls only like 1 / depth; dissimilar ones part quickly.
+a set to one child per chosen position, named by the set's minwise token there. Dissimilar sets part quickly; of
+similar ones more and more lose their last common path with depth, so branching ends at the deepest level at which a
+pair at the threshold keeps one with probability RECALL.
 
 A node's members are first compared with its first member only. What that links becomes one component, and a
 node whose members are all of one component is done, however large; nodes of up to SMALL members are compared
 exhaustively across components, and so is a larger node in which at most SMALL members are outside its largest
-component; other large nodes branch on until none is left. Candidates whose sketches
+component; other large nodes branch on, and those left at the deepest level are compared in blocks. Candidates whose sketches
 agree in far too few positions are dropped, all others are confirmed on the full sets.
 """
 
@@ -29,7 +30,7 @@ MINIMA = 64
 TREES = 16
 SMALL = 32
 LEVELS = 3  # levels branched between two rounds of comparison
-DEEPEST = 60  # beyond it all nodes are compared across components: equal signatures cannot part
+RECALL = 0.99  # of pairs at the threshold, in nodes of the deepest level; nodes still large there are compared in blocks
 SLACK = 0.2  # a pair is confirmed if its sketches agree in at least threshold - SLACK of the positions
 #: Members confirmed against one copy of a group's first member in one task.
 BLOCK = 128
@@ -93,6 +94,34 @@ def _roots(threshold: float) -> list[tuple[int, int]]:
     return out
 
 
+def _lost(threshold: float, levels: int) -> float:
+    """The probability that two sets at the threshold have no common path of ``levels`` levels.
+
+    Some A of the MINIMA positions agree; each is chosen by a node with probability p, apart from other nodes, and the roots
+    of the first level are those of ``_roots``.
+    """
+    p = 1 / (threshold * MINIMA)
+    times = np.bincount([place for _, place in _roots(threshold)], minlength=MINIMA)
+    total = 0.0
+    for agree in range(MINIMA + 1):
+        gone = 0.0  # a node's paths all end within the levels left
+        for _ in range(levels - 1):
+            gone = (1 - p + p * gone) ** agree
+        sums = np.ones(1)  # sum over choices of positions of the product of what their roots lose, by number of positions
+        for n in times:
+            sums = np.append(sums, 0.0) + np.append(0.0, sums * gone ** int(n))
+        total += threshold**agree * (1 - threshold) ** (MINIMA - agree) * sums[agree]
+    return total
+
+
+def _deepest(threshold: float) -> int:
+    """The deepest level at which a pair at the threshold is together with probability RECALL."""
+    level = 1
+    while level < MINIMA and _lost(threshold, level + 1) <= 1 - RECALL:
+        level += 1
+    return level
+
+
 def _first_children(signature: np.ndarray, threshold: float):
     for tree, p in _roots(threshold):
         yield mix(signature[:, p].astype(U64) + mix(_PLACE[p : p + 1] + U64(tree + 1)))
@@ -202,11 +231,19 @@ def _within(nodes: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 
 def _apart(nodes: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """(a, b): in each node, every member outside its most frequent label against all members of other labels, where the
-    sketches agree enough. A node travels in blocks of about BLOCK members, each with a copy of those few."""
+    sketches agree enough. A node travels in blocks of about 4 * BLOCK members, each with a copy of those others, 32 * BLOCK at once."""
     rows = nodes.join(sets.select("doc", "sketch"), "doc").withColumn("blocks", F.ceil(F.col("n") / (4 * BLOCK)).cast("int"))
-    every = rows.select("key", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("odd"), "doc", "label", "sketch")
-    odd = rows.where("label <> most").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("odd"), "doc", "label", "sketch")
-    grouped = every.unionByName(odd).groupBy("key", "block").agg(F.collect_list(F.struct("odd", "doc", "label", "sketch")).alias("m")).select("m")
+    rows = rows.withColumn("shares", F.ceil(F.col("rest") / (32 * BLOCK)).cast("int"))
+
+    def dealt(n: str):
+        return F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+
+    def copied(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    every = rows.select("key", dealt("blocks").alias("block"), copied("shares").alias("share"), F.lit(0).alias("odd"), "doc", "label", "sketch")
+    odd = rows.where("label <> most").select("key", copied("blocks").alias("block"), dealt("shares").alias("share"), F.lit(1).alias("odd"), "doc", "label", "sketch")
+    grouped = every.unionByName(odd).groupBy("key", "block", "share").agg(F.collect_list(F.struct("odd", "doc", "label", "sketch")).alias("m")).select("m")
 
     def run(batch: pa.RecordBatch):
         column = batch.column(0)
@@ -283,7 +320,8 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = 80, id: str = "doc_i
     and empty texts, and texts of blanks, have no shingle and are linked with nothing. Rows that share an id count as one
     document with all their texts. A row without an id is linked with nothing, has a null component_id and is
     kept. An empty table gives an empty result. Every link reported is confirmed on full sets (equal sets: on size and
-    a 128-bit fingerprint); a pair at exactly 80 % is missed with a probability of about 1 % at worst.
+    a 128-bit fingerprint); a pair at exactly ``percent`` is missed with a probability of 1 - RECALL (1 %) at most, however
+    large and alike the texts around it, and nearer pairs less often.
     """
     threshold, least = percent / 100, int((percent / 100 - SLACK) * MINIMA)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -296,14 +334,14 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = 80, id: str = "doc_i
 
     links = _same_class(full, classes, equal)
     labels = components(links)
-    level, depth = _first_level(sets, threshold), 1
+    level, depth, deepest = _first_level(sets, threshold), 1, _deepest(threshold)
     while True:
         wave = []
-        for _ in range(1 if depth == 1 else LEVELS):  # large groups of copies are found, and done, at the first level
+        for _ in range(1 if depth == 1 else min(LEVELS, deepest + 1 - depth)):  # large groups of copies are found, and done, at the first level
             nodes = _nodes(level)
             wave.append(nodes)
             depth += 1
-            if nodes.where(F.col("n") > SMALL).isEmpty():
+            if depth > deepest or nodes.where(F.col("n") > SMALL).isEmpty():
                 break
             level = _next_level(nodes.where(F.col("n") > SMALL), sets, threshold)
         met = wave[0]
@@ -317,7 +355,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = 80, id: str = "doc_i
         deep = cut(_labelled(wave[-1].where(F.col("n") > SMALL).select("key", "doc"), labels, "doc", "label"))
         counts = deep.groupBy("key", "label").count().groupBy("key").agg(F.sum("count").alias("n"), F.max(F.struct("count", "label")).alias("most"))
         counts = counts.select("key", "n", F.col("most.label").alias("most"), (F.col("n") - F.col("most.count")).alias("rest")).where("rest > 0")
-        few = F.lit(True) if depth > DEEPEST else F.col("rest") <= SMALL
+        few = F.lit(True) if depth > deepest else F.col("rest") <= SMALL
         near = _within(_labelled(small, labels, "doc", "label"), sets, least).unionByName(_apart(deep.join(counts.where(few), "key"), sets, least))
         found = confirm(near.distinct(), texts, k, percent)
         if not found.isEmpty():

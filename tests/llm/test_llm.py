@@ -272,6 +272,20 @@ def test_near_duplicates_large_groups_branch(spark, monkeypatch):
     assert got == brute_components(rows, 4)[0]
 
 
+def test_near_duplicates_among_much_common_text(spark, monkeypatch):
+    """Texts that share much of their words stay together for many levels; pairs just above 80 % must not part before."""
+    assert near_dup._lost(0.8, near_dup._deepest(0.8)) <= 0.01 < near_dup._lost(0.8, near_dup._deepest(0.8) + 1)
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    shared, rows = sentence(900, 62).split(), []
+    for g in range(600):
+        own = [f"own{g}x{j}" for j in range(43)]
+        rows.append((2 * g, " ".join(shared + own)))
+        rows.append((2 * g + 1, " ".join(shared + own[:-11] + [f"new{g}x{j}" for j in range(11)])))  # 91 of 113 shingles of four words
+    got = {g["doc_id"]: g["component_id"] for g in rows_of(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4))}
+    assert all(got[i] in (i, i - i % 2) for i in got)
+    assert sum(got[2 * g + 1] == 2 * g for g in range(600)) >= 594
+
+
 def test_near_duplicates_edges(spark, edges, empty):
     got = rows_of(near_dup.near_duplicates(edges, 5))
     assert len(got) == len(edge_rows())
