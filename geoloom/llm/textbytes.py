@@ -100,8 +100,17 @@ class Words:
         self._hash: np.ndarray | None = None
 
     def hashes(self) -> np.ndarray:
+        """One hash a word, taken in pieces of whole words, so that a very long text needs no longer table of powers than
+        its longest word."""
         if self._hash is None:
-            self._hash = self.texts.hashes(self.start, self.end)
+            self._hash = np.zeros(len(self.start), U64)
+            at = 0
+            while at < len(self.start):
+                from_byte = self.start[at]
+                to = max(at + 1, int(np.searchsorted(self.end, from_byte + CHUNK_BYTES, "right")))
+                piece = Texts(self.texts.data[from_byte : self.end[to - 1]], self.texts.at[:0])
+                self._hash[at:to] = piece.hashes(self.start[at:to] - from_byte, self.end[at:to] - from_byte)
+                at = to
         return self._hash
 
     def windows(self, k: int) -> np.ndarray:
