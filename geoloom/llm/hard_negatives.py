@@ -28,8 +28,8 @@ from geoloom.operators.spread import spread_join
 SAMPLE = 16_384  # vectors the tree is fitted on
 DEGREE = 8
 CANDIDATES = 5  # sampled vectors per split point, of which distant ones are taken
-LEAF_SAMPLE = 64  # sampled vectors of a leaf at least, so there are some SAMPLE / 32 leaves at most
-LEAF = 512  # vectors expected in a leaf while there are few
+LEAF_SAMPLE = 512  # sampled vectors of a leaf at least: some 130 leaves at most, as every leaf may be sent every anchor
+LEAF = 1024  # vectors expected in a leaf while there are few
 BLOCK = 256  # vectors, or anchors, compared at once
 SHARE = 64  # blocks of a leaf that meet an anchor in one task
 LONGEST = 1 << 54  # squared length of an integer vector; 100 times a score must fit in 64 bits
@@ -37,7 +37,7 @@ NEVER = -(1 << 62)
 
 
 def integer_vectors(rows: DataFrame, anchor: Column, id: str, embedding: str, label: str, scale: int) -> DataFrame:
-    """(vec_id, label, anchor, q, norm): q is floor(scale * x) of every component as int32, norm its squared length. Rows
+    """(vec_id, label, anchor, q, norm): q is floor(scale * x) of every component, packed, norm its squared length. Rows
     without id, label or vector, with a null or non-finite component or too long a vector are left out."""
 
     def run(batch: pa.RecordBatch):
@@ -48,9 +48,8 @@ def integer_vectors(rows: DataFrame, anchor: Column, id: str, embedding: str, la
         for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
             x = flat[a:b]
             if np.isfinite(x).all() and (np.abs(x) < 1 << 30).all() and (x * x).sum() < LONGEST:
-                x = x.astype(np.int32)
                 kept.append(k)
-                found.append(x.tobytes())
+                found.append(packed(x))
                 norms.append(int((x.astype(np.int64) ** 2).sum()))
         taken = [batch.column(k).take(pa.array(kept, pa.int64())) for k in range(3)]
         yield pa.RecordBatch.from_arrays([*taken, pa.array(found, pa.binary()), pa.array(norms, pa.int64())], ["vec_id", "label", "anchor", "q", "norm"])
@@ -59,9 +58,15 @@ def integer_vectors(rows: DataFrame, anchor: Column, id: str, embedding: str, la
     return arrow_map(narrow.where("vec_id is not null and label is not null and e is not null"), run, "vec_id long, label long, anchor boolean, q binary, norm long")
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Integers in the narrower of two widths that holds them all, after a byte that names it; equal vectors are equal."""
+    narrow = bool((np.abs(x) < 1 << 15).all())
+    return (b"2" + x.astype("<i2").tobytes()) if narrow else (b"4" + x.astype("<i4").tobytes())
+
+
 def matrix(column: pa.Array) -> np.ndarray:
-    """The int32 vectors of a binary column as rows of doubles; shorter ones end in zeros."""
-    found = [np.frombuffer(x, np.int32) for x in column.to_pylist()]
+    """The packed vectors of a binary column as rows of doubles; shorter ones end in zeros."""
+    found = [np.frombuffer(x, "<i2" if x[:1] == b"2" else "<i4", offset=1) for x in column.to_pylist()]
     width = max((len(x) for x in found), default=0)
     out = np.zeros((len(found), width))
     for row, x in zip(out, found):
@@ -270,7 +275,8 @@ def _visited(anchors: DataFrame, tree, own: bool, blocks: int) -> DataFrame:
         taken = batch.take(pa.array(np.repeat(row, many), pa.int64()))
         yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.repeat(leaf, many).astype(np.int64)), pa.array(share.astype(np.int64))], [*batch.schema.names, "leaf", "share"])
 
-    visits = arrow_map(anchors.select("k1", "k2", "label", "norm", "q", "windows"), run, f"{ANCHOR}, leaf long, share long")
+    dealt = anchors.select("k1", "k2", "label", "norm", "q", "windows").repartition(min(blocks, 20_000), "k1")
+    visits = arrow_map(dealt, run, f"{ANCHOR}, leaf long, share long")
     return visits.groupBy("leaf", "share", F.pmod("k1", F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("k1", "k2", "label", "norm", "q", "windows")).alias("a"))
 
 
@@ -301,7 +307,7 @@ def _met(visits: DataFrame, blocks: DataFrame, k: int, same_label: bool) -> Data
             columns = [a.field("k1").take(pa.array(row)), a.field("k2").take(pa.array(row)), pa.array(p[w]), pa.array(value), m.field("ids").take(pa.array(col)), pa.array(same)]
             yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "p", "score", "ids", "same"])
 
-    pairs = visits.join(blocks, ["leaf", "share"]).select("a", "m")
+    pairs = visits.join(blocks.hint("merge"), ["leaf", "share"]).select("a", "m")  # neither side is small
     found = arrow_map(pairs, run, "k1 long, k2 long, p long, score long, ids array<long>, same boolean")
     return found.select("k1", "k2", "p", "score", F.explode("ids").alias("vec_id"), "same")
 
