@@ -34,7 +34,7 @@ PIECE = 1 << 20  # bytes of a very long text hashed at once
 LETTERS = np.frombuffer(b"-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz", np.uint8)  # ascending, as strings compare
 
 SLICE_BYTES = 16 << 20  # text in a slice of neighbours
-SAMPLED = 100_000  # keys from which the slices' bounds are taken; at most a quarter as many slices
+SAMPLED = 20_000  # keys from which the slices' bounds are taken; at most a quarter as many slices
 COPIES = 1_000  # equal rows given out by one task at once
 
 
@@ -205,7 +205,7 @@ def _beside(rows: DataFrame) -> DataFrame:
     placed = keyed.mapInArrow(place, schema)
     dealt = placed.select("*", F.explode(F.array_compact(F.array(F.struct(F.col("slice").alias("s"), F.lit(False).alias("guest")), F.when(F.col("guest_of") >= 0, F.struct(F.col("guest_of").alias("s"), F.lit(True).alias("guest")))))).alias("d"))
     laid = dealt.select(F.col("d.s").alias("s"), F.col("d.guest").alias("guest"), "z", "r", "h", "id", "text", "times")
-    return laid.repartition(n, "s").sortWithinPartitions("s", "guest", "z", "r", "h").select("guest", "id", "text", "times")
+    return laid.repartitionById(n, F.col("s").cast("int")).sortWithinPartitions("s", "guest", "z", "r", "h").select("guest", "id", "text", "times")
 
 
 def _order(id: Column, text: Column) -> list[Column]:
