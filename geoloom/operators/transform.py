@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoloom.functions import coords, kernels, shapes
-from geoloom.layer import BOX, GEOM, GEOMETRY, Layer, geometry, with_box
+from geoloom.layer import BOX, GEOM, GEOMETRY, Layer, geometry, point_layer, with_box
 from geoloom.operators.filters import simplify_tolerance
-from geoloom.operators.joins import box_pairs
-from geoloom.sources.place import fresh_path
+from geoloom.operators.joins import box_pairs, spatial_pairs
+from geoloom.operators.rings import polygons
+from geoloom.sources.place import written
 
 # A buffer's circle has this many segments per quadrant.
 QUADRANT_SEGMENTS = 8
@@ -175,10 +176,7 @@ def dissolve_pieces(layer: Layer, **options) -> DataFrame:
     spatial join and loses the stretches they cover.
     """
     # The unions are read by several steps: write them once.
-    spark = layer.df.sparkSession
-    path = fresh_path(spark, "tile-unions")
-    tile_unions(layer).df.write.parquet(path)
-    tiles = Layer(spark.read.parquet(path), "_tile", "polygon")
+    tiles = Layer(written(tile_unions(layer).df, "tile-unions"), "_tile", "polygon")
     rings = F.transform(
         F.flatten(F.transform(F.col(f"{GEOM}.parts"), _oriented_rings)), lambda ring: _ring_segments(ring)
     )
@@ -228,6 +226,24 @@ def dissolve_pieces(layer: Layer, **options) -> DataFrame:
     )
 
 
+def dissolve_parts(layer: Layer, **options) -> Layer:
+    """The union of a polygon layer as geometry: one row per connected part with its rings (part, part_area, boundary_length,
+    n_vertices, n_holes, geom) and the number of features it unites, ``feature_count``.
+
+    Parts that share single points only are parts of their own. A feature belongs to the part on or in which the middle of its first
+    edge lies. Areas are in degrees squared; features without a ring are in no part.
+    """
+    parts = polygons(written(dissolve_pieces(layer, **options), "pieces"), **options)
+    parts = parts.with_df(written(parts.df, "parts"))
+    ring = F.col(f"{GEOM}.parts")[0][0]
+    spots = layer.df.where(F.size(ring) > 1).select(layer.id, *[((ring[0][c] + ring[1][c]) / 2).alias(c) for c in ("x", "y")])
+    members = spatial_pairs(point_layer(spots, layer.id, "x", "y"), parts, "intersects", left_columns=[], right_columns=[], **options)
+    owner = members.groupBy(f"l_{layer.id}").agg(F.min("r_part").alias("part"))
+    counts = owner.groupBy("part").agg(F.count("*").alias("feature_count"), F.min(f"l_{layer.id}").alias("first_feature"))
+    rows = parts.df.join(counts, "part", "left").withColumn("feature_count", F.coalesce("feature_count", F.lit(0)))
+    return parts.with_df(rows)
+
+
 def _oriented_rings(part: Column) -> Column:
     """Shell counter-clockwise, holes clockwise."""
     return F.transform(

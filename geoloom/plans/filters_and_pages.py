@@ -281,7 +281,29 @@ def buffer_lines(spark, sf_dir):
     return transform.measure_layer(grown).select("line_id", "kind", rounded("area", 9), "n_points")
 
 
-@query("o50_dissolve_buffers")
+# The union's boundary: of every edge of every circle (a 32-gon) the stretches that no other circle covers. A
+# convex polygon covers one stretch of an edge, bounded by its 32 half-planes; stretches merge along the edge.
+@query(
+    "o50_dissolve_buffers",
+    f"""WITH corners AS (SELECT p.pt_id, p.lon, p.lat, t.i, p.lon + degrees(cos(t.i*2*pi()/32)*15000e0/6378137e0) AS x,
+      {INV_LAT.format(y="(" + MERCATOR_Y.format(lat="p.lat") + " + sin(t.i*2*pi()/32)*15000e0)")} AS y
+      FROM geo_points p CROSS JOIN range(32) t(i)),
+    edges AS (SELECT a.pt_id, a.lon, a.lat, a.i, a.x, a.y, b.x - a.x AS dx, b.y - a.y AS dy
+      FROM corners a JOIN corners b ON a.pt_id = b.pt_id AND b.i = (a.i + 1) % 32),
+    near AS (SELECT a.pt_id AS a, b.pt_id AS b FROM geo_points a JOIN geo_points b
+      ON a.pt_id <> b.pt_id AND abs(a.lon - b.lon) < 0.28e0 AND abs(a.lat - b.lat) < 0.28e0),
+    sides AS (SELECT e.pt_id, e.i, n.b, h.dx*(e.y - h.y) - h.dy*(e.x - h.x) AS c0, h.dx*e.dy - h.dy*e.dx AS c1
+      FROM edges e JOIN near n ON e.pt_id = n.a JOIN edges h ON h.pt_id = n.b),
+    stretches AS (SELECT pt_id, i, b, greatest(0e0, max(CASE WHEN c1 > 0 THEN -c0/c1 WHEN c1 = 0 AND c0 < 0 THEN 2e0 END)) AS t0,
+      least(1e0, min(CASE WHEN c1 < 0 THEN -c0/c1 END)) AS t1 FROM sides GROUP BY pt_id, i, b),
+    marks AS (SELECT pt_id, i, t0, t1 FROM stretches WHERE t1 > t0 UNION ALL SELECT pt_id, i, 1e0, 1e0 FROM edges),
+    gaps AS (SELECT pt_id, i, t0, coalesce(max(t1) OVER (PARTITION BY pt_id, i ORDER BY t0, t1
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS reach FROM marks)
+    SELECT (SELECT count(*) FROM geo_points) AS feature_count,
+      round(sum((g.t0 - g.reach) * (e.x*e.dy - e.y*e.dx)/2), 7) AS area,
+      round(sum((g.t0 - g.reach) * sqrt(e.dx*e.dx + e.dy*e.dy)), 6) AS boundary_length
+    FROM gaps g JOIN edges e USING (pt_id, i) WHERE g.t0 > g.reach""",
+)
 def dissolve_buffers(spark, sf_dir):
     grown = transform.buffer_layer(layers.points(spark, sf_dir), 15000.0)
     return transform.dissolve(grown).select(
@@ -317,6 +339,31 @@ def dissolve_boxes(spark, sf_dir):
     return transform.dissolve(envelopes).select("feature_count", rounded("area", 7))
 
 
+# Connected parts of the same union: boxes reach one another over pairs that share more than a point; the slabs are cut per part.
+@query(
+    "o50_dissolve_parts",
+    """WITH RECURSIVE boxes AS (SELECT parcel_id, least(x1,x4) AS x0, least(y1,y2) AS y0, greatest(x2,x3) AS x1, greatest(y3,y4) AS y1 FROM geo_parcels),
+    shared AS (SELECT a.parcel_id AS a, b.parcel_id AS b, least(a.x1, b.x1) - greatest(a.x0, b.x0) AS w, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS h
+      FROM boxes a JOIN boxes b ON a.x0 < b.x1 + 1e-9 AND b.x0 < a.x1 + 1e-9 AND a.y0 < b.y1 + 1e-9 AND b.y0 < a.y1 + 1e-9),
+    pairs AS (SELECT a, b FROM shared WHERE w > 1e-9 OR h > 1e-9),
+    reached AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reached r JOIN pairs p ON r.b = p.a),
+    parts AS (SELECT a AS parcel_id, min(b) AS first_feature FROM reached GROUP BY a),
+    placed AS (SELECT * FROM boxes JOIN parts USING (parcel_id)),
+    cuts AS (SELECT first_feature, x, lead(x) OVER (PARTITION BY first_feature ORDER BY x) AS nx
+      FROM (SELECT first_feature, x0 AS x FROM placed UNION SELECT first_feature, x1 FROM placed) u),
+    spans AS (SELECT first_feature, c.nx - c.x AS w, b.y0, b.y1,
+      max(b.y1) OVER (PARTITION BY first_feature, c.x ORDER BY b.y0, b.y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+      FROM cuts c JOIN placed b USING (first_feature) WHERE b.x0 <= c.x AND b.x1 >= c.nx AND c.nx > c.x),
+    areas AS (SELECT first_feature, round(sum(w * greatest(y1 - greatest(y0, coalesce(reach, y0)), 0)), 8) AS part_area FROM spans GROUP BY first_feature)
+    SELECT first_feature, count(*) AS feature_count, any_value(part_area) AS part_area
+    FROM parts JOIN areas USING (first_feature) GROUP BY first_feature""",
+)
+def dissolve_parts(spark, sf_dir):
+    parcels = layers.parcels(spark, sf_dir)
+    envelopes = box_layer(parcels.df.select("parcel_id", *BOX), "parcel_id")
+    return transform.dissolve_parts(envelopes).df.select("first_feature", "feature_count", rounded("part_area", 8))
+
+
 CORNERS_SQL = " UNION ALL ".join(f"SELECT parcel_id, x{i} AS x, y{i} AS y FROM geo_parcels" for i in (1, 2, 3, 4))
 
 

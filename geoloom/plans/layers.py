@@ -67,8 +67,9 @@ def with_views(sql: str) -> str:
     sql = sql.strip()
     if not used:
         return sql
-    if sql.upper().startswith("WITH "):
-        return "WITH " + ", ".join(used) + ", " + sql[5:]
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if sql.upper().startswith(head):
+            return head + ", ".join(used) + ", " + sql[len(head) :]
     return "WITH " + ", ".join(used) + "\n" + sql
 
 
