@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.functions import coords, kernels, shapes
+from geoloom.functions import clip, coords, kernels, shapes
 from geoloom.layer import BOX, GEOM, Layer
 from geoloom.operators.spread import spread_join
 
@@ -332,3 +332,17 @@ def overlay(left: Layer, right: Layer, **options) -> DataFrame:
         F.col("_relation.area").alias("shared_area"),
         F.col("_relation.length").alias("shared_length"),
     )
+
+
+def overlay_geometry(left: Layer, right: Layer, **options) -> DataFrame:
+    """(left id, right_<right id>, geom, rest) of every pair of a line or polygon with a polygon that share a length or an area:
+    ``geom`` is what they share, ``rest`` what of the left feature lies outside that right one (null: nothing).
+
+    Rings begin at their leftmost, lowest corner, without corners on straight lines; holes follow their shell. Pairs that
+    only touch are left out.
+    """
+    pairs = box_pairs(left, right, left_columns=[], right_columns=[], **options)
+    found = pairs.withColumn("_clip", clip.clip(F.col("l__geom"), F.col("r__geom"))).where("_clip.shared is not null")
+    return found.select(
+        F.col(f"l_{left.id}").alias(left.id), F.col(f"r_{right.id}").alias(f"right_{right.id}"), F.col("_clip.shared").alias(GEOM), F.col("_clip.rest").alias("rest")
+    )

@@ -452,21 +452,73 @@ def overlay_area(spark, sf_dir):
     return found.select("parcel_id", "right_zone_id", rounded("shared_area", 10))
 
 
+# What two convex polygons share is bounded by the stretches of either's edges inside the other one, and such a stretch is
+# bounded by the other one's half-planes.
+CONVEX_SHARED_SQL = """quads AS (SELECT parcel_id, i, x, y FROM geo_parcels c CROSS JOIN range(4) t(i),
+      LATERAL (SELECT CASE i WHEN 0 THEN c.x1 WHEN 1 THEN c.x2 WHEN 2 THEN c.x3 ELSE c.x4 END AS x,
+        CASE i WHEN 0 THEN c.y1 WHEN 1 THEN c.y2 WHEN 2 THEN c.y3 ELSE c.y4 END AS y) v),
+    corners AS (SELECT zone_id, i, CASE WHEN i IN (1, 2) THEN xmax ELSE xmin END AS x, CASE WHEN i IN (2, 3) THEN ymax ELSE ymin END AS y
+      FROM geo_zones CROSS JOIN range(4) t(i)),
+    pe AS (SELECT a.parcel_id, a.i, a.x, a.y, b.x - a.x AS dx, b.y - a.y AS dy FROM quads a JOIN quads b ON a.parcel_id = b.parcel_id AND b.i = (a.i + 1) % 4),
+    ze AS (SELECT a.zone_id, a.i, a.x, a.y, b.x - a.x AS dx, b.y - a.y AS dy FROM corners a JOIN corners b ON a.zone_id = b.zone_id AND b.i = (a.i + 1) % 4),
+    near AS (SELECT parcel_id, zone_id FROM geo_parcels c JOIN geo_zones z ON least(c.x1,c.x4) <= z.xmax AND greatest(c.x2,c.x3) >= z.xmin
+      AND least(c.y1,c.y2) <= z.ymax AND greatest(c.y3,c.y4) >= z.ymin),
+    sides AS (SELECT n.parcel_id, n.zone_id, 0 AS side, e.i, e.x, e.y, e.dx, e.dy, h.dx*(e.y - h.y) - h.dy*(e.x - h.x) AS c0, h.dx*e.dy - h.dy*e.dx AS c1
+      FROM near n JOIN pe e USING (parcel_id) JOIN ze h ON h.zone_id = n.zone_id
+      UNION ALL SELECT n.parcel_id, n.zone_id, 1, e.i, e.x, e.y, e.dx, e.dy, h.dx*(e.y - h.y) - h.dy*(e.x - h.x), h.dx*e.dy - h.dy*e.dx
+      FROM near n JOIN ze e USING (zone_id) JOIN pe h ON h.parcel_id = n.parcel_id),
+    stretches AS (SELECT parcel_id, zone_id, any_value(x) AS x, any_value(y) AS y, any_value(dx) AS dx, any_value(dy) AS dy,
+      greatest(0e0, max(CASE WHEN c1 > 0 THEN -c0/c1 WHEN c1 = 0 AND c0 < 0 THEN 2e0 END)) AS t0,
+      least(1e0, min(CASE WHEN c1 < 0 THEN -c0/c1 END)) AS t1 FROM sides GROUP BY parcel_id, zone_id, side, i),
+    shares AS (SELECT parcel_id, zone_id, sum((t1 - t0) * ((x + 105e0)*dy - (y - 39e0)*dx)/2) AS shared_area FROM stretches WHERE t1 > t0 GROUP BY parcel_id, zone_id)"""
+
+
 @query(
     "o57_overlay_parcels",
-    f"""SELECT c.parcel_id, round(0.5e0*abs((c.x1*c.y2-c.x2*c.y1)+(c.x2*c.y3-c.x3*c.y2)+(c.x3*c.y4-c.x4*c.y3)+(c.x4*c.y1-c.x1*c.y4)), 9)
-      AS shared_area FROM geo_parcels c
-    WHERE least(c.x1,c.x4) >= -109.05e0 AND greatest(c.x2,c.x3) <= -102.05e0
-      AND least(c.y1,c.y2) >= 37e0 AND greatest(c.y3,c.y4) <= 41e0""",
+    f"""WITH {CONVEX_SHARED_SQL} SELECT parcel_id, round(sum(shared_area), 9) AS shared_area FROM shares GROUP BY parcel_id HAVING sum(shared_area) > 1e-12""",
 )
 def overlay_parcels(spark, sf_dir):
-    """The zones tile the plane, so the shares of a parcel inside the tiling add up to its area."""
+    """The part of every parcel that lies in the zones, those that stick out of them included."""
+    shares = joins.overlay(layers.parcels(spark, sf_dir), layers.zones(spark, sf_dir))
+    return shares.groupBy("parcel_id").agg(F.round(F.sum("shared_area"), 9).alias("shared_area")).where("shared_area > 0")
+
+
+@query(
+    "o57_overlay_geometry",
+    f"""WITH {CONVEX_SHARED_SQL},
+    whole AS (SELECT parcel_id, sum((x + 105e0)*dy - (y - 39e0)*dx)/2 AS area FROM pe GROUP BY parcel_id)
+    SELECT parcel_id, zone_id AS right_zone_id, round(shared_area, 10) AS shared_area, round(area - shared_area, 10) + 0e0 AS rest_area
+    FROM shares JOIN whole USING (parcel_id) WHERE shared_area > 1e-12""",
+)
+def overlay_geometry(spark, sf_dir):
+    """Areas of the clipped shapes themselves: what each parcel shares with each zone, and what of it lies outside."""
+    found = joins.overlay_geometry(layers.parcels(spark, sf_dir), layers.zones(spark, sf_dir))
+    rest = F.coalesce(kernels.measure(F.col("rest"))["area"], F.lit(0.0))
+    return found.select("parcel_id", "right_zone_id", F.round(kernels.measure(F.col(GEOM))["area"], 10).alias("shared_area"), F.round(rest, 10).alias("rest_area"))
+
+
+@query(
+    "o57_overlay_corners",
+    """WITH boxes AS (SELECT parcel_id, least(x1,x4) AS x0, least(y1,y2) AS y0, greatest(x2,x3) AS x1, greatest(y3,y4) AS y1 FROM geo_parcels),
+    shares AS (SELECT b.parcel_id, z.zone_id, greatest(b.x0, z.xmin) AS x0, greatest(b.y0, z.ymin) AS y0, least(b.x1, z.xmax) AS x1, least(b.y1, z.ymax) AS y1,
+      (b.x0 < z.xmin - 1e-9)::INT + (b.x1 > z.xmax + 1e-9)::INT AS h, (b.y0 < z.ymin - 1e-9)::INT + (b.y1 > z.ymax + 1e-9)::INT AS v
+      FROM boxes b JOIN geo_zones z ON b.x0 < z.xmax - 1e-9 AND b.x1 > z.xmin + 1e-9 AND b.y0 < z.ymax - 1e-9 AND b.y1 > z.ymin + 1e-9)
+    SELECT parcel_id, zone_id AS right_zone_id, concat_ws(' ', round(x0, 6), round(y0, 6), round(x1, 6), round(y0, 6), round(x1, 6), round(y1, 6), round(x0, 6), round(y1, 6)) AS corners,
+      CASE WHEN h + v = 0 THEN 0 WHEN h = 0 OR v = 0 THEN 4 WHEN h + v = 2 THEN 6 ELSE 8 END AS rest_corners FROM shares""",
+)
+def overlay_corners(spark, sf_dir):
+    """Corner lists of what the parcels' envelopes share with the zones, from the leftmost, lowest corner on."""
     parcels = layers.parcels(spark, sf_dir)
-    tiled = parcels.with_df(
-        parcels.df.filter("xmin >= -109.05D AND xmax <= -102.05D AND ymin >= 37D AND ymax <= 41D")
+    envelopes = box_layer(parcels.df.select("parcel_id", *BOX), "parcel_id")
+    found = joins.overlay_geometry(envelopes, layers.zones(spark, sf_dir))
+    ring = F.col(f"{GEOM}.parts")[0][0]
+    numbers = F.flatten(F.transform(F.slice(ring, 1, F.size(ring) - 1), lambda p: F.array(F.round(p["x"], 6), F.round(p["y"], 6))))
+    return found.select(
+        "parcel_id",
+        "right_zone_id",
+        F.array_join(F.transform(numbers, lambda v: v.cast("string")), " ").alias("corners"),
+        F.when(F.col("rest").isNull(), 0).otherwise(F.size(F.col("rest.parts")[0][0]) - 1).alias("rest_corners"),
     )
-    shares = joins.overlay(tiled, layers.zones(spark, sf_dir))
-    return shares.groupBy("parcel_id").agg(F.round(F.sum("shared_area"), 9).alias("shared_area"))
 
 
 @query(
