@@ -608,67 +608,6 @@ def covered_intervals(segment: pa.Array, region: pa.Array, earlier: pa.Array) ->
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
-def stitch(pieces: np.ndarray) -> list[np.ndarray]:
-    """Chain directed pieces (n, 4) into closed rings."""
-    if not len(pieces):
-        return []
-    # Ends meet to about 1e-9 of the coordinates' size.
-    scale = 1e9 / max(1.0, np.abs(pieces).max() / 360.0)
-    begins = [tuple(p) for p in np.round(pieces[:, :2] * scale).astype(np.int64).tolist()]
-    ends = [tuple(p) for p in np.round(pieces[:, 2:] * scale).astype(np.int64).tolist()]
-    follow: dict = {}
-    for k, key in enumerate(begins):
-        follow.setdefault(key, []).append(k)
-    used = np.zeros(len(pieces), bool)
-    rings = []
-    for k in range(len(pieces)):
-        if used[k]:
-            continue
-        ring, at = [], k
-        while at is not None and not used[at]:
-            used[at] = True
-            ring.append(pieces[at, :2])
-            x, y = ends[at]
-            options = [
-                c
-                for dx in (0, -1, 1)
-                for dy in (0, -1, 1)
-                for c in follow.get((x + dx, y + dy), ())
-                if not used[c]
-            ]
-            at = options[0] if options else None
-        ring.append(ring[0])
-        if len(ring) > 3:
-            rings.append(np.array(ring))
-    return rings
-
-
-def as_polygons(rings: list[np.ndarray]) -> dict:
-    """Sort stitched rings into shells (counter-clockwise) with the holes they hold."""
-
-    def signed(ring):
-        d = ring - ring[0]
-        return (d[:-1, 0] * d[1:, 1] - d[1:, 0] * d[:-1, 1]).sum() / 2
-
-    def holds(shell, point):
-        x1, y1, x2, y2 = shell[:-1, 0], shell[:-1, 1], shell[1:, 0], shell[1:, 1]
-        straddles = (y1 > point[1]) != (y2 > point[1])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            at = x1 + (x2 - x1) * (point[1] - y1) / (y2 - y1)
-        return np.count_nonzero(straddles & (point[0] < at)) % 2 == 1
-
-    shells = sorted((r for r in rings if signed(r) > 0), key=signed)
-    parts = [[s] for s in shells]
-    for hole in (r for r in rings if signed(r) < 0):
-        middle = (hole[0] + hole[1]) / 2
-        for part in parts:
-            if holds(part[0], middle):
-                part.append(hole)
-                break
-    listed = [[[{"x": px, "y": py} for px, py in ring.tolist()] for ring in part] for part in parts]
-    return {"kind": "Polygon" if len(listed) == 1 else "MultiPolygon", "parts": listed}
-
-
 # Regions of a group united in one go; larger groups are united in rounds. Every region of a chunk is
 # compared with every other, so small chunks are cheaper: covered edges are gone by the next round.
 UNION_CHUNK = 8
@@ -676,6 +615,8 @@ UNION_CHUNK = 8
 
 def unite(regions: pa.Array, group: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Union of each group of polygon geometries (groups in ascending order)."""
+    from geoloom.functions.clip import trace  # tracing builds on this module
+
     while True:
         order_in_group = np.arange(len(group)) - np.searchsorted(group, group, side="left")
         lone = np.searchsorted(group, group, side="right") - np.searchsorted(group, group, side="left") == 1
@@ -685,13 +626,12 @@ def unite(regions: pa.Array, group: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         chunk = np.cumsum(order_in_group % UNION_CHUNK == 0) - 1
         many = np.flatnonzero(np.bincount(chunk)[chunk] > 1)
         pieces, of_chunk = outline(regions.take(pa.array(many)), chunk[many])
-        cuts = np.flatnonzero(np.diff(of_chunk)) + 1
-        merged = dict(zip(np.unique(of_chunk).tolist(), np.split(pieces, cuts)))
-        kept, first = [], np.flatnonzero(order_in_group % UNION_CHUNK == 0)
-        united = pa.array([as_polygons(stitch(p)) for p in merged.values()], GEOMETRY_ARROW)
+        first = np.flatnonzero(order_in_group % UNION_CHUNK == 0)
+        merged, owner = np.unique(of_chunk, return_inverse=True)
+        united = trace([*pieces.T, owner], len(merged))
         pool = pa.concat_arrays([regions.cast(GEOMETRY_ARROW), united])
-        place_of = {c: len(regions) + i for i, c in enumerate(merged)}
-        kept = [place_of.get(c, at) for c, at in enumerate(first.tolist())]
+        kept = first.copy()
+        kept[merged] = len(regions) + np.arange(len(merged))
         regions, group = pool.take(pa.array(kept)), group[first]
 
 
