@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoloom.functions import coords, shapes, text
-from geoloom.layer import BOX, GEOM, Layer, box_layer, geometry, vertex
-from geoloom.operators import filters, paging, profile, transform
+from geoloom.layer import BOX, GEOM, Layer, box_layer, geometry, vertex, with_box
+from geoloom.operators import filters, paging, profile, topology, transform
 from geoloom.plans import layers
 from geoloom.plans.joins_and_aggregates import (
     LINE_CENTROIDS,
@@ -257,6 +257,40 @@ def simplify_straight(spark, sf_dir):
     )
 
 
+def _tiling(spark, sf_dir) -> Layer:
+    """One tile per part, 50 to a row. A side bends out to its middle, by how much its line of the lattice says, and carries
+    smaller teeth; both neighbours have its nine vertices."""
+    df = layers.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tile_id"), (F.col("p_partkey") % 50).alias("c"), F.floor(F.col("p_partkey") / 50).alias("r"))
+
+    def along(base, k, j):
+        return F.when(j == 8, base + (k + 1) * 0.02).otherwise(base + k * 0.02 + j * 0.0025)
+
+    def across(base, k, j):
+        teeth = F.when((j % 8) == 0, 0.0).when(j == 4, 0.0).when(j % 2 == 1, 0.0001).otherwise(-0.0001)
+        return base + k * 0.02 + F.lit(0.002) * (1 + k % 3) * (1 - F.abs(j - 4) / 4) + teeth
+
+    def side(steps, upright, line):
+        x, y = F.lit(-110.0), F.lit(36.0)
+        spot = (lambda j: vertex(across(x, line, j), along(y, F.col("r"), j))) if upright else (lambda j: vertex(along(x, F.col("c"), j), across(y, line, j)))
+        return F.transform(F.array(*[F.lit(j) for j in steps]), spot)
+
+    up, down = range(8), range(8, 0, -1)
+    path = F.concat(side(up, False, F.col("r")), side(up, True, F.col("c") + 1), side(down, False, F.col("r") + 1), side(down, True, F.col("c")))
+    closed = F.concat(path, F.slice(path, 1, 1))
+    return Layer(with_box(df.select("tile_id", geometry("Polygon", F.array(F.array(closed))).alias(GEOM))), "tile_id", "polygon")
+
+
+# The teeth go and the bends stay, on both sides of a boundary: a tile gains what its neighbour loses.
+@query(
+    "o48_topology",
+    """SELECT tile_id, 9 AS n_points, round(0.0004e0 + 0.01e0*0.002e0*((c+1)%3 - c%3 + (r+1)%3 - r%3), 10) AS area
+    FROM (SELECT p_partkey AS tile_id, p_partkey%50 AS c, p_partkey//50 AS r FROM part) t""",
+)
+def simplify_topology(spark, sf_dir):
+    measured = transform.measure_layer(topology.simplify_topology(_tiling(spark, sf_dir), 0.0005))
+    return measured.select("tile_id", "n_points", rounded("area", 10))
+
+
 INV_LAT = "degrees(2*atan(exp({y}/6378137e0)) - pi()/2)"
 
 
