@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoloom.layer import BOX, GEOM, Layer
+from geoloom.operators import ranks
 
 # Default page sizes per family.
 PAGE_POLYGONS = 500
@@ -22,7 +23,7 @@ BROADCAST_IDS = 100_000
 # Numbering: rows one task numbers, and the most slices a table is cut into.
 ROWS_PER_SLICE = 100_000
 MAX_SLICES = 50_000
-# Beyond this depth a page is cut by row number instead of a top-n that one task would hold.
+# Beyond this depth a page is found by rank instead of by a top-n that one task would hold.
 DEEP_OFFSET = 200_000
 
 
@@ -45,11 +46,11 @@ def with_row_id(df: DataFrame, key: str, name: str = "oid", rows_per_slice: int
     )
 
 
-def _cuts(df: DataFrame, key: str, rows_per_slice: int) -> list:
-    """Keys that cut the table into slices of about the wanted size, from a bounded sample."""
+def _cuts(df: DataFrame, key: str, rows_per_slice: int, least: int = 1) -> list:
+    """Keys that cut the table into slices of about the wanted size, at least so many, from a bounded sample."""
     keys = df.select(key)
     rows = keys.count()
-    slices = min(-(-rows // rows_per_slice), MAX_SLICES)
+    slices = min(max(-(-rows // rows_per_slice), min(least, rows // 4)), MAX_SLICES)
     if slices <= 1:
         return []
     wanted = 16 * slices
@@ -70,28 +71,46 @@ def _slice_of(cuts: list):
 
 def take_rows(layer: Layer, indices: list[int], key: str | None = None) -> DataFrame:
     """Rows at the given 0-based positions in key order; positions past the end have none."""
-    numbered = with_row_id(layer.df, key or layer.id)
-    return numbered.join(_wanted(layer, indices), "oid", "left_semi").drop("oid")
-
-
-def _wanted(layer: Layer, ids: list[int]) -> DataFrame:
-    wanted = layer.df.sparkSession.createDataFrame([(int(i),) for i in ids], "oid long").distinct()
-    return F.broadcast(wanted) if len(ids) <= BROADCAST_IDS else wanted
+    return _at(layer, indices, key or layer.id).drop("oid")
 
 
 def by_ids(layer: Layer, ids: list[int]) -> DataFrame:
     """Rows whose row id (``oid``) is in ``ids``, with it."""
-    return with_row_id(layer.df, layer.id).join(_wanted(layer, ids), "oid", "left_semi")
+    return _at(layer, ids, layer.id)
+
+
+# Slices cut for each wanted row id: most slices then hold none and are neither ordered nor numbered.
+SLICES_PER_ID = 8
+
+
+def _at(layer: Layer, ids: list[int], key: str) -> DataFrame:
+    """The rows of some row ids. A histogram of the keys finds the slices that hold them."""
+    spark = layer.df.sparkSession
+    wanted = spark.createDataFrame([(int(i),) for i in ids], "oid long").distinct()
+    if len(ids) > BROADCAST_IDS:  # so many that most slices hold one
+        return with_row_id(layer.df, key).join(wanted, "oid", "left_semi")
+    wanted = F.broadcast(wanted)
+    cuts = _cuts(layer.df, key, ROWS_PER_SLICE, min(MAX_SLICES, SLICES_PER_ID * len(set(ids))))
+    in_slice = _slice_of(cuts)(F.col(key)) if len(cuts) else F.lit(0)
+    counts = sorted(layer.df.select(in_slice.alias("s")).groupBy("s").count().collect())
+    offsets, before = [], 0
+    for s, n in counts:
+        offsets.append((s, before))
+        before += n
+    return ranks.rows_at(layer.df, key, [int(i) for i in ids], "oid", in_slice, offsets).join(wanted, "oid", "left_semi")
 
 
 def order_columns(order_by: list[str]) -> list[Column]:
     """``["a", "b desc"]`` as sort columns with nulls last in both directions."""
-    columns = []
+    return [k.order for k in sort_keys(order_by)]
+
+
+def sort_keys(order_by: list[str]) -> list[ranks.Key]:
+    found = []
     for item in order_by:
         name, _, direction = item.strip().partition(" ")
-        descending = direction.strip().lower() == "desc"
-        columns.append(F.col(name).desc_nulls_last() if descending else F.col(name).asc_nulls_last())
-    return columns
+        found.append(ranks.Key(name, direction.strip().lower() == "desc"))
+    return found
 
 
 @dataclass(frozen=True)
@@ -108,19 +127,20 @@ def page(
     limit: int | None = None,
     offset: int = 0,
     where: Column | None = None,
+    deep: int = DEEP_OFFSET,
 ) -> Page:
-    """Filter, order (ties by id), cut. ``exceeded`` says rows remain after the page."""
+    """Filter, order (ties by id), cut. ``exceeded`` says rows remain after the page.
+
+    A page that ends within ``deep`` rows is a top-n; a deeper one is found by rank, in any order, whatever its depth.
+    """
     if limit is None:
         limit = PAGE_POLYGONS if layer.family == "polygon" else PAGE_OTHER
     rows = layer.df if where is None else layer.df.filter(where)
-    order = order_columns(order_by or []) + [F.col(layer.id).asc()]
-    plain_order = not order_by or order_by == [layer.id]
-    if offset + limit > DEEP_OFFSET and plain_order:
-        numbered = with_row_id(rows, layer.id, "_oid")
-        cut = numbered.filter((F.col("_oid") >= offset) & (F.col("_oid") < offset + limit)).drop("_oid")
-        cut = cut.orderBy(layer.id)
+    keys = sort_keys(order_by or []) + [ranks.Key(layer.id)]
+    if offset + limit > deep:
+        cut = ranks.rows_between(rows, keys, offset, limit)
     else:
-        cut = rows.orderBy(*order).offset(offset).limit(limit)
+        cut = rows.orderBy(*[k.order for k in keys]).offset(offset).limit(limit)
     total = rows.agg(F.count("*").alias("total_count"))
     summary = total.select(
         "total_count",

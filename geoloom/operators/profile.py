@@ -77,9 +77,9 @@ def geometry_kinds(layers: dict[str, Layer]) -> DataFrame:
 def column_stats(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """Per numeric column: min, max, mean, sample stddev, quartiles, distinct values.
 
-    Quartiles are exact (interpolated): a sketch first brackets each rank within a guaranteed error,
-    and only the values inside the brackets are counted and ordered. ``approximate`` takes the
-    sketches' answers as they are. NaN is no value, like null.
+    Quartiles are exact (interpolated): a sketch brackets each rank within a guaranteed error, and further sketches over the
+    values inside narrow a bracket until it holds few; only those are counted and ordered. ``approximate`` takes the
+    first sketches' answers as they are. NaN is no value, like null.
     """
     values = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns]
     if approximate:
@@ -94,14 +94,20 @@ def column_stats(df: DataFrame, columns: list[str], approximate: bool = False) -
         for c in columns
         if facts[c] is not None
     }
-    below = df.agg(
-        *_moments(columns, values, None),
-        *[
-            F.array(*[F.count_if(v < F.lit(lo)) for lo, _ in brackets[c]]).alias(f"{c}.below")
+    below = _counted(df, columns, values, brackets, _moments(columns, values, None))
+    while wide := _too_wide(brackets, below):
+        inner = [
+            F.percentile_approx(F.when((v >= F.lit(brackets[c][i][0])) & (v <= F.lit(brackets[c][i][1])), v), probes, SKETCH_ACCURACY).alias(f"{c}.{i}")
             for c, v in zip(columns, values)
-            if c in brackets
-        ],
-    )
+            for i, probes in wide.get(c, {}).items()
+        ]
+        found = df.agg(*inner).first()
+        narrower = {c: [tuple(found[f"{c}.{i}"]) if i in wide.get(c, {}) else b for i, b in enumerate(brackets[c])] for c in brackets}
+        if narrower == brackets:
+            break  # one value fills a bracket
+        brackets = narrower
+        below = _counted(df, columns, values, brackets, _moments(columns, values, None))
+    below = _one_row(df, below)
     inside = [
         F.when(
             (v >= F.lit(lo)) & (v <= F.lit(hi)),
@@ -123,6 +129,40 @@ def column_stats(df: DataFrame, columns: list[str], approximate: bool = False) -
     return _pick_quartiles(near, stats).drop("below", "n")
 
 
+def _counted(df: DataFrame, columns, values, brackets: dict, more: list) -> dict:
+    """One pass: ``more``, and per column the rows below and inside each bracket."""
+    counts = [
+        F.array(*[F.count_if(test(v, lo, hi)) for lo, hi in brackets[c]]).alias(f"{c}.{name}")
+        for c, v in zip(columns, values)
+        if c in brackets
+        for name, test in (("below", lambda v, lo, hi: v < F.lit(lo)), ("inside", lambda v, lo, hi: (v >= F.lit(lo)) & (v <= F.lit(hi))))
+    ]
+    return df.agg(*more, *counts).first().asDict()
+
+
+def _too_wide(brackets: dict, counted: dict) -> dict:
+    """{column: {quartile: probes}} of the brackets with more than FEW rows and more than one value: where in the bracket the
+    wanted rank lies, less and more the sketch's error."""
+    wide: dict = {}
+    margin = 3.0 / SKETCH_ACCURACY
+    for c, found in brackets.items():
+        for i, (lo, hi) in enumerate(found):
+            n = counted[f"{c}.inside"][i]
+            if n > FEW and lo < hi:
+                at = ((counted[f"{c}.n"] - 1) * QUARTILES[i] - counted[f"{c}.below"][i]) / n
+                wide.setdefault(c, {})[i] = [min(max(at + d, 0.0), 1.0) for d in (-margin, margin)]
+    return wide
+
+
+def _one_row(df: DataFrame, facts: dict) -> DataFrame:
+    """Facts already computed (a few numbers per column) as a table of one row."""
+    kinds = {"n": "bigint", "below": "array<bigint>", "inside": "array<bigint>"}
+    schema = ", ".join(f"`{name}` {kinds.get(name.rsplit('.', 1)[-1], 'double')}" for name in facts)
+    return df.sparkSession.createDataFrame([tuple(facts.values())], schema)
+
+
+# A bracket with more rows is narrowed by another sketch; so many are ordered in one task at most.
+FEW = 100_000
 # Fixed value: the ranks reported.
 QUARTILES = (0.25, 0.5, 0.75)
 # A sketch's rank error is at most the row count divided by this.

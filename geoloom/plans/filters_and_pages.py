@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import coords, shapes, text
 from geoloom.layer import BOX, GEOM, Layer, box_layer, geometry, vertex, with_box
-from geoloom.operators import filters, paging, profile, topology, transform
+from geoloom.operators import filters, paging, profile, ranks, topology, transform
 from geoloom.plans import layers
 from geoloom.plans.joins_and_aggregates import (
     LINE_CENTROIDS,
@@ -636,6 +636,32 @@ def page_summary(spark, sf_dir):
     return cut.summary
 
 
+# Deep pages in any order: 250 rows that begin past the middle of all line vertices, and 100 row ids spread over them.
+@query(
+    "o75_deep_page",
+    """SELECT line_id, seq, round(lat, 9) AS lat FROM geo_vertices ORDER BY line_id % 7 DESC, CASE WHEN seq > 5 THEN NULL ELSE lat END, line_id, seq
+    LIMIT 250 OFFSET (SELECT count(*) // 2 FROM geo_vertices)""",
+)
+def deep_page(spark, sf_dir):
+    rows = layers.line_vertices(spark, sf_dir)
+    rows = rows.withColumns({"g": F.col("line_id") % 7, "k": F.when(F.col("seq") <= 5, F.col("lat"))})
+    keys = paging.sort_keys(["g desc", "k", "line_id", "seq"])
+    cut = ranks.rows_between(rows, keys, rows.count() // 2, 250)
+    return cut.select("line_id", "seq", rounded("lat", 9))
+
+
+@query(
+    "o18_take_spread_rows",
+    """SELECT o_orderkey, n - 1 AS oid FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n, count(*) OVER () AS total FROM orders) o
+    WHERE (n - 1) % (total // 100 + 1) = 0""",
+)
+def take_spread_rows(spark, sf_dir):
+    orders = layers.table(spark, sf_dir, "orders").select("o_orderkey", F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"))
+    total = orders.count()
+    found = paging.by_ids(Layer(orders, "o_orderkey", "point"), list(range(0, total, total // 100 + 1)))
+    return found.select("o_orderkey", "oid")
+
+
 @query("o75_page_by_row_id", f"SELECT pt_id, val FROM {NUMBERED} n WHERE oid >= 70 AND oid < 120")
 def page_by_row_id(spark, sf_dir):
     """A page cut by row number, as deep pages are."""
