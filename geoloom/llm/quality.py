@@ -112,17 +112,66 @@ def base_figures(texts: Texts, words) -> dict[str, np.ndarray]:
     return out
 
 
-def _fit(x: list, y: np.ndarray, rounds: int = 60, rate: float = 2.0, decay: float = 1e-6):
-    """Adam on the full sample; x: (cells, values, row starts) with one entry per row and non-zero cell."""
-    cells, values, row = x
+class Grams:
+    """The n-gram cells of some texts, text by text: int32 cells, float32 shares and where each text's begin. Sums go over
+    BLOCK_CELLS entries at once, so a step needs little more memory than the entries themselves."""
+
+    def __init__(self, column: pa.Array):
+        cells, shares, sizes = [], [], []
+        for _, _, part in chunks(column, 1 << 20):
+            kinds = features(part, part.words())
+            for i in range(part.n):
+                sizes.append(0)
+                for kind, (cell, start, stop) in enumerate(kinds):
+                    found, times = np.unique(cell[start[i] : stop[i]], return_counts=True)
+                    cells.append((found + kind * CELLS).astype(np.int32))
+                    shares.append((times / max(1, times.sum())).astype(np.float32))
+                    sizes[-1] += len(found)
+        self.n = len(sizes)
+        self.start = np.append(0, np.cumsum(sizes)).astype(np.int64)
+        self.cells, self.shares = np.empty(self.start[-1], np.int32), np.empty(self.start[-1], np.float32)
+        for whole, parts in ((self.cells, cells), (self.shares, shares)):
+            at = 0
+            for part in parts:
+                whole[at : at + len(part)] = part
+                at += len(part)
+            parts.clear()
+
+    def blocks(self):
+        """(from text, to text) of about BLOCK_CELLS entries each."""
+        row = 0
+        while row < self.n:
+            to = max(row + 1, int(np.searchsorted(self.start, self.start[row] + BLOCK_CELLS, "right")) - 1)
+            yield row, to
+            row = to
+
+    def scores(self, weight: np.ndarray, row: int, to: int) -> np.ndarray:
+        a, b = self.start[row], self.start[to]
+        total = np.append(0.0, np.cumsum(weight[self.cells[a:b]] * self.shares[a:b]))
+        return total[self.start[row + 1 : to + 1] - a] - total[self.start[row:to] - a]
+
+    def gradient(self, off: np.ndarray, row: int, to: int) -> np.ndarray:
+        a, b = self.start[row], self.start[to]
+        each = np.repeat(off, np.diff(self.start[row : to + 1])) * self.shares[a:b]
+        return np.bincount(self.cells[a:b], each, 4 * CELLS)
+
+
+BLOCK_CELLS = 1 << 19
+
+
+def _fit(x: Grams, y: np.ndarray, learnt: np.ndarray, rounds: int = 60, rate: float = 2.0, decay: float = 1e-6):
+    """Adam on all ``learnt`` texts at every step."""
     weight, bias = np.zeros(4 * CELLS), 0.0
     m, v = np.zeros(4 * CELLS + 1), np.zeros(4 * CELLS + 1)
-    rows = len(y)
-    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    good, bad = max(1, (y[learnt] == 1).sum()), max(1, (y[learnt] == 0).sum())
+    share = np.where(y == 1, 0.5 / good, 0.5 / bad) * learnt
     for t in range(1, rounds + 1):
-        z = np.bincount(row, weight[cells] * values, rows) + bias
-        off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
-        g = np.append(np.bincount(cells, off[row] * values, 4 * CELLS) + decay * weight, off.sum())
+        g = np.append(decay * weight, 0.0)
+        for row, to in x.blocks():
+            z = x.scores(weight, row, to) + bias
+            off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[row:to]) * share[row:to]
+            g[:-1] += x.gradient(off, row, to)
+            g[-1] += off.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         weight -= step[:-1]
@@ -130,19 +179,6 @@ def _fit(x: list, y: np.ndarray, rounds: int = 60, rate: float = 2.0, decay: flo
     return weight, bias
 
 
-def _sparse(texts: list[str]):
-    column = pa.array(texts, pa.large_string())
-    cells, values, rows = [], [], []
-    for row, _, part in chunks(column):
-        for kind, (cell, start, stop) in enumerate(features(part, part.words())):
-            for i in range(part.n):
-                found, times = np.unique(cell[start[i] : stop[i]], return_counts=True)
-                cells.append(found.astype(np.int64) + kind * CELLS)
-                values.append(times / max(1, times.sum()))
-                rows.append(np.full(len(found), row + i))
-    return np.concatenate(cells), np.concatenate(values), np.concatenate(rows)
-
-
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
     """Tables, bias and calibration, learnt from at most about 2 * per_class labelled rows. Without labels of both
     classes every text gets probability 1."""
@@ -150,12 +186,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
     y = np.array([s[1] for s in sample], float)
     if len(set(y)) < 2:
         return {"weight": np.zeros((4, CELLS), np.float32), "bias": 0.0, "slope": 0.0, "shift": 30.0}
-    cells, values, rows = _sparse([s[0] for s in sample])
+    column = pa.array([s[0] for s in sample], pa.large_string())
+    sample.clear()
+    x = Grams(column)
     held = np.arange(len(y)) % 4 == 0
-    number = np.cumsum(~held) - 1
-    mine = ~held[rows]
-    weight, bias = _fit((cells[mine], values[mine], number[rows[mine]]), y[~held])
-    z = np.bincount(rows, weight[cells] * values, len(y)) + bias
+    weight, bias = _fit(x, y, ~held)
+    z = np.concatenate([x.scores(weight, row, to) for row, to in x.blocks()]) + bias
     natural = labels.where("quality in (0, 1)").agg(F.avg("quality")).first()[0]
     slope, shift = _calibrate(z[held], y[held], natural)
     return {"weight": weight.reshape(4, CELLS).astype(np.float32), "bias": bias, "slope": slope, "shift": shift}
