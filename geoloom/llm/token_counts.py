@@ -64,14 +64,30 @@ def _counter(kind: str, body: bytes):
         processor = sentencepiece.SentencePieceProcessor(model_proto=body)
         return lambda text: len(processor.encode(text, num_threads=1))
     ranks = _rank_encoder(json.loads(body))
-    if ranks is not None:
-        return lambda text: len(ranks.encode(text, allowed_special="all"))
+    if ranks is None:
+        return lambda text: _by_library(body, text)
+
+    def count(text: str) -> int:
+        try:
+            return len(ranks.encode(text, allowed_special="all"))
+        except ValueError:  # the encoder's pattern cannot pass a run of about a million blanks
+            return _by_library(body, text)
+
+    return count
+
+
+@lru_cache(maxsize=2)
+def _library(body: bytes):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(body.decode())
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
+    return tokenizer
+
+
+def _by_library(body: bytes, text: str) -> int:
+    return len(_library(body).encode(text, add_special_tokens=False).ids)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, cache: str, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -79,7 +95,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id: str = "doc_id"
 
     A null or empty text has 0 bytes and 0 tokens. Repeated rows and texts keep their rows; a text is encoded
     once however often it occurs. Other columns are ignored, whatever their names. An empty table gives an
-    empty result. The vocabulary file (a few MB, fixed) is read where the job starts and sent to the tasks.
+    empty result. The vocabulary file (a few MB, fixed) is read where the job starts and sent to the tasks. Very long
+    texts, runs of millions of blanks included, are encoded whole.
     Equal content is found by SHA-256; copies merge in each task before the shuffle, so a text that fills a
     third of the table costs one row per task. A run that dies while appending leaves no partial rows, and
     running twice at once can at worst store a count twice, which the join's side removes.
