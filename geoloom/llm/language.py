@@ -30,6 +30,8 @@ _CLEAN = LOWER.copy()
 _CLEAN[SPACE] = 32
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0xC3, 256)]] = True
+_MAYBE_LETTER = _LETTER.copy()  # first bytes of letters: 0xC2 begins three of them
+_MAYBE_LETTER[0xC2] = True
 
 
 def cut_windows(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +162,7 @@ def language_id(docs: DataFrame, held_out: int = HELD_OUT, per_language: int = P
     def score(batch: pa.RecordBatch):
         languages, net = shared.value
         for row, to, texts in chunks(batch.column(1)):
-            lettered = texts.per_text(_LETTER[texts.data]) > 0
+            lettered = texts.per_text(_MAYBE_LETTER[texts.data]) > 0
             plain = texts.per_text((texts.data | 32) - np.uint8(97) < 26) > 0
             for i in np.flatnonzero(lettered & ~plain):
                 lettered[i] = has_letter(texts.data[texts.at[i] : texts.at[i + 1]].tobytes().decode())
