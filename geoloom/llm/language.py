@@ -171,7 +171,7 @@ def language_id(docs: DataFrame, held_out: int = HELD_OUT, per_language: int = P
                 window, text = cut_windows(texts)
                 weight = _LETTER[window].sum(1) + 1e-3
                 logs = net.log_probabilities(window) * weight[:, None]
-                z = np.stack([np.bincount(text, logs[:, k], texts.n) for k in range(len(languages))], 1)
+                z = np.stack([np.bincount(text, logs[:, k], texts.n) for k in range(len(languages))], 1).astype(float)  # integers where all are empty
                 z /= np.maximum(np.bincount(text, weight, texts.n), 1e-9)[:, None]
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
