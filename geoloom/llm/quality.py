@@ -227,7 +227,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
     def score(batch: pa.RecordBatch):
         m = model.value
-        for row, to, texts in chunks(batch.column(1)):
+        for row, to, texts in chunks(batch.column(1), 1 << 20):
             words = texts.words()
             out = base_figures(texts, words)
             z = np.full(texts.n, m["bias"])
