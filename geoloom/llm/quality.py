@@ -222,12 +222,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", F.col(text).alias("text")), labels, per_class))
     schema = StructType().add("row", docs.schema)
+    place = docs.columns.index(text)
     for field in COLUMNS.split(", "):
         schema = schema.add(*field.split())
 
     def score(batch: pa.RecordBatch):
         m = model.value
-        for row, to, texts in chunks(batch.column(1), 1 << 20):
+        for row, to, texts in chunks(batch.column(0).field(place), 1 << 20):
             words = texts.words()
             out = base_figures(texts, words)
             z = np.full(texts.n, m["bias"])
@@ -238,8 +239,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
             columns = [batch.column(0).slice(row, to - row), *(pa.array(c) for c in out.values())]
             yield pa.RecordBatch.from_arrays(columns, ["row", *out])
 
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("_text"))
-    return arrow_map(rows, score, schema)
+    return arrow_map(docs.select(F.struct("*").alias("row")), score, schema)
 
 
 @query("op2_quality")
