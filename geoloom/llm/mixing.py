@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -101,27 +102,69 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     return taken
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """``docs`` as a table read from files, whose rows have places (file, row number) that recomputed tasks agree on."""
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"]).schema
+    except AnalysisException:
+        return cut(docs)
+    return docs
+
+
+def _end(rows: DataFrame, goals: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """(keys, by, _take): for each goal (keys, _take) the value of ``by`` at which the first ``_take`` of its rows in that order
+    end, and how many rows of that value are still to be taken. Rows are counted before anything is ordered."""
+    counts = rows.join(goals, keys).groupBy(*keys, "_take", *by).count()
+    before = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    counted = counts.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    ends = counted.where("_before < _take and _take <= _before + count")
+    return ends.select(*keys, *by, (F.col("_take") - F.col("_before")).alias("_take"))
+
+
 def mix_sources(docs: DataFrame, keep: list[str] | None = None, most: int = MOST, seed: int = 17, text: str = "text") -> DataFrame:
     """One row per input row: ``row`` (a struct of the columns ``keep``; all by default, whatever their names), size,
     source_size, target and ``times``: how often the mix takes the document (0 to ``most``); its words in the mix are
     size * times.
 
-    A null or empty text has size 0 and is never taken (it adds no word). A null source is a source of its own, the last.
-    Rows that share id and source have one place in the seeded order and are taken together. A table without words
-    has targets of 0; an empty table gives an empty result.
+    A null or empty text has size 0 and is never taken (it adds no word). A null source is a source of its own, the last. A very
+    long text is one document of its length: it is taken when the knapsack finds room for it. A table without words
+    has targets of 0; an empty table gives an empty result. Rows that share id and source are ordered by a hash of the
+    text; equal rows by their place in the files, so exactly as many of them are taken as the budget needs (which of
+    them, makes no difference to the mix).
 
     What is gathered per source is its count of documents per exact length: one row for each length that occurs, not
-    for each document. The seeded order cuts every (source, length) group into PARTS parts by hash; counts tell in which part
-    the choice ends, and only that part is ranked, so a group that holds a third of all rows is no single task's.
+    for each document. The seeded order is followed from coarse to fine: counts tell in which of PARTS hash parts of a (source,
+    length) group the choice ends, then at which id and text in that part, then in which part of that text's copies, then at
+    which copy. Only what is left after each step is counted on, so neither a group nor a repeated row that holds
+    a third of all rows is ordered in one task.
     """
-    order = seeded(seed, "doc_id", "source")
-    rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("source").alias("_source"), word_count(text).alias("size"), order.alias("_order"))
+    docs = _identified(docs)
+    place = docs.metadataColumn("_metadata")
+    source, order = F.col("source"), seeded(seed, "doc_id", "source")
+    tie = F.xxhash64(place["file_path"], place["row_index"])
+    rows = docs.select(
+        F.struct(*(keep or ["*"])).alias("row"),
+        source.isNull().alias("_none"),
+        F.coalesce(source, F.lit("")).alias("_source"),
+        word_count(text).alias("size"),
+        F.struct(
+            F.pmod(F.shiftrightunsigned(order, 40), F.lit(PARTS)).alias("_part"),
+            order.alias("_order"),
+            F.xxhash64(F.col(text)).alias("_text"),
+            F.pmod(F.shiftrightunsigned(tie, 40), F.lit(PARTS)).alias("_tie_part"),
+            tie.alias("_tie"),
+        ).alias("_at"),
+    )
     if keep is not None:
         rows = cut(rows)  # narrow: texts are read once
-    parted = rows.select("_source", "size", "_order", F.pmod(F.shiftrightunsigned("_order", 40), F.lit(PARTS)).alias("_part"))
-    narrow = cut(parted.groupBy("_source", "size", "_part").count())
-    lengths = cut(narrow.groupBy("_source", "size").agg(F.sum("count").alias("n")))
-    aimed = cut(targets(lengths.groupBy(F.col("_source").alias("source")).agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")), most))
+    group = ["_none", "_source", "size"]
+    parted = rows.select(*group, "_at.*")
+    if keep is None:
+        parted = cut(parted)
+    lengths = cut(parted.groupBy(*group).agg(F.count("*").alias("n")))
+    per_source = lengths.groupBy("_none", "_source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
+    aimed = cut(targets(per_source.select(F.when(~F.col("_none"), F.col("_source")).alias("source"), "source_size"), most))
+    aimed = aimed.select(F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"), "source_size", "target")
 
     def choose(group: pa.Table) -> pa.Table:
         size, n = group["size"].to_numpy(), group["n"].to_numpy()
@@ -131,29 +174,23 @@ def mix_sources(docs: DataFrame, keep: list[str] | None = None, most: int = MOST
         word = size > 0
         extra = np.zeros(len(n), np.int64)
         extra[word] = fit_budget(size[word], n[word], rest)
-        found = {"_source": group["_source"], "size": size, "passes": np.where(word, passes, 0), "extra": extra, "source_size": group["source_size"], "target": group["target"]}
+        found = {"_none": group["_none"], "_source": group["_source"], "size": size, "passes": np.where(word, passes, 0), "extra": extra, "source_size": group["source_size"], "target": group["target"]}
         return pa.table(found)
 
     ship(docs.sparkSession)
-    l, a = lengths.alias("l"), aimed.alias("a")
-    joined = l.join(a, F.expr("l._source <=> a.source")).select("l._source", "l.size", "l.n", "a.source_size", "a.target")
-    plan = cut(joined.groupBy("_source").applyInArrow(choose, "_source string, size long, passes long, extra long, source_size long, target double"))
-
-    # the place in the seeded order at which each group's choice ends
-    before = Window.partitionBy("_source", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counted = narrow.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    c, p = counted.alias("c"), plan.where("extra > 0").alias("p")
-    ends = c.join(p, F.expr("c._source <=> p._source and c.size = p.size")).where("_before < extra and extra <= _before + count")
-    ends = ends.select("c._source", "c.size", "c._part", (F.col("extra") - F.col("_before")).alias("_take")).alias("e")
-    last = parted.alias("r").join(ends, F.expr("r._source <=> e._source and r.size = e.size and r._part = e._part"))
-    last = last.select("r._source", "r.size", "r._part", "_order", "_take").withColumn("_rank", F.row_number().over(Window.partitionBy("_source", "size", "_part").orderBy("_order")))
-    last = last.where("_rank = _take").select(F.col("_source").alias("_s"), F.col("size").alias("_n"), F.col("_part").alias("_cut_part"), F.col("_order").alias("_cut"))
-    plan = cut(plan.join(last, F.expr("_source <=> _s and size = _n"), "left").select(F.col("_source").alias("_psource"), F.col("size").alias("_psize"), "passes", "source_size", "target", "_cut_part", "_cut"))
-
-    part = F.pmod(F.shiftrightunsigned("_order", 40), F.lit(PARTS))
-    more = (part < F.col("_cut_part")) | ((part == F.col("_cut_part")) & (F.col("_order") <= F.col("_cut")))
-    found = rows.join(plan, F.expr("_source <=> _psource and size = _psize"))
-    return found.select("row", "size", "source_size", "target", (F.col("passes") + F.coalesce(more, F.lit(False)).cast("long")).alias("times"))
+    joined = lengths.join(aimed, ["_none", "_source"])
+    plan = cut(joined.groupBy("_none", "_source").applyInArrow(choose, "_none boolean, _source string, size long, passes long, extra long, source_size long, target double"))
+
+    ends, keys = plan.where("extra > 0").select(*group, F.col("extra").alias("_take")), group
+    for by in (["_part"], ["_order", "_text"], ["_tie_part"], ["_tie"]):
+        ends = _end(parted, ends, keys, by)
+        keys = keys + by
+    ends = ends.select(*group, F.struct("_part", "_order", "_text", "_tie_part", "_tie").alias("_cut"))
+    plan = cut(plan.join(ends, group, "left").drop("extra"))
+
+    found = rows.join(plan, group)
+    more = F.coalesce(F.col("_at") <= F.col("_cut"), F.lit(False)).cast("long")
+    return found.select("row", "size", "source_size", "target", (F.col("passes") + more).alias("times"))
 
 
 @query("op3_mixing")

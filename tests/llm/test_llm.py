@@ -213,6 +213,25 @@ def test_mixing_meets_targets(spark, docs):
         assert abs(r.t - r.n) <= 0.02 * r.t
 
 
+def test_mixing_takes_part_of_repeated_rows(spark):
+    """Repeated rows, and texts of one id, are taken one by one: a third of the table is one row."""
+    r = np.random.default_rng(8)
+    rows = [(7, "a", "one two three four five six seven eight")] * 400 + [(8, "a", f"t{k % 5} two three four five six seven eight") for k in range(200)]
+    rows += [(100 + k, "b" if k % 2 else None, sentence(k, int(r.integers(8, 12)))) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("_metadata", F.lit("taken")).withColumn("size", F.lit(1))
+    got = mixing.mix_sources(docs).select("row.doc_id", "row.source", "row._metadata", "row.text", F.col("size").alias("n"), "source_size", "target", "times").toPandas()
+    assert len(got) == 1200 and (got["_metadata"] == "taken").all()
+    got["words"] = got.n * got.times
+    for _, g in got.groupby("source", dropna=False):
+        assert abs(g.words.sum() - g.target.iloc[0]) <= 12
+        assert g.target.iloc[0] % g.source_size.iloc[0] > 100  # the mix ends inside the source
+    tied = got[got.doc_id == 7]
+    assert tied.times.max() - tied.times.min() <= 1
+    again = mixing.mix_sources(docs.repartition(3), keep=["doc_id", "text"]).groupBy("row.doc_id", "row.text").agg(F.sum("times").alias("t")).toPandas()
+    once = got.groupby(["doc_id", "text"]).times.sum()
+    assert {(a, b): t for (a, b), t in once.items()} == {(x.doc_id, x.text): x.t for x in again.itertuples()}
+
+
 # --- 4 near-dedup -----------------------------------------------------------------------------------------
 
 
