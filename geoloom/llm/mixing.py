@@ -2,7 +2,7 @@
 
 Each source gets a target share of all words. Whole passes over a source are taken while they fit; the rest
 of the budget is filled by documents chosen by their length: documents are counted per source and exact
-length, every length gives its proportional share, long documents close most of the gap, and a bounded
+length, every length gives its proportional share, rare lengths share cumulated places, and a bounded
 knapsack over the remaining counts closes the last part exactly where that is possible. Which documents of
 a length are taken is a seeded order, so reruns agree.
 """
@@ -21,7 +21,7 @@ from geoloom.shipping import ship
 
 #: A source is repeated at most so often.
 MOST = 3
-#: Words the knapsack closes; larger gaps are narrowed by the longest documents first.
+#: Words the knapsack closes; larger gaps are narrowed by shares cumulated over neighbouring lengths first.
 KNAPSACK = 1 << 15
 #: Parts of a (source, length) group in the seeded order; only the part in which the choice ends is ranked.
 PARTS = 4096
@@ -80,6 +80,14 @@ def _reachable(budget: int, items: list[tuple[int, int]]) -> list[tuple[int, int
     return list(taken.items())
 
 
+def _cumulated(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """The proportional share of lengths too rare for one of their own: shares add up from the longest length down, and
+    whenever they make a whole document one is taken there. No more than ``budget`` words, and less by one longest document at most."""
+    size = int((lengths * counts).sum())
+    upto = np.concatenate([[0], np.cumsum(counts)]).astype(object) * min(budget, size) // size
+    return np.diff(upto).astype(np.int64)
+
+
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come as near below ``budget`` as can be."""
     size = int((lengths * counts).sum())
@@ -88,6 +96,10 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     share = budget / size if size else 0.0
     taken = np.floor(counts * share).astype(np.int64)
     gap = int(budget - (lengths * taken).sum())
+    if gap > KNAPSACK:
+        longest = np.argsort(-lengths, kind="stable")
+        taken[longest] += _cumulated(lengths[longest], (counts - taken)[longest], gap - KNAPSACK // 2)
+        gap = int(budget - (lengths * taken).sum())
     for i in np.argsort(-lengths, kind="stable"):
         if gap <= KNAPSACK:
             break

@@ -185,6 +185,19 @@ def test_fit_budget_is_exact():
             assert (lengths * taken).sum() == best
 
 
+def test_rare_lengths_are_taken_in_proportion():
+    """Long and short documents alike, where hardly a length occurs twice."""
+    lengths = np.concatenate([np.arange(1000, 1372), np.arange(15000, 15020)])
+    counts = np.ones(len(lengths), np.int64)
+    size = int(lengths.sum())
+    for share in (0.25, 0.5, 0.8):
+        budget = int(size * share)
+        taken = mixing.fit_budget(lengths, counts, budget)
+        assert (taken <= counts).all() and (taken >= 0).all() and 0 <= budget - int((lengths * taken).sum()) <= 2
+        for part in (taken[:372], taken[372:]):
+            assert abs(part.mean() - share) <= 0.1
+
+
 def test_mixing_targets_and_budgets(spark, edges, empty):
     got = rows_of(mixing.mix_sources(edges).select("row.*", F.col("size").alias("mixed_size"), "source_size", "target", "times"))
     assert len(got) == len(edge_rows())
