@@ -12,7 +12,7 @@ from geoloom.layer import BOX, GEOM, Layer, single_vertex_lines
 from geoloom.operators import textlog, timeline
 from geoloom.plans import layers
 from geoloom.plans.registry import query, rounded
-from geoloom.sources import catalog, export, ingest, versions
+from geoloom.sources import catalog, export, geoparquet, ingest, versions
 from geoloom.sources.place import fresh_path
 from geoloom.streaming import jobs
 
@@ -370,6 +370,19 @@ def write_geoparquet(spark, sf_dir):
     )
 
 
+@query(
+    "o19_geoparquet_footers",
+    """SELECT 'shape' AS primary_column, 'Polygon' AS kinds, count(*) AS n_rows, round(min(least(x1,x4)), 9) AS xmin, round(min(least(y1,y2)), 9) AS ymin,
+    round(max(greatest(x2,x3)), 9) AS xmax, round(max(greatest(y3,y4)), 9) AS ymax FROM geo_parcels""",
+)
+def geoparquet_footers(spark, sf_dir):
+    path = fresh_path(spark, "parcels-footers")
+    export.write_geoparquet(layers.parcels(spark, sf_dir), path, "shape")
+    found = geoparquet.footers(spark, path).groupBy("primary_column", F.concat_ws(",", "kinds").alias("kinds"))
+    lows = [F.round(F.min(c), 9).alias(c) for c in BOX[:2]]
+    return found.agg(F.sum("n_rows").alias("n_rows"), *lows, *[F.round(F.max(c), 9).alias(c) for c in BOX[2:]])
+
+
 @query(
     "o20_esri_features",
     """SELECT parcel_id, 1 AS rings, 5 AS n_points, round(x2, 9) AS second_x, round(y2, 9) AS second_y, parcel_type FROM geo_parcels""",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +10,7 @@ from geoloom.functions import codec, kernels, text
 from geoloom.layer import BOX, GEOM, Layer
 from geoloom.operators.profile import TEMPORAL_TYPES
 from geoloom.operators.transform import flatten_structs
+from geoloom.sources import geoparquet
 
 # Fixed value: the quantisation grid.
 RESOLUTION = 1e8
@@ -80,7 +79,7 @@ def display(df: DataFrame, epoch_ms: list[str] | None = None) -> DataFrame:
 
 
 def csv_lines(layer: Layer, columns: list[str] | None = None) -> DataFrame:
-    """One CSV line (text) per row in id order; fields with commas, quotes or newlines are quoted."""
+    """One CSV line (text) per row, in no order; fields with commas, quotes or newlines are quoted."""
     names = layer.attributes if columns is None else columns
     shown = display(layer.df.select(*names))
 
@@ -103,18 +102,18 @@ def write_csv(layer: Layer, path: str, columns: list[str] | None = None, order_b
 
 
 def write_geoparquet(layer: Layer, path: str, geometry_name: str = "geometry") -> None:
-    """Write WKB geometry first, attributes flattened one level, and the ``geo`` description next to
-    the data (``_geo``), which Parquet readers skip.
+    """Write WKB geometry first, attributes flattened one level, and the boxes as a covering struct; the footer of
+    every file describes them: geometry kinds and the box of that file's rows.
     """
-    spark = layer.df.sparkSession
     flat = flatten_structs(layer.df)
     names = [c for c in flat.columns if c not in (GEOM, *BOX)]
-    rows = flat.select(codec.to_wkb(F.col(GEOM)).alias(geometry_name), *names, *BOX)
-    rows.write.mode("error").parquet(path)
-    kinds = sorted(r[0] for r in layer.df.select(f"{GEOM}.kind").distinct().collect() if r[0])  # six at most
-    column = {"encoding": "WKB", "geometry_types": kinds}
-    described = {"version": "1.0.0", "primary_column": geometry_name, "columns": {geometry_name: column}}
-    spark.createDataFrame([(json.dumps(described),)], "value string").coalesce(1).write.text(f"{path}/_geo")
+    if geometry_name in names:
+        raise ValueError(f"{geometry_name!r} is an attribute already")
+    covering = "bbox"
+    while covering in (geometry_name, *names):
+        covering += "_"
+    box = F.when(F.col(GEOM).isNotNull(), F.struct(*BOX)).alias(covering)
+    geoparquet.write(flat.select(codec.to_wkb(F.col(GEOM)).alias(geometry_name), *names, box), path, geometry_name, covering, layer.srid == 4326)
 
 
 def esri_features(layer: Layer) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import types as T
 
 from geoloom.functions import codec, shapes, text
 from geoloom.layer import BOX, GEOM, Layer, geometry_column, id_column, is_geometry_type, with_box
+from geoloom.sources import geoparquet
 
 # The column types a user may pick.
 ALLOWED_TYPES = ("VARCHAR", "INTEGER", "BIGINT", "DOUBLE", "FLOAT", "BOOLEAN", "DATE", "TIMESTAMP")
@@ -111,37 +111,12 @@ def read_geojson(
 
 
 def read_geoparquet(spark: SparkSession, path: str, id: str | None = None) -> tuple[Layer, DataFrame]:
-    """Layer and quarantine from GeoParquet; the geometry column comes from the ``geo`` metadata."""
-    df = spark.read.parquet(path)
-    return normalize_layer(df, _declared_geometry(df), id)
-
-
-def _declared_geometry(df: DataFrame) -> str | None:
-    """The ``primary_column`` of the footer of one file, read wherever Spark reads it; None without ``geo`` metadata. A
-    footer that names a column the table lacks is an error.
+    """Layer and quarantine from GeoParquet; the geometry column comes from the ``geo`` entry of the footer, whose
+    covering column is left out (the layer has its own boxes).
     """
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-
-    paths = df.select("_metadata.file_path").limit(1).collect()
-    if not paths:
-        return None
-    # A Parquet file ends in its footer, the footer's length (4 bytes) and 4 bytes of magic.
-    tail = df.sparkSession.read.format("binaryFile").load(paths[0][0]).select(
-        F.expr("substring(content, -8, 4)").alias("size"), "length"
-    )
-    size = int.from_bytes(tail.first()["size"], "little")
-    footer = df.sparkSession.read.format("binaryFile").load(paths[0][0]).select(
-        F.expr("substring(content, 1, 4)").alias("head"), F.expr(f"substring(content, {-size - 8})").alias("footer")
-    ).first()
-    file = pa.BufferReader(bytes(footer["head"]) + bytes(footer["footer"]))
-    metadata = pq.read_metadata(file).metadata or {}
-    if b"geo" not in metadata:
-        return None
-    declared = json.loads(metadata[b"geo"]).get("primary_column", "geometry")
-    if declared not in df.columns:
-        raise ValueError(f"the footer names {declared!r} as geometry, the table has {df.columns}")
-    return declared
+    df = spark.read.parquet(path)
+    column, covering = geoparquet.primary_column(df)
+    return normalize_layer(df.drop(covering) if covering else df, column, id)
 
 
 def union_layers(layers: list[Layer]) -> Layer:

@@ -2,14 +2,15 @@ import json
 import struct
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from shapes_for_tests import box, line, multipolygon, point, polygon
 from test_joins import layer_of
 
-from geoloom.functions import codec, text
+from geoloom.functions import codec, kernels, text
 from geoloom.layer import GEOM, Layer, point_layer
-from geoloom.sources import catalog, export, ingest, place, versions
+from geoloom.sources import catalog, export, geoparquet, ingest, place, versions
 from geoloom.streaming import jobs
 
 ALL = [
@@ -51,6 +52,47 @@ def test_wkb_flavours(spark):
     assert loose["z flag"] == loose["iso z"] == loose["srid"] == "point" and loose["unknown"] == "other"
 
 
+def test_wkb_batches(spark):
+    """Every kind beside nulls and values cut at each byte; parts of another kind than their whole are unreadable."""
+    column = pa.array([*ALL, None, *ALL[::-1]], kernels.GEOMETRY_ARROW)
+    stored = codec.encode(column)
+    assert codec.decode(stored).equals(column) and codec.decode(stored.slice(3, 5)).equals(column.slice(3, 5))
+    assert len(codec.decode(pa.array([], pa.binary()))) == len(codec.encode(column.slice(0, 0))) == 0
+    whole = stored[5].as_py()
+    pieces = [whole[:n] for n in range(len(whole))] + [whole]
+    assert codec.decode(pa.array(pieces, pa.binary())).to_pylist() == [None] * len(whole) + [ALL[5]]
+    assert codec.decode(pa.array([whole[:9] + stored[0].as_py()], pa.binary())).to_pylist() == [None]
+    hostile = struct.pack("<BIII", 1, 3, 0xFFFFFFFF, 0xFFFFFFFF)
+    assert codec.decode(pa.array([hostile, struct.pack("<BI", 1, 6)], pa.binary())).to_pylist() == [None, None]
+
+
+def test_geoparquet_footers(spark, tmp_path):
+    layer = layer_of(spark, [*ALL, ALL[0]], "mixed")
+    missing = layer.df.withColumn(GEOM, F.when(F.col("id") < 6, F.col(GEOM)))
+    layer = layer.with_df(missing.withColumn("bbox", F.lit("taken")).repartition(3))
+    path = str(tmp_path / "mixed")
+    export.write_geoparquet(layer, path, "outline")
+    with pytest.raises(FileExistsError):
+        export.write_geoparquet(layer, path, "outline")
+    assert not [f for f in (tmp_path / "mixed").iterdir() if f.name.startswith("_staging")]
+    found = geoparquet.footers(spark, path).collect()
+    assert sum(r["n_rows"] for r in found) == 7 and {r["primary_column"] for r in found} == {"outline"}
+    assert {k for r in found for k in r["kinds"]} == set(codec.CODE_OF_KIND)
+    assert min(r["xmin"] for r in found if r["xmin"] is not None) == 0 and max(r["xmax"] for r in found if r["xmax"] is not None) == 4
+    back, quarantine = ingest.read_geoparquet(spark, path, id=layer.id)
+    assert quarantine.count() == 0 and set(back.attributes) == {layer.id, "bbox"}
+    pair = back.df.select(layer.id, F.col(GEOM).alias("g")).join(layer.df, layer.id)
+    assert pair.count() == 7 and pair.filter(~F.col("g").eqNullSafe(F.col(GEOM))).count() == 0
+
+
+def test_geoparquet_without_rows(spark, tmp_path):
+    layer = layer_of(spark, ALL, "mixed")
+    path = str(tmp_path / "none")
+    export.write_geoparquet(layer.with_df(layer.df.filter("1 = 0")), path, "outline")
+    back, _ = ingest.read_geoparquet(spark, path, id=layer.id)
+    assert back.df.count() == 0 and layer.id in back.df.columns
+
+
 def test_geojson_collection(spark, tmp_path):
     features = [
         {"type": "Feature", "geometry": {"type": "Point", "coordinates": [1, 2]}, "properties": {"id": 1, "label": "A"}},
