@@ -41,6 +41,15 @@ def geojson_ingest(spark, sf_dir):
     )
 
 
+@query("o02_geojson_collections", "SELECT pt_id, category, val, 'Point' AS kind, lon AS x, lat AS y FROM geo_points")
+def geojson_collections(spark, sf_dir):
+    path = fresh_path(spark, "points-collections")
+    export.write_collections(layers.points(spark, sf_dir), path, ["pt_id", "category", "val"], 100_000)
+    layer, _ = ingest.read_geojson(spark, path, id="pt_id")
+    attributes = ["pt_id", "category", F.col("val").cast("double").alias("val"), F.col(f"{GEOM}.kind").alias("kind")]
+    return layer.df.select(*attributes, F.col("xmin").alias("x"), F.col("ymin").alias("y"))
+
+
 PARCEL_BOXES = """SELECT parcel_id, 'Polygon' AS kind, 5 AS n_points, round(least(x1,x4), 9) AS xmin, round(least(y1,y2), 9) AS ymin,
     round(greatest(x2,x3), 9) AS xmax, round(greatest(y3,y4), 9) AS ymax FROM geo_parcels"""
 

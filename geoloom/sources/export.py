@@ -56,6 +56,18 @@ def write_geojson(
     )
 
 
+def write_collections(layer: Layer, path: str, columns: list[str] | None = None, size: int = 10_000) -> int:
+    """Write FeatureCollection documents of about ``size`` features, one per file; returns how many features."""
+    n = layer.df.count()
+    buckets = max(1, -(-n // size))
+    bucket = F.pmod(F.xxhash64(layer.id), F.lit(buckets)).alias("_bucket")
+    features = geojson_features(layer, columns).select(bucket, "feature").repartition(buckets, "_bucket")
+    grouped = features.groupBy("_bucket").agg(F.concat_ws(",", F.collect_list("feature")).alias("features"))
+    document = F.concat(F.lit('{"type":"FeatureCollection","features":['), "features", F.lit("]}"))
+    grouped.select(document.alias("value")).write.mode("error").option("maxRecordsPerFile", 1).text(path)
+    return n
+
+
 def display(df: DataFrame, epoch_ms: list[str] | None = None) -> DataFrame:
     """Every column as the text a person reads: times to the second, dates as days, whole numbers
     plain, other numbers with four decimals, null as empty.

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from geoloom.functions import codec, shapes, text
 from geoloom.layer import BOX, GEOM, Layer, geometry_column, id_column, is_geometry_type, with_box
 from geoloom.sources import geoparquet
+from geoloom.sources.collections import feature_texts
+from geoloom.sources.place import written_text
 
 # The column types a user may pick.
 ALLOWED_TYPES = ("VARCHAR", "INTEGER", "BIGINT", "DOUBLE", "FLOAT", "BOOLEAN", "DATE", "TIMESTAMP")
@@ -88,20 +90,16 @@ def read_geojson(
     """Layer and quarantine from GeoJSON: feature collections, or one feature per line.
 
     Attribute types are inferred in a first distributed pass; coordinates are kept as text and
-    parsed by kind, so mixed kinds do not confuse the inference. Collections are read one file per
-    task (JSON documents cannot be split); ``lines`` files are split freely.
+    parsed by kind, so mixed kinds do not confuse the inference. Collections of any size are cut at feature
+    borders by many tasks and stored as lines first (``collections.feature_texts``).
     """
-    reader = spark.read.option("multiLine", not lines)
-    inferred = reader.json(paths).schema
-    feature = inferred if lines else inferred["features"].dataType.elementType
-    properties = feature["properties"].dataType if "properties" in feature.fieldNames() else T.StringType()
+    if not lines:
+        paths = written_text(feature_texts(spark, paths), "features")
+    inferred = spark.read.json(paths).schema
+    properties = inferred["properties"].dataType if "properties" in inferred.fieldNames() else T.StringType()
     shape = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])
     member = T.StructType([T.StructField("geometry", shape), T.StructField("properties", properties)])
-    if lines:
-        features = reader.schema(member).json(paths)
-    else:
-        collection = T.StructType([T.StructField("features", T.ArrayType(member))])
-        features = reader.schema(collection).json(paths).select(F.inline("features"))
+    features = spark.read.schema(member).json(paths)
     attributes = "properties.*" if isinstance(properties, T.StructType) else "properties"
     source = F.when(F.col("geometry.type").isNotNull(), F.to_json("geometry"))
     geom = text.from_geojson(F.col("geometry.type"), F.col("geometry.coordinates"))

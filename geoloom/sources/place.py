@@ -38,6 +38,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_text(df: DataFrame, name: str) -> str:
+    """The same for one text column, as lines; returns the folder."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.text(path)
+    _written.append((df.sparkSession, path))
+    return path
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

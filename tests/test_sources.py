@@ -10,7 +10,7 @@ from test_joins import layer_of
 
 from geoloom.functions import codec, kernels, text
 from geoloom.layer import GEOM, Layer, point_layer
-from geoloom.sources import catalog, export, geoparquet, ingest, place, versions
+from geoloom.sources import catalog, collections, export, geoparquet, ingest, place, versions
 from geoloom.streaming import jobs
 
 ALL = [
@@ -108,6 +108,35 @@ def test_geojson_collection(spark, tmp_path):
     assert [r["id"] for r in quarantine.collect()] == [4]
 
 
+@pytest.mark.parametrize("sent", [0, collections.SENT_SPLITS])
+def test_collection_in_splits(spark, tmp_path, monkeypatch, sent):
+    """Cut at any byte, a collection gives the features it holds: braces in strings, escapes, other members around them."""
+    monkeypatch.setattr(collections, "SENT_SPLITS", sent)
+    odd = ['}{"', "\\", '\\"}],', "{[", "é}ü", "", "line\nbreak }", "]}"]
+    features = [
+        {"type": "Feature", "properties": {"id": k, "name": odd[k % 8] * (k % 5), "nested": {"a": [{"b": k}, "}"]}}, "geometry": {"type": "Point", "coordinates": [k, k / 2]}}
+        for k in range(20)
+    ]
+    crs = {"type": "name", "properties": {"name": "x}"}}
+    whole = {"type": "FeatureCollection", "crs": crs, "links": [{"rel": "self"}, {"rel": "}]"}], "features": features, "after": [{"x": 1}], "n": {"m": [[1]]}}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.geojson").write_text(json.dumps(whole, ensure_ascii=False))
+    (tmp_path / "in" / "b.geojson").write_text("\ufeff" + json.dumps({"features": [], "type": "FeatureCollection"}, indent=2) + "\n")
+    (tmp_path / "in" / "c.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features[:3]}, indent=3) + "\n")
+    (tmp_path / "in" / "d.geojson").write_text("")
+    expected = sorted(json.dumps(f, sort_keys=True) for f in features + features[:3])
+    for size in ("97", "100000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            reader = spark.read.option("lineSep", "}").text(str(tmp_path / "in"))
+            tasks = reader.rdd.getNumPartitions()
+            got = [r["value"] for r in collections.feature_texts(spark, str(tmp_path / "in")).collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted(json.dumps(json.loads(v), sort_keys=True) for v in got) == expected and not any("\n" in v for v in got)
+        assert tasks > 20 or size != "97"
+
+
 def test_union_rejects_type_conflicts(spark):
     a, b = Layer(spark.sql("select 1 as id, 'x' as v"), "id"), Layer(spark.sql("select 2 as id, 3 as v"), "id")
     with pytest.raises(ValueError, match="'v'"):
