@@ -191,7 +191,7 @@ def _nodes(rows: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) whose sketches agree in ``least`` positions or more."""
+    """Those of the distinct pairs (a, b) whose sketches agree in ``least`` positions or more."""
 
     def run(batch: pa.RecordBatch):
         same = (_matrix(batch.column(2), np.uint8, MINIMA) == _matrix(batch.column(3), np.uint8, MINIMA)).sum(1) >= least
@@ -199,11 +199,11 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 
     a = sets.select(F.col("doc").alias("a"), F.col("sketch").alias("sa"))
     b = sets.select(F.col("doc").alias("b"), F.col("sketch").alias("sb"))
-    return arrow_map(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), run, "a long, b long").distinct()
+    return arrow_map(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
 def _within(nodes: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """(a, b): pairs of different labels in small nodes (key, doc, label) whose sketches agree enough."""
+    """(a, b): pairs of different labels in small nodes (key, doc, label) whose sketches agree enough, repeated by node."""
     mixed = nodes.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x < _y").select("key")
     rows = nodes.join(mixed, "key").join(sets.select("doc", "sketch"), "doc")
     grouped = rows.groupBy("key").agg(F.collect_list(F.struct("doc", "label", "sketch")).alias("m")).select("m")
@@ -226,12 +226,12 @@ def _within(nodes: DataFrame, sets: DataFrame, least: int) -> DataFrame:
         a, b = np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return arrow_map(grouped, run, "a long, b long").distinct()
+    return arrow_map(grouped, run, "a long, b long")
 
 
 def _apart(nodes: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """(a, b): in each node, every member outside its most frequent label against all members of other labels, where the
-    sketches agree enough. A node travels in blocks of about 4 * BLOCK members, each with a copy of those others, 32 * BLOCK at once."""
+    sketches agree enough, repeated by node. A node travels in blocks of about 4 * BLOCK members, each with a copy of those others, 32 * BLOCK at once."""
     rows = nodes.join(sets.select("doc", "sketch"), "doc").withColumn("blocks", F.ceil(F.col("n") / (4 * BLOCK)).cast("int"))
     rows = rows.withColumn("shares", F.ceil(F.col("rest") / (32 * BLOCK)).cast("int"))
 
@@ -260,25 +260,26 @@ def _apart(nodes: DataFrame, sets: DataFrame, least: int) -> DataFrame:
         a, b = np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return arrow_map(grouped, run, "a long, b long").where("a < b").distinct()
+    return arrow_map(grouped, run, "a long, b long").where("a < b")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets.
+    """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets; repeated where an id has
+    several texts.
 
     Pairs are grouped by a. A group travels in blocks of about BLOCK members, each with a copy of a's text, so no
     task holds a large group; only texts that occur in pairs are moved.
     """
     pairs = cut(pairs)
-    if pairs.isEmpty():
+    n = pairs.count()
+    if not n:
         return pairs
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     rows = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
     wanted = rows.select("a", "block", F.col("b").alias("doc"), F.lit(0).alias("lead")).unionByName(
         blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("a").alias("doc"), F.lit(1).alias("lead"))
     )
-    wanted = cut(wanted)
-    small = wanted.count() <= SENT_ROWS
+    small = 2 * n <= SENT_ROWS  # a pair is one wanted row, a block another, and there are no more blocks than pairs
     found = texts.join(F.broadcast(wanted) if small else wanted, "doc")
     found = found.repartition("a", "block").sortWithinPartitions("a", "block", F.desc("lead")).select("a", "block", "doc", "lead", "text")
     ship(pairs.sparkSession)
@@ -309,7 +310,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                             break
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return cut(found.mapInArrow(run, "a long, b long").distinct())
+    return cut(found.mapInArrow(run, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, k: int, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -332,7 +333,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = 80, id: str = "doc_i
     sets = classes.select("doc", "sig", "sketch")
     texts = rows.where("doc_id is not null").withColumnRenamed("doc_id", "doc")
 
-    links = _same_class(full, classes, equal)
+    links = cut(_same_class(full, classes, equal))
     labels = components(links)
     level, depth, deepest = _first_level(sets, threshold), 1, _deepest(threshold)
     while True:
@@ -349,8 +350,10 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = 80, id: str = "doc_i
             met = met.unionByName(nodes)
         stars = _labelled(met.select(F.col("leader").alias("doc"), F.col("doc").alias("b")), labels, "a", "la")
         stars = _labelled(stars.withColumnRenamed("b", "doc"), labels, "b", "lb").where("a < b and la <> lb").select("a", "b").distinct()
-        links = cut(links.unionByName(confirm(_alike(stars, sets, least), texts, k, percent)))
-        labels = components(links)
+        found = confirm(_alike(stars, sets, least), texts, k, percent)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
         small = met.where((F.col("n") > 2) & (F.col("n") <= SMALL)).select("key", "doc")
         deep = cut(_labelled(wave[-1].where(F.col("n") > SMALL).select("key", "doc"), labels, "doc", "label"))
         counts = deep.groupBy("key", "label").count().groupBy("key").agg(F.sum("count").alias("n"), F.max(F.struct("count", "label")).alias("most"))
@@ -359,7 +362,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = 80, id: str = "doc_i
         near = _within(_labelled(small, labels, "doc", "label"), sets, least).unionByName(_apart(deep.join(counts.where(few), "key"), sets, least))
         found = confirm(near.distinct(), texts, k, percent)
         if not found.isEmpty():
-            links = cut(links.unionByName(found))
+            links = links.unionByName(found)
             labels = components(links)
         many = cut(deep.join(counts.where(~few), "key").select("key", "doc"))
         if many.isEmpty():
