@@ -299,13 +299,19 @@ def spatial_join(
     """Join two layers on a spatial predicate.
 
     ``how``: inner, left, left_semi or left_anti. Columns are the left columns and
-    ``right_<column>``; semi and anti joins return left rows, each once.
+    ``right_<column>``; semi and anti joins return left rows, each once;
+    for points these are settled by covers (``existence``), pairs are tested along borders only.
     """
     left_columns = left.attributes if left_columns is None else left_columns
     right_columns = right.attributes if right_columns is None else right_columns
     if how in ("left_semi", "left_anti"):
+        from geoloom.operators import existence  # builds on this module
+
+        if existence.can_cover(left, right, predicate, metric):
+            rows = existence.exists_join(left, right, predicate, distance, metric, anti=how == "left_anti", **options)
+            return rows.select(*left_columns)
         pairs = spatial_pairs(left, right, predicate, distance, metric, left_columns=[], right_columns=[], **options)
-        matched = pairs.select(F.col(f"l_{left.id}").alias(left.id)).distinct()
+        matched = pairs.select(F.col(f"l_{left.id}").alias(left.id))
         return left.df.join(matched, left.id, how).select(*left_columns)
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")

@@ -437,6 +437,15 @@ def anti_join(spark, sf_dir):
     return _near_machinery(spark, sf_dir, "left_anti")
 
 
+@query(
+    "o46b_points_outside_parcels",
+    f"SELECT p.pt_id FROM geo_points p WHERE NOT EXISTS (SELECT 1 FROM geo_parcels c WHERE {IN_QUAD})",
+)
+def points_outside_parcels(spark, sf_dir):
+    points, parcels = layers.points(spark, sf_dir), layers.parcels(spark, sf_dir)
+    return joins.spatial_join(points, parcels, "within", how="left_anti", left_columns=["pt_id"])
+
+
 @query(
     "o57_overlay_area",
     """WITH boxes AS (SELECT parcel_id, least(x1,x4) AS x0, least(y1,y2) AS y0, greatest(x2,x3) AS x1, greatest(y3,y4) AS y1
