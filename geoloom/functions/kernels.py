@@ -550,12 +550,16 @@ def outline(regions: pa.Array, group: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
     A piece of one boundary survives when no other region covers it. Where boundaries coincide and
     run the same way only the first region keeps the piece; where they run opposite ways nobody does.
+    Null and empty regions bound nothing.
     """
     edges = edges_of(regions)
     n = len(edges.count)
-    starts = edges.start
-    x0, x1 = np.minimum.reduceat(edges.x1, starts), np.maximum.reduceat(edges.x1, starts)
-    y0, y1 = np.minimum.reduceat(edges.y1, starts), np.maximum.reduceat(edges.y1, starts)
+    some = edges.count > 0
+    (x0, y0), (x1, y1) = np.full((2, n), np.inf), np.full((2, n), -np.inf)
+    if some.any():
+        starts = edges.start[some]
+        x0[some], x1[some] = np.minimum.reduceat(edges.x1, starts), np.maximum.reduceat(edges.x1, starts)
+        y0[some], y1[some] = np.minimum.reduceat(edges.y1, starts), np.maximum.reduceat(edges.y1, starts)
     first_of_group = np.searchsorted(group, group, side="left")
     size_of_group = np.searchsorted(group, group, side="right") - first_of_group
     own = np.repeat(np.arange(n), size_of_group)

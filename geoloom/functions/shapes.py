@@ -72,6 +72,15 @@ def to_lonlat(geom: Column) -> Column:
     )
 
 
+def to_mercator_degrees(geom: Column) -> Column:
+    """The Mercator plane in degrees of longitude, the unit that the kernels' tolerances are made for."""
+    return map_vertices(geom, lambda v: vertex(v["x"], coords.mercator_y(v["y"]) * F.lit(coords.DEGREES_PER_MERCATOR_M)))
+
+
+def from_mercator_degrees(geom: Column) -> Column:
+    return map_vertices(geom, lambda v: vertex(v["x"], coords.mercator_lat(v["y"] / F.lit(coords.DEGREES_PER_MERCATOR_M))))
+
+
 def circle(x: Column, y: Column, radius: float | Column, segments: int = 32) -> Column:
     """Closed ring of ``segments`` vertices around a point, counter-clockwise."""
     ring = F.transform(

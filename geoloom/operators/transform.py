@@ -89,7 +89,8 @@ def simplify(layer: Layer, tolerance: float) -> Layer:
 
 def buffer_layer(layer: Layer, metres: float) -> Layer:
     """Grow every feature by a Web-Mercator distance. Points become 32-gons as expressions; lines
-    and polygons are outlined per feature in Arrow batches.
+    and polygons are outlined per feature in Arrow batches, in degrees of the Mercator plane: in metres
+    the last digit of a coordinate is larger than the kernels' tolerances.
     """
     if metres <= 0:
         raise ValueError("distance must be positive")
@@ -97,7 +98,8 @@ def buffer_layer(layer: Layer, metres: float) -> Layer:
         circle = shapes.mercator_circle(F.col("xmin"), F.col("ymin"), metres, 4 * QUADRANT_SEGMENTS)
         rows = layer.df.withColumn(GEOM, circle)
     else:
-        rows = layer.df.withColumn(GEOM, shapes.to_lonlat(_grow(shapes.to_mercator(F.col(GEOM)), F.lit(float(metres)))))
+        distance = F.lit(metres * coords.DEGREES_PER_MERCATOR_M)
+        rows = layer.df.withColumn(GEOM, shapes.from_mercator_degrees(_grow(shapes.to_mercator_degrees(F.col(GEOM)), distance)))
     return layer.with_df(with_box(rows), family="polygon", boxes=False)
 
 

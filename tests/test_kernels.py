@@ -105,6 +105,16 @@ def test_union_area_of_lattice_boxes(spec):
     assert area_of(united.to_pylist()[0]) == pytest.approx(union_by_cells(boxes))
 
 
+@pytest.mark.parametrize("empty", [None, {"kind": "Polygon", "parts": []}])
+def test_unite_takes_empty_regions(empty):
+    boxes = [polygon(box(0, 0, 2, 2)), polygon(box(1, 1, 3, 3))]
+    for regions in ([*boxes, empty], [boxes[0], empty, boxes[1]], [empty, *boxes], [empty] * 9 + boxes):
+        united, _ = kernels.unite(column(*regions), np.zeros(len(regions), np.int64))
+        assert len(united) == 1 and area_of(united.to_pylist()[0]) == pytest.approx(7)
+    united, group = kernels.unite(column(empty, empty, boxes[0]), np.array([1, 1, 2]))
+    assert group.tolist() == [1, 2] and area_of(united.to_pylist()[1]) == pytest.approx(4)
+
+
 def test_unite_keeps_groups_apart():
     boxes = column(polygon(box(0, 0, 2, 2)), polygon(box(1, 1, 3, 3)), polygon(box(0, 0, 1, 1)), polygon(box(1, 0, 2, 1)))
     united, group = kernels.unite(boxes, np.array([3, 3, 7, 7]))

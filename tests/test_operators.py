@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import Row
@@ -79,6 +81,39 @@ def test_buffer_of_line_and_polygon(spark):
     assert polygon_area == pytest.approx(0.01 + 4 * 0.1 * r + disc - (0.02 - 2 * r) ** 2, rel=2e-3)
 
 
+def area_by_slabs(path, r, slabs=20_000):
+    """Area of the union of the discs (32-gons) around the path's vertices and the strips between them, by widths at many y."""
+    corners = [(math.cos(k * math.pi / 16) * r, math.sin(k * math.pi / 16) * r) for k in range(32)]
+    lo, hi = min(p[1] for p in path) - r, max(p[1] for p in path) + r
+    ys = lo + (np.arange(slabs) + 0.5) * (hi - lo) / slabs
+    spans = []
+    for a, b in zip(path, path[1:]):
+        swept = [np.array([(x + dx, y + dy) for dx, dy in corners]) for x, y in (a, b)]
+        segments = [(s[k], s[k - 1]) for s in swept for k in range(32)] + list(zip(*swept))
+        left, right = np.full(slabs, np.inf), np.full(slabs, -np.inf)
+        for (x1, y1), (x2, y2) in segments:
+            at = (ys >= min(y1, y2)) & (ys <= max(y1, y2)) & (y1 != y2)
+            x = x1 + (ys[at] - y1) * (x2 - x1) / (y2 - y1)
+            left[at], right[at] = np.minimum(left[at], x), np.maximum(right[at], x)
+        spans.append((left, right))
+    total, reach = np.zeros(slabs), np.full(slabs, -np.inf)
+    left, right = (np.array([s[k] for s in spans]) for k in (0, 1))
+    for k in np.argsort(left, 0, kind="stable"):
+        a, b = left[k, np.arange(slabs)], right[k, np.arange(slabs)]
+        total += np.maximum(0, np.where(b > a, b - np.maximum(a, reach), 0))
+        reach = np.maximum(reach, b)
+    return total.sum() * (hi - lo) / slabs
+
+
+def test_buffers_of_lines_far_from_the_origin(spark):
+    rng = np.random.default_rng(3)
+    paths = [[(-105 + x, y) for x, y in np.cumsum(rng.normal(0, 0.02, (n, 2)), 0)] for n in (2, 3, 4, 5, 9) * 8]
+    grown = transform.buffer_layer(layer_of(spark, [line(*p) for p in paths], "mixed"), 500.0)
+    rows = transform.measure_layer(grown).orderBy("id").collect()
+    for path, row in zip(paths, rows, strict=True):  # near the equator both degrees are alike
+        assert row["area"] == pytest.approx(area_by_slabs(path, 500.0 * 180 / (math.pi * 6378137)), rel=1e-3)
+
+
 def test_simplify_zero_is_identity(spark):
     layer = layer_of(spark, [line((0, 0), (1, 0.1), (2, 0)), polygon(box(0, 0, 1, 1))], "mixed")
     same = transform.simplify(layer, 0.0).df.select("id", GEOM)
