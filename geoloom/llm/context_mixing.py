@@ -13,12 +13,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import cut, remainder, table
-from geoloom.llm.labelled import MAX_BYTES
 from geoloom.llm.registry import query
 from geoloom.llm.textbytes import U64, Texts, chunks
 from geoloom.llm.toxicity import spaced
@@ -38,15 +38,19 @@ RATE = 0.004
 #: Words in the broadcast table at most; the rest is joined.
 FREQUENT = 1 << 18
 HELD_OUT, REST = 7, 2
-#: Texts from which the starting weights are learnt.
-SAMPLE = 200
+#: Rates at which the starting weights are learnt, and what they start from themselves.
+RATES = (0.02, 0.006, 0.002)
+START = np.full((len(ORDERS), 8), 0.25 / SCALE)
+FOLDS = 2
 END_WORD = int(np.array([0x5EED0E4D], U64).view(np.int64)[0])
 CHUNK = 1 << 20
+PIECE = 1 << 18
 
 _ODD = U64(0x9E3779B97F4A7C15)
 _BYTE = np.arange(256)
-_NODE = np.stack([(1 << k) | (_BYTE >> (8 - k)) for k in range(4)] + [(1 << k) | ((_BYTE & 15) >> (4 - k)) for k in range(4)]).astype(np.int32)
-_SIGN = (2.0 * ((_BYTE >> (7 - np.arange(8)[:, None])) & 1) - 1).astype(np.float32)
+_SIGN = (2.0 * ((_BYTE[:, None] >> (7 - np.arange(8))) & 1) - 1).astype(np.float32)
+#: The four nodes that a nibble meets, by its upper three bits.
+_PATH = np.stack([(1 << k) | (np.arange(8) >> (3 - k)) for k in range(4)], 1)
 
 
 def streams(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,22 +97,37 @@ def slots(data: np.ndarray):
         yield high, h.astype(np.int32) << 4
 
 
+def pieces(texts: Texts):
+    """(bytes, first, end) of some whole texts after the other, small enough that a step's arrays stay in the cache."""
+    row = 0
+    while row < texts.n:
+        to = max(row + 1, int(np.searchsorted(texts.at, texts.at[row] + PIECE, "right")) - 1)
+        to = min(to, texts.n)
+        yield streams(Texts(texts.data[texts.at[row] : texts.at[to]], texts.at[row : to + 1] - texts.at[row]))
+        row = to
+
+
 def count_cells(texts: Texts, total: np.ndarray) -> None:
-    data, first, end = streams(texts)
-    inside = np.ones(len(data), bool)
-    for p in range(PAD):
-        inside[first - PAD + p] = False
-    at = np.flatnonzero(inside)
-    high4, low4 = data[at] >> 4, data[at] & 15
-    for o, (high, low) in enumerate(slots(data)):
-        view = total[OFFSET[o] : OFFSET[o + 1]]
-        view += np.bincount(high[at] + high4, minlength=len(view)).astype(view.dtype)
-        view += np.bincount(low[at] + low4, minlength=len(view)).astype(view.dtype)
+    found: list[list[np.ndarray]] = [[] for _ in ORDERS]
+    for data, first, _ in pieces(texts):
+        inside = np.ones(len(data), bool)
+        for p in range(PAD):
+            inside[first - PAD + p] = False
+        at = np.flatnonzero(inside)
+        high4, low4 = data[at] >> 4, data[at] & 15
+        for cells, (high, low) in zip(found, slots(data)):
+            cells += [high[at] + high4, low[at] + low4]
+    for o, cells in enumerate(found):
+        if cells:
+            view = total[OFFSET[o] : OFFSET[o + 1]]
+            np.add(view, np.bincount(np.concatenate(cells), minlength=len(view)), out=view, casting="unsafe")
+            cells.clear()
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
-    """Signed bytes: the scaled log odds of a 1 at each of the 15 nodes of every slot of 16 counts."""
-    out = np.zeros(len(counts), np.int8)
+    """Eight entries a slot of 16 counts, by the upper three bits of a nibble: the scaled log odds of a 1 at the four nodes
+    the nibble meets, as four signed bytes."""
+    out = np.zeros(len(counts) // 2, np.uint32)
     node = np.arange(1, 16)
     for a in range(0, len(counts), BLOCK):
         leaf = counts[a : a + BLOCK].reshape(-1, 16)
@@ -116,15 +135,26 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
         heap[:, 16:] = leaf
         for k in range(15, 0, -1):
             heap[:, k] = heap[:, 2 * k] + heap[:, 2 * k + 1]
-        odds = np.log((heap[:, 2 * node + 1] + PRIOR) / (heap[:, 2 * node] + PRIOR))
-        out[a : a + BLOCK].reshape(-1, 16)[:, 1:] = np.clip(np.rint(odds * SCALE), -127, 127)
+        odds = np.zeros((len(leaf), 16), np.int8)
+        exact = np.log((heap[:, 2 * node + 1] + PRIOR) / (heap[:, 2 * node] + PRIOR))
+        odds[:, 1:] = np.clip(np.rint(exact * SCALE), -127, 127)
+        out[a // 2 : (a + BLOCK) // 2] = odds[:, _PATH].reshape(-1).view(np.uint32)
     return out
 
 
 def bits_of(texts: Texts, odds: np.ndarray, start_weight: np.ndarray, rate: float = RATE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bits, coded bytes) of every text, and the mean weights in the end; long streams are coded in segments
     whose weights start anew. Segments of a chunk advance together, byte by byte."""
-    data, first, end = streams(texts)
+    parts = [(*part, np.empty((len(ORDERS), len(part[0]), 2), np.uint32)) for part in pieces(texts)]
+    for data, _, _, halves in parts:
+        nibbles = data >> 5, (data & 15) >> 1
+        for o, cells in enumerate(slots(data)):
+            for k in range(2):
+                halves[o, :, k] = odds.take((cells[k] >> 1) + nibbles[k] + np.int32(OFFSET[o] // 2))
+    shift = np.cumsum([0] + [len(p[0]) for p in parts])
+    data, first, end = (np.concatenate([p[k] + (s if k else np.uint8(0)) for p, s in zip(parts, shift)] or [np.zeros(0, np.int64)]) for k in range(3))
+    found = np.concatenate([p[3].view(np.uint64)[..., 0] for p in parts], 1) if parts else None  # the eight log odds of a byte
+    parts.clear()
     size = end - first
     n = -(-size // SEGMENT)
     text = np.repeat(np.arange(len(n)), n)
@@ -132,61 +162,76 @@ def bits_of(texts: Texts, odds: np.ndarray, start_weight: np.ndarray, rate: floa
     length = np.minimum(end[text] - start, SEGMENT)
     order = np.argsort(-length, kind="stable")
     start, length = start[order], length[order]
-    high, low = (np.empty((len(ORDERS), len(data)), np.int32) for _ in range(2))
-    for o, (high[o], low[o]) in enumerate(slots(data)):
-        high[o] += OFFSET[o]
-        low[o] += OFFSET[o]
-    # segments are the last axis of every array: the loops that numpy runs are long
-    weight = np.repeat(start_weight[:, :, None].astype(np.float32), len(start), 2)
-    cost = np.zeros(len(start))
+    # (orders, segments, bits): the loops that numpy runs are long, and no step needs new memory for its large arrays
+    weight = np.repeat(start_weight[:, None].astype(np.float32), len(start), 1)
+    cost, chance = np.zeros(len(start)), np.ones((len(start), 8), np.float32)
+    x_all, y_all = np.empty_like(weight), np.empty_like(weight)
+    z_all = np.empty_like(chance)
     step = np.float32(rate / SCALE**2)
     active = np.searchsorted(-length, -np.arange(SEGMENT), "left")  # segments longer than t
     for t in range(int(length.max(initial=0))):
         m = int(active[t])
         at = start[:m] + t
-        byte = data[at]
-        node, sign = _NODE.take(byte, 1), _SIGN.take(byte, 1)
-        cell = np.empty((len(ORDERS), 8, m), np.int32)
-        np.add(high.take(at, 1)[:, None], node[:4], out=cell[:, :4])
-        np.add(low.take(at, 1)[:, None], node[4:], out=cell[:, 4:])
-        x = odds.take(cell).astype(np.float32)
-        w = weight[:, :, :m]
-        z = (w * x).sum(0)
+        sign = _SIGN.take(data.take(at), 0)
+        x, y, z, w = x_all[:, :m], y_all[:, :m], z_all[:m], weight[:, :m]
+        x[...] = found.take(at, 1).view(np.int8).reshape(len(ORDERS), m, 8)
+        np.multiply(w, x, out=y)
+        np.add.reduce(y, 0, out=z)
         z *= sign
-        np.clip(z, -10, 10, out=z)
+        np.minimum(z, 10, out=z)
+        np.maximum(z, -10, out=z)
         np.negative(z, out=z)
         np.exp(z, out=z)
         z += 1
         np.reciprocal(z, out=z)
-        cost[:m] -= np.log2(z.prod(0))
+        chance[:m] *= z
+        if t % 8 == 7:  # eight factors of e**-10 and more fit a float
+            cost[:m] -= np.log2(chance[:m]).sum(1)
+            chance[:m] = 1
         np.subtract(1, z, out=z)
+        sign *= step
         z *= sign
-        z *= step
         x *= z
         w += x
-    mean = (weight * length).sum(2) / max(1, length.sum())
+    cost -= np.log2(chance).sum(1)
+    mean = (weight * length[:, None]).sum(1) / max(1, length.sum())
     return np.bincount(text[order], cost, len(size)), size, mean
 
 
-def tune(counts: np.ndarray, texts: list[str]) -> np.ndarray:
-    """Weights to start from, learnt on a sample of the counted texts. The sample's own counts are taken out of the tables
-    first, so that contexts seen only there do not look certain."""
-    weight = np.full((len(ORDERS), 8), 0.25 / SCALE)
-    if not texts:
-        return weight
-    column = pa.array(texts, pa.large_string())
-    own = np.zeros(len(counts), np.int32)
-    for _, _, part in chunks(column, CHUNK):
-        count_cells(part, own)
-    odds = log_odds(counts - own)
-    for rate in (0.02, 0.006, 0.002):
-        found = [bits_of(part, odds, weight, rate) for _, _, part in chunks(column, CHUNK)]
-        weight = sum(f[2] * f[1].sum() for f in found) / sum(f[1].sum() for f in found)
-    return weight
+def _parts(batches, max_bytes: int):
+    """(fold, whole texts) of batches (text, fold)."""
+    for batch in batches:
+        for fold in range(FOLDS):
+            for _, _, texts in chunks(batch.column(0).filter(pc.equal(batch.column(1), fold)), max_bytes):
+                yield fold, texts
+
+
+def _start_weights(docs: DataFrame, odds: list[np.ndarray]) -> np.ndarray:
+    """Weights to start from, learnt on every row of ``docs`` (text, fold) under the counts of the other fold, so that contexts
+    of a single text do not look certain; copies of a text are in one fold.
+
+    Each task goes on from the weights of the chunk before, at falling rates in its first CHUNK bytes; the mean over all
+    chunks of all tasks counts by bytes."""
+    shared = docs.sparkSession.sparkContext.broadcast(odds)
+    ship(docs.sparkSession)
+
+    def run(batches):
+        weight, total, seen = START, np.zeros(START.shape), 0
+        for fold, texts in _parts(batches, CHUNK):
+            for rate in RATES if seen < CHUNK else RATES[-1:]:
+                _, size, weight = bits_of(texts, shared.value[1 - fold], weight, rate)
+            total += weight * size.sum()
+            seen += int(size.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["size", "total"])
+
+    found = docs.mapInArrow(run, "size long, total binary").collect()
+    shared.destroy()
+    size = sum(r[0] for r in found)
+    return sum(np.frombuffer(r[1]) for r in found).reshape(START.shape) / size if size else START
 
 
 def _sum_cells(docs: DataFrame) -> np.ndarray:
-    """The counts of all tables (some 10 million cells, a fixed number) over every row of ``docs``.
+    """For each fold the counts of all tables (some 10 million cells, a fixed number) over its rows of ``docs`` (text, fold).
 
     Each task counts into tables of its own and sends them in blocks; blocks are summed one after the
     other in the tasks they are dealt to, and only the sums come to the driver.
@@ -194,12 +239,11 @@ def _sum_cells(docs: DataFrame) -> np.ndarray:
     ship(docs.sparkSession)
 
     def count(batches):
-        total = np.zeros(OFFSET[-1], np.int32)
-        for batch in batches:
-            for _, _, texts in chunks(batch.column(0), 2 * CHUNK):
-                count_cells(texts, total)
-        for block in range(0, len(total), BLOCK):
-            part = total[block : block + BLOCK]
+        totals = np.zeros(FOLDS * OFFSET[-1], np.int32)
+        for fold, texts in _parts(batches, 2 * CHUNK):
+            count_cells(texts, totals[fold * OFFSET[-1] : (fold + 1) * OFFSET[-1]])
+        for block in range(0, len(totals), BLOCK):
+            part = totals[block : block + BLOCK]
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([block // BLOCK], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
 
@@ -216,14 +260,14 @@ def _sum_cells(docs: DataFrame) -> np.ndarray:
             yield out(now, total)
 
     def out(block, total):
-        narrow = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
+        narrow = np.minimum(total, np.iinfo(np.int32).max // FOLDS).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([narrow.tobytes()], pa.binary())], ["block", "counts"])
 
-    parts = docs.mapInArrow(count, "block int, counts binary").repartition("block").sortWithinPartitions("block")
-    total = np.zeros(OFFSET[-1], np.int32)
-    for block, found in parts.mapInArrow(add, "block int, counts binary").collect():
-        total[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(found, np.int32)
-    return total
+    sums = docs.mapInArrow(count, "block int, counts binary").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, counts binary")
+    totals = np.zeros(FOLDS * OFFSET[-1], np.int32)
+    for block, found in sums.toLocalIterator():
+        totals[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(found, np.int32)
+    return totals.reshape(FOLDS, -1)
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
@@ -274,14 +318,6 @@ def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return words[order], c[order], 2**floor
 
 
-def _sample(docs: DataFrame) -> list[str]:
-    """About SAMPLE texts of at most MAX_BYTES bytes, the same in every run."""
-    rows = docs.where(F.octet_length("text").between(1, MAX_BYTES))
-    share = min(1.0, SAMPLE / max(1, rows.select("text").count()))
-    found = rows.where(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(10_000_000)) < int(share * 10_000_000) + 1).collect()
-    return sorted(r[0] for r in found)[: 2 * SAMPLE]
-
-
 def lm_scores(docs: DataFrame, held_out: int = HELD_OUT, rest: int = REST) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of ``docs`` (doc_id,
     text; other columns are ignored, whatever their names).
@@ -292,16 +328,20 @@ def lm_scores(docs: DataFrame, held_out: int = HELD_OUT, rest: int = REST) -> Da
     unigram counts. Repeated rows are learnt from and scored each. With nothing to learn from all counts are 0. An empty
     table gives an empty result.
 
-    Words are known by 64-bit keys. The model's tables and the frequent words (some 16 MB together, fixed bounds) are
-    broadcast; the words below the floor are joined on their key, in whichever number they come.
+    Starting weights are learnt on all these rows too, each under the counts of the half of the texts that it is not in.
+
+    Words are known by 64-bit keys. The model's tables and the frequent words (some 24 MB together, fixed bounds; 40 MB of
+    tables while the weights are learnt) are broadcast; the words below the floor are joined on their key, in whichever number they come.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text")
     learn = rows.where(remainder("doc_id", held_out) != rest).select("text")
-    cells = _sum_cells(learn)
-    weight = tune(cells, _sample(learn))
-    odds = log_odds(cells)
+    folds = learn.withColumn("fold", F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(FOLDS)).cast("int"))
+    cells = _sum_cells(folds)
+    weight = _start_weights(folds, [log_odds(c) for c in cells])
+    odds = log_odds(cells.sum(0, dtype=np.int32))
+    del cells
     counts = cut(_word_counts(learn))
     n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("word") == END_WORD, F.col("c"))), F.lit(0))).first()
     words, c, floor = _frequent(counts)

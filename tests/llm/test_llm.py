@@ -477,6 +477,44 @@ def test_lm_is_a_distribution():
     assert known < unknown
 
 
+def test_lm_start_weights_come_from_every_text(spark, monkeypatch):
+    """Of long texts only there is no sample of short ones; each text is learnt from under the counts of the other fold."""
+    import pyarrow as pa
+
+    from geoloom.llm.textbytes import chunks
+
+    rows = [(i, sentence(i, 3000)) for i in range(1, 13)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+    def held_out():  # the others are known to the counts, so trusting those more would score them better
+        found = [g["score"] for g in rows_of(context_mixing.lm_scores(df)) if g["held_out"]]
+        assert found
+        return sum(found)
+
+    learnt = held_out()
+
+    folds = [(t, i % 2) for i, t in rows]
+    halves = [pa.array([t for t, f in folds if f == k], pa.large_string()) for k in range(2)]
+    odds = []
+    for half in halves:
+        counts = np.zeros(context_mixing.OFFSET[-1], np.int32)
+        for _, _, t in chunks(half):
+            context_mixing.count_cells(t, counts)
+        odds.append(context_mixing.log_odds(counts))
+    weight, total, size = context_mixing.START, 0.0, 0
+    for k, half in enumerate(halves):
+        for _, _, t in chunks(half, context_mixing.CHUNK):
+            for rate in context_mixing.RATES:
+                _, n, weight = context_mixing.bits_of(t, odds[1 - k], weight, rate)
+            total, size = total + weight * n.sum(), size + n.sum()
+    assert size == sum(len(t) + 2 for _, t in rows)  # every byte, a blank behind the last word, an end
+    got = context_mixing._start_weights(spark.createDataFrame(folds, "text string, fold int").coalesce(1), odds)
+    assert got == pytest.approx(total / size, rel=1e-6)
+
+    monkeypatch.setattr(context_mixing, "_start_weights", lambda docs, odds: context_mixing.START)
+    assert learnt > held_out()
+
+
 # --- 8 embeddings -----------------------------------------------------------------------------------------
 
 
