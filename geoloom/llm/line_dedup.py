@@ -72,7 +72,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         first = ranks.withColumnRenamed("rank", "r1")
         second = ranks.select("d", "h", F.col("i").alias("_at"), F.col("rank").alias("r2"))
         known = mine.join(first, ["d", "h", "i"]).withColumn("_at", F.col("i") + F.col("m") - half).join(second, ["d", "h", "_at"]).drop("_at")
-        copies = _ranked(known, ["m", "r1", "r2"], ["d", "h", "i", "m"]).where(F.col("rank") < F.struct("d", "h", "i")).drop("rank")
+        # one job a round: a plan of all rounds would cost the driver more memory than the rows do
+        copies = cut(_ranked(known, ["m", "r1", "r2"], ["d", "h", "i", "m"]).where(F.col("rank") < F.struct("d", "h", "i")).drop("rank"))
         later = copies if later is None else later.unionByName(copies)
         if 2 * half > min_words:
             break

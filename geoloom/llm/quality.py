@@ -118,7 +118,7 @@ class Grams:
 
     def __init__(self, column: pa.Array):
         cells, shares, sizes = [], [], []
-        for _, _, part in chunks(column, 1 << 20):
+        for _, _, part in chunks(column, 1 << 18):
             kinds = features(part, part.words())
             for i in range(part.n):
                 sizes.append(0)

@@ -9,7 +9,6 @@ probability about 2**-64 per pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(size, BASE, U64)
     down = np.full(size, pow(BASE, -1, 1 << 64), U64)
@@ -41,11 +39,16 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+_kept = _powers(1)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i below n; kept for the process and grown in powers of two."""
-    size = max(CHUNK_BYTES + 1, 1 << (n - 1).bit_length()) if n > CHUNK_BYTES + 1 else CHUNK_BYTES + 1
-    up, down = _powers(size)
-    return up[:n], down[:n]
+    """BASE**i and BASE**-i for i below n; kept for the process and grown in powers of two, so that small chunks need a small
+    table (the driver, which only fits models, keeps it as well)."""
+    global _kept
+    if n > len(_kept[0]):
+        _kept = _powers(1 << (n - 1).bit_length())
+    return _kept[0][:n], _kept[1][:n]
 
 
 class Texts:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from geoloom.llm import language, quality, token_counts
+from geoloom.llm import language, quality, textbytes, token_counts
 
 
 @pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "ab" * 1_000_000, "a " + "\t" * 1_500_000 + " b"])
@@ -40,3 +40,14 @@ def test_grams_in_blocks_equal_dense_sums(monkeypatch):
     off = np.arange(x.n) - 3.0
     g = sum(x.gradient(off[a:b], a, b) for a, b in x.blocks())
     assert z == pytest.approx(dense @ weight) and g == pytest.approx(off @ dense) and len(list(x.blocks())) > 2
+
+
+def test_tables_of_powers_fit_the_chunk(monkeypatch):
+    """The driver keeps them beside its plans; grown or not, hashes are the same."""
+    monkeypatch.setattr(textbytes, "_kept", textbytes._powers(1))
+    text = textbytes.Texts(np.frombuffer(b"some words of a text, some words", np.uint8), np.array([0, 32]))
+    small = text.words().hashes()
+    assert sum(a.nbytes for a in textbytes._kept) <= 1024
+    textbytes.powers(100_000)
+    assert (text.words().hashes() == small).all() and len(textbytes.powers(5)[0]) == 5
+    assert small[0] == small[5] and len(set(small.tolist())) == 5
