@@ -34,6 +34,7 @@ RECALL = 0.99  # of pairs at the threshold, in nodes of the deepest level; nodes
 SLACK = 0.2  # a pair is confirmed if its sketches agree in at least threshold - SLACK of the positions
 #: Members confirmed against one copy of a group's first member in one task.
 BLOCK = 128
+CHUNK = 1 << 20  # bytes of text whose shingles are made at once
 #: Lists of documents up to so many rows (at most some 20 MB) are sent to the scan of the texts; longer ones are joined.
 SENT_ROWS = 400_000
 
@@ -156,7 +157,7 @@ def _sets_of(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, f1, f2, sig, sketch): the set's size, its 128-bit fingerprint, signature and byte sketch."""
 
     def run(batch: pa.RecordBatch):
-        for row, to, texts in chunks(batch.column(1)):
+        for row, to, texts in chunks(batch.column(1), CHUNK):
             values, at = shingle_sets(texts, k)
             sig = signatures(values, at)
             columns = [batch.column(0).slice(row, to - row).cast(pa.int64()), _long(np.diff(at)), _long(_sums(mix(values + U64(1)), at)), _long(_sums(mix(values ^ U64(0xA5A5A5A5A5A5A5A5)), at)), _binary(sig), _binary(sig.astype(np.uint8))]
@@ -290,7 +291,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
             key = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             doc, lead = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             a, b = [], []
-            for row, to, part in chunks(batch.column(4)):
+            for row, to, part in chunks(batch.column(4), CHUNK):
                 values, at = shingle_sets(part, k)
                 for r in range(row, to):
                     mine = values[at[r - row] : at[r - row + 1]]

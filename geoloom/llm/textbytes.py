@@ -43,11 +43,11 @@ _kept = _powers(1)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i below n; kept for the process and grown in powers of two, so that small chunks need a small
-    table (the driver, which only fits models, keeps it as well)."""
+    """BASE**i and BASE**-i for i below n; kept for the process and grown to one more than a power of two (a chunk of so many
+    bytes needs that), so that small chunks need a small table (the driver, which only fits models, keeps it as well)."""
     global _kept
     if n > len(_kept[0]):
-        _kept = _powers(1 << (n - 1).bit_length())
+        _kept = _powers((1 << max(0, n - 2).bit_length()) + 1)
     return _kept[0][:n], _kept[1][:n]
 
 

@@ -48,6 +48,8 @@ def test_tables_of_powers_fit_the_chunk(monkeypatch):
     text = textbytes.Texts(np.frombuffer(b"some words of a text, some words", np.uint8), np.array([0, 32]))
     small = text.words().hashes()
     assert sum(a.nbytes for a in textbytes._kept) <= 1024
+    textbytes.powers(4097)  # a chunk of 4 096 bytes needs no table for 8 192
+    assert len(textbytes._kept[0]) == 4097
     textbytes.powers(100_000)
     assert (text.words().hashes() == small).all() and len(textbytes.powers(5)[0]) == 5
     assert small[0] == small[5] and len(set(small.tolist())) == 5
