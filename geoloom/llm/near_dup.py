@@ -9,9 +9,10 @@ pair at the threshold keeps one with probability RECALL.
 
 A node's members are first compared with its first member only. What that links becomes one component, and a
 node whose members are all of one component is done, however large; nodes of up to SMALL members are compared
-exhaustively across components, and so is a larger node in which at most SMALL members are outside its largest
-component; other large nodes branch on, and those left at the deepest level are compared in blocks. Candidates whose sketches
-agree in far too few positions are dropped, all others are confirmed on the full sets.
+exhaustively across components, and so are larger ones, in blocks, those with the fewest members outside their largest
+component first, as long as a round needs at most COMPARED comparisons of sketches per document. Other large nodes branch on, and
+those left at the deepest level are all compared in blocks. Candidates of too different sizes, or whose sketches
+agree in far too few positions, are dropped, all others are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -32,8 +33,13 @@ SMALL = 32
 LEVELS = 3  # levels branched between two rounds of comparison
 RECALL = 0.99  # of pairs at the threshold, in nodes of the deepest level; nodes still large there are compared in blocks
 SLACK = 0.2  # a pair is confirmed if its sketches agree in at least threshold - SLACK of the positions
+#: Comparisons of sketches (some nanoseconds each) in large nodes, per document and round.
+COMPARED = 8192
 #: Members confirmed against one copy of a group's first member in one task.
 BLOCK = 128
+#: Members of a large node, and shingles of theirs, that meet as many others of it in one task.
+FACED, FACED_SHINGLES = 2048, 1 << 19
+STRIP = 256  # of those others at once
 CHUNK = 1 << 20  # bytes of text whose shingles are made at once
 #: Lists of documents up to so many rows (at most some 20 MB) are sent to the scan of the texts; longer ones are joined.
 SENT_ROWS = 400_000
@@ -203,23 +209,28 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return arrow_map(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
-def _within(nodes: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """(a, b): pairs of different labels in small nodes (key, doc, label) whose sketches agree enough, repeated by node."""
+def _fit(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be linked at all."""
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
+def _within(nodes: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
+    """(a, b): pairs of different labels in small nodes (key, doc, label) whose sizes and sketches agree enough, repeated by node."""
     mixed = nodes.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x < _y").select("key")
-    rows = nodes.join(mixed, "key").join(sets.select("doc", "sketch"), "doc")
-    grouped = rows.groupBy("key").agg(F.collect_list(F.struct("doc", "label", "sketch")).alias("m")).select("m")
+    rows = nodes.join(mixed, "key").join(sets.select("doc", "size", "sketch"), "doc")
+    grouped = rows.groupBy("key").agg(F.collect_list(F.struct("doc", "label", "size", "sketch")).alias("m")).select("m")
 
     def run(batch: pa.RecordBatch):
         column = batch.column(0)
         at = np.asarray(column.offsets)
         inner = column.values
-        doc, label = inner.field("doc").to_numpy(), inner.field("label").to_numpy()
+        doc, label, size = (inner.field(c).to_numpy() for c in ("doc", "label", "size"))
         sketch = _matrix(inner.field("sketch"), np.uint8, MINIMA)
         a, b = [], []
         for s, e in zip(at[:-1], at[1:]):
             i, j = np.triu_indices(e - s, 1)
             i, j = i + s, j + s
-            good = (label[i] != label[j]) & (doc[i] != doc[j])
+            good = (label[i] != label[j]) & (doc[i] != doc[j]) & _fit(size[i], size[j], percent)
             i, j = i[good], j[good]
             good = (sketch[i] == sketch[j]).sum(1) >= least
             a.append(np.minimum(doc[i[good]], doc[j[good]]))
@@ -230,38 +241,147 @@ def _within(nodes: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return arrow_map(grouped, run, "a long, b long")
 
 
-def _apart(nodes: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """(a, b): in each node, every member outside its most frequent label against all members of other labels, where the
-    sketches agree enough, repeated by node. A node travels in blocks of about 4 * BLOCK members, each with a copy of those others, 32 * BLOCK at once."""
-    rows = nodes.join(sets.select("doc", "sketch"), "doc").withColumn("blocks", F.ceil(F.col("n") / (4 * BLOCK)).cast("int"))
-    rows = rows.withColumn("shares", F.ceil(F.col("rest") / (32 * BLOCK)).cast("int"))
+def _apart(nodes: DataFrame, sets: DataFrame, texts: DataFrame, k: int, least: int, percent: int) -> DataFrame:
+    """(a, b): links between components in large nodes (key, doc, size, label) with the figures that ``_figures`` gives for each.
+
+    Every member outside its node's most frequent label meets all members of other labels. A node travels in blocks of about FACED
+    members, each with a copy of those others in shares of as many: first as sketches; then the texts of those of a block that have
+    a candidate there, whose full sets are compared in the task, so that links move, not candidate pairs. One link per member and
+    other component is enough.
+    """
+    rows = nodes.join(sets.select("doc", "sketch"), "doc")
 
     def dealt(n: str):
         return F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
 
     def copied(n: str):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        return F.sequence(F.lit(0), F.col(n) - 1)
 
-    every = rows.select("key", dealt("blocks").alias("block"), copied("shares").alias("share"), F.lit(0).alias("odd"), "doc", "label", "sketch")
-    odd = rows.where("label <> most").select("key", copied("blocks").alias("block"), dealt("shares").alias("share"), F.lit(1).alias("odd"), "doc", "label", "sketch")
-    grouped = every.unionByName(odd).groupBy("key", "block", "share").agg(F.collect_list(F.struct("odd", "doc", "label", "sketch")).alias("m")).select("m")
+    # every member meets all shares in its own block; one outside the most frequent label travels to all blocks in its own share as well
+    goes = F.transform(copied("shares"), lambda share: F.struct(dealt("blocks").alias("block"), share.alias("share"), F.lit(0).alias("odd")))
+    odd = F.transform(copied("blocks"), lambda block: F.struct(block.alias("block"), dealt("shares").alias("share"), F.lit(1).alias("odd")))
+    sent = rows.select("key", F.explode(F.when(F.col("label") == F.col("most"), goes).otherwise(F.concat(goes, odd))).alias("to"), "doc", "label", "size", "sketch")
+    grouped = sent.groupBy("key", "to.block", "to.share").agg(F.collect_list(F.struct("to.odd", "doc", "label", "size", "sketch")).alias("m"))
 
-    def run(batch: pa.RecordBatch):
-        column = batch.column(0)
+    def wanted(batch: pa.RecordBatch):
+        column = batch.column(3)
         at, inner = np.asarray(column.offsets), column.values
-        odd, doc, label = (inner.field(c).to_numpy() for c in ("odd", "doc", "label"))
+        odd, doc, label, size = (inner.field(c).to_numpy() for c in ("odd", "doc", "label", "size"))
         sketch = _matrix(inner.field("sketch"), np.uint8, MINIMA)
-        a, b = [], []
+        chosen = np.zeros(len(doc), bool)
         for s, e in zip(at[:-1], at[1:]):
-            others = s + np.flatnonzero(odd[s:e] == 0)
-            for i in s + np.flatnonzero(odd[s:e] == 1):
-                j = others[(label[others] != label[i]) & ((sketch[others] == sketch[i]).sum(1) >= least)]
-                a.append(np.minimum(doc[j], doc[i]))
-                b.append(np.maximum(doc[j], doc[i]))
-        a, b = np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for i, j in _candidates(s + np.flatnonzero(odd[s:e]), s + np.flatnonzero(odd[s:e] == 0), doc, label, size, sketch, least, percent):
+                chosen[i] = chosen[j] = True
+        chosen = np.flatnonzero(chosen)
+        of = np.searchsorted(at, chosen, "right") - 1
+        columns = [batch.column(c).take(pa.array(of)) for c in range(3)]
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x[chosen]) for x in (odd, doc, label)), _binary(sketch[chosen])], ["key", "block", "share", "odd", "doc", "label", "sketch"])
+
+    place = ["key", "block", "share"]
+    members = cut(arrow_map(grouped, wanted, "key long, block int, share int, odd int, doc long, label long, sketch binary"))
+    n = members.count()
+    if not n:
+        return members.select(F.col("doc").alias("a"), F.col("doc").alias("b"))
+    found = texts.join(F.broadcast(members) if 2 * n <= SENT_ROWS else members, "doc")
+    found = found.repartition(*place).sortWithinPartitions(*place).select(*place, "odd", "doc", "label", "sketch", "text")
 
-    return arrow_map(grouped, run, "a long, b long").where("a < b")
+    def run(batches):
+        group, held = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], 1)
+            odd, doc, label = (batch.column(c).to_numpy() for c in (3, 4, 5))
+            sketch = _matrix(batch.column(6), np.uint8, MINIMA)
+            for row, to, part in chunks(batch.column(7), CHUNK):
+                values, at = shingle_sets(part, k)
+                new = np.flatnonzero((keys[row + 1 : to] != keys[row : to - 1]).any(1)) + row + 1
+                for s, e in zip([row, *new.tolist()], [*new.tolist(), to]):
+                    if held and tuple(keys[s]) != group:
+                        yield _linked(held, least, percent)
+                        held = []
+                    group = tuple(keys[s])
+                    held.append((odd[s:e], doc[s:e], label[s:e], np.diff(at)[s - row : e - row], sketch[s:e], values[at[s - row] : at[e - row]]))
+        if held:
+            yield _linked(held, least, percent)
+
+    ship(nodes.sparkSession)
+    return cut(found.mapInArrow(run, "a long, b long"))
+
+
+def _candidates(mine: np.ndarray, others: np.ndarray, doc: np.ndarray, label: np.ndarray, size: np.ndarray, sketch: np.ndarray, least: int, percent: int):
+    """(i, j): members ``mine`` and ``others`` of other labels whose sizes and sketches agree enough, strip by strip, by i."""
+    faced = np.ascontiguousarray(sketch[others].T)
+    for row in range(0, len(mine), STRIP):
+        few = mine[row : row + STRIP]
+        i, j = np.nonzero(_agreeing(np.ascontiguousarray(sketch[few].T), faced) >= least)
+        i, j = few[i], others[j]
+        good = (label[i] != label[j]) & (doc[i] != doc[j]) & _fit(size[i], size[j], percent)
+        yield i[good], j[good]
+
+
+def _linked(held: list[tuple], least: int, percent: int) -> pa.RecordBatch:
+    """Links (a, b) of a block's members, one for each member outside the most frequent label and each label it is linked with.
+
+    The block's shingles are numbered; a member's are marked and the marks that each candidate's shingles meet are added up."""
+    odd, doc, label, size, sketch, values = (np.concatenate(x) for x in zip(*held))
+    at = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    names, place = np.unique(values, return_inverse=True)
+    place = place.astype(np.int32)
+    mark = np.zeros(len(names), np.uint8)
+    a, b = [], []
+    for i, j in _candidates(np.flatnonzero(odd), np.flatnonzero(odd == 0), doc, label, size, sketch, least, percent):
+        members, first = np.unique(i, return_index=True)
+        for one, s, e in zip(members.tolist(), first.tolist(), [*first.tolist()[1:], len(i)]):
+            own, faced = place[at[one] : at[one + 1]], j[s:e]
+            mark[own] = 1
+            length = size[faced]
+            start = np.cumsum(length) - length
+            met = mark[place[np.arange(length.sum()) + np.repeat(at[faced] - start, length)]]
+            both = np.add.reduceat(met, start, dtype=np.int64)
+            mark[own] = 0
+            hit = faced[100 * both >= percent * (size[one] + length - both)]
+            hit = hit[np.unique(label[hit], return_index=True)[1]]
+            a.append(np.minimum(doc[hit], doc[one]))
+            b.append(np.maximum(doc[hit], doc[one]))
+    a, b = np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _agreeing(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """In how many positions each column of ``one`` agrees with each of ``other``; long loops over one position at a time."""
+    out = np.zeros((one.shape[1], other.shape[1]), np.uint8)
+    same = np.empty(out.shape, bool)
+    for p in range(MINIMA):
+        np.equal(one[p][:, None], other[p], out=same)
+        out += same.view(np.uint8)
+    return out
+
+
+def _figures(members: DataFrame) -> DataFrame:
+    """Of each node (key, doc, size, label) with several labels: n members, most: the most frequent label, rest: members of others, and into
+    how many blocks of members and shares of those others it is cut."""
+    labels = members.groupBy("key", "label").agg(F.count("*").alias("count"), F.sum("size").alias("size"))
+    nodes = labels.groupBy("key").agg(F.sum("count").alias("n"), F.sum("size").alias("sizes"), F.max(F.struct("count", "label", "size")).alias("most"))
+
+    def cuts(n, sizes):
+        return F.greatest(F.ceil(n / FACED), F.ceil(sizes / FACED_SHINGLES)).cast("int")
+
+    rest, left = F.col("n") - F.col("most.count"), F.col("sizes") - F.col("most.size")
+    return nodes.select("key", "n", F.col("most.label").alias("most"), rest.alias("rest"), cuts(F.col("n"), F.col("sizes")).alias("blocks"), cuts(rest, left).alias("shares")).where("rest > 0")
+
+
+def _affordable(counts: DataFrame, allowed: int) -> int:
+    """The greatest power of two such that comparing the large nodes (n, rest) with at most so many members outside their most
+    frequent label takes at most ``allowed`` comparisons."""
+    power = F.ceil(F.log2("rest")).cast("int")
+    work = sorted(counts.groupBy(power.alias("power")).agg(F.sum(F.col("n").cast("double") * F.col("rest")).alias("work")).collect())
+    limit, total = 0, 0.0
+    for k, n in work:
+        total += n
+        if total > allowed:
+            break
+        limit = 2**k
+    return limit
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -331,7 +451,8 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = 80, id: str = "doc_i
     full = every.where("n_shingles > 0 and doc_id is not null")
     equal = ["f1", "f2", "n_shingles"]
     classes = cut(full.groupBy(*equal).agg(F.min(F.struct("doc_id", "sig", "sketch")).alias("x")).select(*equal, F.col("x.doc_id").alias("doc"), "x.sig", "x.sketch"))
-    sets = classes.select("doc", "sig", "sketch")
+    sets = classes.select("doc", F.col("n_shingles").alias("size"), "sig", "sketch")
+    n_sets = sets.count()
     texts = rows.where("doc_id is not null").withColumnRenamed("doc_id", "doc")
 
     links = cut(_same_class(full, classes, equal))
@@ -356,12 +477,12 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = 80, id: str = "doc_i
             links = links.unionByName(found)
             labels = components(links)
         small = met.where((F.col("n") > 2) & (F.col("n") <= SMALL)).select("key", "doc")
-        deep = cut(_labelled(wave[-1].where(F.col("n") > SMALL).select("key", "doc"), labels, "doc", "label"))
-        counts = deep.groupBy("key", "label").count().groupBy("key").agg(F.sum("count").alias("n"), F.max(F.struct("count", "label")).alias("most"))
-        counts = counts.select("key", "n", F.col("most.label").alias("most"), (F.col("n") - F.col("most.count")).alias("rest")).where("rest > 0")
-        few = F.lit(True) if depth > deepest else F.col("rest") <= SMALL
-        near = _within(_labelled(small, labels, "doc", "label"), sets, least).unionByName(_apart(deep.join(counts.where(few), "key"), sets, least))
-        found = confirm(near.distinct(), texts, k, percent)
+        deep = _labelled(wave[-1].where(F.col("n") > SMALL).select("key", "doc"), labels, "doc", "label")
+        deep = cut(deep.join(sets.select("doc", "size"), "doc"))
+        counts = cut(_figures(deep))
+        few = F.lit(True) if depth > deepest else F.col("rest") <= _affordable(counts, COMPARED * n_sets)
+        near = _within(_labelled(small, labels, "doc", "label"), sets, least, percent)
+        found = confirm(near.distinct(), texts, k, percent).unionByName(_apart(deep.join(counts.where(few), "key"), sets, texts, k, least, percent))
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = components(links)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from geoloom.llm import language, quality, textbytes, token_counts
+from geoloom.llm import language, near_dup, quality, textbytes, token_counts
 
 
 @pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "ab" * 1_000_000, "a " + "\t" * 1_500_000 + " b"])
@@ -53,3 +53,34 @@ def test_tables_of_powers_fit_the_chunk(monkeypatch):
     textbytes.powers(100_000)
     assert (text.words().hashes() == small).all() and len(textbytes.powers(5)[0]) == 5
     assert small[0] == small[5] and len(set(small.tolist())) == 5
+
+
+@pytest.mark.parametrize("faced, compared", [(64, 8192), (5, 8192), (64, 20)])
+def test_large_nodes_are_settled_by_full_sets_in_blocks(spark, monkeypatch, faced, compared):
+    """A passage in all texts, pairs below and above 80 % and a group of copies: nodes within the round's comparisons are settled
+    at once, by links and not by candidate pairs; with few comparisons allowed the others branch on. All equal brute force."""
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    monkeypatch.setattr(near_dup, "FACED", faced)
+    monkeypatch.setattr(near_dup, "COMPARED", compared)
+    steps, confirmed = [], []
+    nodes, confirm = near_dup._nodes, near_dup.confirm
+    monkeypatch.setattr(near_dup, "_nodes", lambda *a: steps.append(1) or nodes(*a))
+    monkeypatch.setattr(near_dup, "confirm", lambda pairs, *a: confirmed.append(pairs.count()) or confirm(pairs, *a))
+    shared, rows = [f"all{j}" for j in range(70)], []
+    for g in range(40):
+        own = [f"own{g}x{j}" for j in range(35)]
+        rows += [(10 * g, shared + own), (10 * g + 1, shared + own[:-9] + [f"new{g}x{j}" for j in range(9)]), (10 * g + 2, shared + own[:-20] + [f"odd{g}x{j}" for j in range(20)])]
+    rows += [(1000 + g, [*shared[: g % 60], f"edit{g}", *shared[g % 60 + 1 :], *(f"group{j}" for j in range(60))]) for g in range(40)]
+    sets = {i: {tuple(w[j : j + 4]) for j in range(len(w) - 3)} for i, w in rows}
+    component = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and component[a] != component[b]:
+                low, high = sorted((component[a], component[b]))
+                component = {i: low if c == high else c for i, c in component.items()}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, 4).collect()}
+    assert got == component and len(set(component.values())) < len(rows) - 60
+    assert (len(steps) > 1) == (compared == 20)
+    if compared > 20:
+        assert sum(confirmed) < 30 * len(rows)  # some 90 candidates a text before
