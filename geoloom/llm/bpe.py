@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
-from functools import lru_cache
 from operator import itemgetter
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import arrow_map, table
+from geoloom.llm.common import arrow_map, process_cache, table
 from geoloom.llm.registry import query
 from geoloom.llm.textbytes import chunks
 from geoloom.llm.token_counts import _byte_letters
@@ -185,7 +184,7 @@ class PrefixBpe:
         return [self.words[p] for p in parts]
 
 
-@lru_cache(maxsize=2)
+@process_cache("bpe", 2)
 def _encoder(body: str) -> PrefixBpe:
     return PrefixBpe(json.loads(body))
 
@@ -196,7 +195,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str =
 
     A null or empty text gives no ids and an empty string; special strings inside a text count as their
     token. Repeated rows are encoded each. Other columns are ignored, whatever their names; an empty table gives an
-    empty result. No shuffle; per process the caches hold a bounded number of words.
+    empty result. No shuffle; per process the caches hold a bounded number of words, until it runs tasks of another step.
     """
     with open(tokenizer, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -214,7 +213,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str =
 
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return arrow_map(rows, encode, f"_id {kind}, ids array<int>, decoded string").withColumnRenamed("_id", id)
+    return arrow_map(rows, encode, f"_id {kind}, ids array<int>, decoded string", keeps="bpe").withColumnRenamed("_id", id)
 
 
 def digests(encoded: DataFrame, id: str = "doc_id") -> DataFrame:

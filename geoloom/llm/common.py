@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,17 +46,43 @@ def _delete_written() -> None:
             return
 
 
-def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """Apply a function from batch to batches; the package is sent to executors first."""
+def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType, keeps: str | None = None) -> DataFrame:
+    """Apply a function from batch to batches; the package is sent to executors first. ``keeps`` names the ``process_cache``
+    that the function uses."""
     ship(df.sparkSession)
 
     def run(batches):
+        drop_caches(keeps)
         for batch in batches:
             yield from function(batch)
 
     return df.mapInArrow(run, schema)
 
 
+_caches: dict[str, Callable] = {}
+
+
+def process_cache(name: str, size: int):
+    """An ``lru_cache`` that a task's process keeps for its next tasks of the same kind: Spark uses such a process again
+    for other steps, and their tasks, by ``arrow_map``, drop it first."""
+
+    def register(function):
+        _caches[name] = lru_cache(maxsize=size)(function)
+        return _caches[name]
+
+    return register
+
+
+def drop_caches(keeps: str | None) -> None:
+    """Give back what this process keeps for steps other than ``keeps``."""
+    full = [cache for name, cache in _caches.items() if name != keeps and cache.cache_info().currsize]
+    for cache in full:
+        cache.cache_clear()
+    if full:
+        gc.collect()  # caches that compute by their owner's methods refer to it
+        pa.default_memory_pool().release_unused()
+
+
 def seeded(seed: int, *columns: Column | str) -> Column:
     """A repeatable 64-bit random order of rows."""
     return F.xxhash64(F.lit(seed), *columns)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from geoloom.llm import language, near_dup, quality, textbytes, token_counts
+from geoloom.llm import bpe, common, language, near_dup, quality, textbytes, token_counts
 
 
 @pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "ab" * 1_000_000, "a " + "\t" * 1_500_000 + " b"])
@@ -84,3 +84,25 @@ def test_large_nodes_are_settled_by_full_sets_in_blocks(spark, monkeypatch, face
     assert (len(steps) > 1) == (compared == 20)
     if compared > 20:
         assert sum(confirmed) < 30 * len(rows)  # some 90 candidates a text before
+
+
+def test_a_process_drops_what_other_steps_keep(spark):
+    """Spark runs tasks of several steps in one process: a step's encoder and its word caches go with its next other step."""
+    docs = spark.createDataFrame([(k, f"some words of text {k}") for k in range(20)], "doc_id long, text string").coalesce(1)
+    encoded = bpe.bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "ids")
+
+    def sizes(batch):
+        from geoloom.llm import bpe
+
+        yield pa.RecordBatch.from_arrays([pa.array([bpe._encoder.cache_info().currsize], pa.int64())], ["n"])
+
+    for keeps, kept in (("bpe", 1), (None, 0), ("bpe", 0)):
+        if kept:
+            assert encoded.count() == 20 and len(encoded.collect()) == 20
+        found = [r.n for r in common.arrow_map(docs, sizes, "n long", keeps).collect()]
+        assert found == [0] if not kept else max(found) <= 1
+    bpe._encoder(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    common.drop_caches("bpe")
+    assert bpe._encoder.cache_info().currsize == 1
+    common.drop_caches(None)
+    assert bpe._encoder.cache_info().currsize == 0
