@@ -27,7 +27,9 @@ END = "\ue000"
 #: A word pattern that ends so takes a run of letters whole, whatever contractions come before it.
 PLAIN = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Entries of a generation of the word caches of a task's process; two generations are held.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
+#: Pairs of tokens whose compatibility such a process remembers.
+CACHE_PAIRS = 500_000
 
 
 class Recent(dict):
@@ -117,7 +119,7 @@ class PrefixBpe:
         key = left << 24 | right
         known = self.stable.get(key)
         if known is None:
-            if len(self.stable) > 2_000_000:
+            if len(self.stable) >= CACHE_PAIRS:
                 self.stable.clear()
             known = self.stable[key] = self.joins(left, right, 1 << 60)
         return known

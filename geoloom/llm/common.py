@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from geoloom.llm import textbytes
 from geoloom.shipping import ship
 from geoloom.sources.place import fresh_path
 
@@ -60,6 +61,7 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Re
 
 
 _caches: dict[str, Callable] = {}
+_kind: str | None = None
 
 
 def process_cache(name: str, size: int):
@@ -74,13 +76,16 @@ def process_cache(name: str, size: int):
 
 
 def drop_caches(keeps: str | None) -> None:
-    """Give back what this process keeps for steps other than ``keeps``."""
+    """Give back what this process keeps for steps other than ``keeps``, and unused memory with it."""
+    global _kind
     full = [cache for name, cache in _caches.items() if name != keeps and cache.cache_info().currsize]
     for cache in full:
         cache.cache_clear()
-    if full:
+    if full or keeps != _kind:
+        textbytes.forget_powers()
         gc.collect()  # caches that compute by their owner's methods refer to it
         pa.default_memory_pool().release_unused()
+    _kind = keeps
 
 
 def seeded(seed: int, *columns: Column | str) -> Column:

@@ -51,6 +51,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _kept[0][:n], _kept[1][:n]
 
 
+def forget_powers() -> None:
+    global _kept
+    _kept = _powers(1)
+
+
 class Texts:
     """Some whole texts of a batch: ``data`` their bytes, ``at`` the offsets (one more than texts)."""
 
