@@ -11,10 +11,10 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,19 +27,26 @@ END = "\ue000"
 #: A word pattern that ends so takes a run of letters whole, whatever contractions come before it.
 PLAIN = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Entries of a generation of the word caches of a task's process; two generations are held.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 50_000
+#: Longer words are encoded each time, so that a cache's bytes are bounded too.
+CACHE_LETTERS = 64
 #: Pairs of tokens whose compatibility such a process remembers.
-CACHE_PAIRS = 500_000
+CACHE_PAIRS = 300_000
+#: Bytes of text that are encoded before their rows go on.
+CHUNK = 1 << 20
 
 
 class Recent(dict):
-    """key -> compute(key), remembering at least the last ``size`` computed keys, at most twice as many."""
+    """key -> compute(key), remembering at least the last ``size`` computed keys, at most twice as many, and none of more than
+    CACHE_LETTERS characters."""
 
     def __init__(self, compute, size: int):
         super().__init__()
         self.compute, self.size, self.older = compute, size, {}
 
     def __missing__(self, key):
+        if len(key) > CACHE_LETTERS:
+            return self.compute(key)
         if len(self) >= self.size:
             self.older = dict(self)
             self.clear()
@@ -67,8 +74,9 @@ class PrefixBpe:
             raise ValueError("this encoder knows a split by pattern that keeps the matches, then bytes")
         self.fold = bool(kinds)
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.names = {i: w + " " for w, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        names = {i: w for w, i in [*model["vocab"].items(), *self.special.items()]}
+        self.names = pa.array([(names.get(i, "") + " ").encode() for i in range(max(names, default=-1) + 1)], pa.large_binary())
         self.pieces = regex.compile(steps[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"), regex.V0)
         self.controls = regex.compile("[\x1c-\x1f]")
         self.blank = regex.compile(r"\p{White_Space}+")
@@ -152,12 +160,12 @@ class PrefixBpe:
         out.reverse()
         return out
 
-    def _piece(self, piece: str) -> tuple[bytes, str]:
-        ids = self.ids(piece.encode().decode("latin-1").translate(self.letter))
-        return array("i", ids).tobytes(), "".join([self.names[i] for i in ids])
+    def _piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letter)
+        return array("i", self.ids(letters)).tobytes()
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        """(ids as int32 bytes, decoded text with a blank after every token) of what stands between blanks."""
+    def _word(self, word: str) -> bytes:
+        """The ids, as int32 bytes, of what stands between blanks."""
         if self.fold:
             if not word.isascii():
                 word = unicodedata.normalize("NFC", word).replace("Σ", "σ")
@@ -166,24 +174,32 @@ class PrefixBpe:
             if word.isalpha():
                 return self.piece[word]
             if word[-1] in ".,;:!?" and word[:-1].isalpha():
-                (a, x), (b, y) = self.piece[word[:-1]], self.piece[word[-1]]
-                return a + b, x + y
-        found = [self.piece[p] for p in self.pieces.findall(word)]
-        return b"".join([x[0] for x in found]), "".join([x[1] for x in found])
+                return self.piece[word[:-1]] + self.piece[word[-1]]
+        return b"".join([self.piece[p] for p in self.pieces.findall(word)])
+
+    def encode_ids(self, text: str) -> bytes:
+        """The ids, as int32 bytes."""
+        if self.specials is None or "<|" not in text and not self.specials.search(text):
+            return self._run(text)
+        return b"".join([array("i", [self.special[part]]).tobytes() if k % 2 else self._run(part) for k, part in enumerate(self.specials.split(text))])
+
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """The decoded texts of ids[at[0]:at[1]], ids[at[1]:at[2]], ...: names of tokens with blanks between them."""
+        if not len(ids):
+            return pa.array([""] * (len(at) - 1), pa.string())
+        names = self.names.take(pa.array(ids))
+        bounds = np.frombuffer(names.buffers()[1], np.int64)[at]
+        texts = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(bounds), names.buffers()[2]])
+        return pc.binary_slice(texts, 0, -1).cast(pa.string())
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """(ids as int32 bytes, the decoded text)."""
-        if self.specials is None or "<|" not in text and not self.specials.search(text):
-            found = self._run(text)
-        else:
-            found = []
-            for k, part in enumerate(self.specials.split(text)):
-                found += [(array("i", [self.special[part]]).tobytes(), part + " ")] if k % 2 else self._run(part)
-        return b"".join(map(itemgetter(0), found)), "".join(map(itemgetter(1), found))[:-1]
-
-    def _run(self, text: str) -> list:
+        body = self.encode_ids(text)
+        return body, self.decode(np.frombuffer(body, "<i4"), np.array([0, len(body) // 4]))[0].as_py()
+
+    def _run(self, text: str) -> bytes:
         parts = text.split() if not self.controls.search(text) else [p for p in self.blank.split(text) if p]
-        return [self.words[p] for p in parts]
+        return b"".join([self.words[p] for p in parts])
 
 
 @process_cache("bpe", 2)
@@ -205,13 +221,13 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str =
     def encode(batch: pa.RecordBatch):
         encoder = _encoder(shared.value)
         texts, keys = batch.column(1), batch.column(0)
-        for row, to, _ in chunks(texts):
-            found = [encoder.encode(t) for t in texts.slice(row, to - row).to_pylist()]
-            body = b"".join(x[0] for x in found)
+        for row, to, _ in chunks(texts, CHUNK):
+            found = [encoder.encode_ids(t) for t in texts.slice(row, to - row).to_pylist()]
             at = np.zeros(len(found) + 1, np.int32)
-            np.cumsum([len(x[0]) // 4 for x in found], out=at[1:])
-            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(body, "<i4")))
-            yield pa.RecordBatch.from_arrays([keys.slice(row, to - row), ids, pa.array([x[1] for x in found], pa.string())], ["_id", "ids", "decoded"])
+            np.cumsum([len(x) // 4 for x in found], out=at[1:])
+            ids = np.frombuffer(b"".join(found), "<i4")
+            columns = [keys.slice(row, to - row), pa.ListArray.from_arrays(pa.array(at), pa.array(ids)), encoder.decode(ids, at)]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "ids", "decoded"])
 
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))

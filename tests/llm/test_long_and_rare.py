@@ -106,3 +106,24 @@ def test_a_process_drops_what_other_steps_keep(spark):
     assert bpe._encoder.cache_info().currsize == 1
     common.drop_caches(None)
     assert bpe._encoder.cache_info().currsize == 0
+
+
+def test_bpe_caches_are_bounded_in_bytes_too():
+    """Entries hold ids only; a word of any length is encoded right, a long one is not kept."""
+    import json
+    import random
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, mine = Tokenizer.from_file(path), bpe.PrefixBpe(json.load(open(path)))
+    r = random.Random(8)
+    texts = ["", "".join(r.choice("abeinot") for _ in range(3000)), "x" * 64 + " " + "x" * 65 + ".", "<|endoftext|>", ""]
+    texts += [" ".join("".join(r.choice("abeinot") for _ in range(r.randint(1, 12))) for _ in range(500)) for _ in range(4)]
+    bodies = [mine.encode_ids(x) for x in texts]
+    at = np.cumsum([0] + [len(x) // 4 for x in bodies])
+    decoded = mine.decode(np.frombuffer(b"".join(bodies), "<i4"), at).to_pylist()
+    for x, body, found in zip(texts, bodies, decoded):
+        ids = t.encode(x, add_special_tokens=False).ids
+        assert (np.frombuffer(body, "<i4").tolist(), found) == (ids, t.decode(ids, skip_special_tokens=False))
+    for cache in (mine.words, mine.piece):
+        assert len(cache) > 1000 and max(map(len, cache)) == bpe.CACHE_LETTERS
+        assert all(type(x) is bytes for x in cache.values())
