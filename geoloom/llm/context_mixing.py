@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.common import cut, remainder, table
 from geoloom.llm.registry import query
-from geoloom.llm.textbytes import U64, Texts, chunks
+from geoloom.llm.textbytes import U64, Texts, chunks, powers
 from geoloom.llm.toxicity import spaced
 from geoloom.shipping import ship
 
@@ -32,6 +32,8 @@ BLOCK = 1 << 16
 END_BYTE = 10
 PAD = max(ORDERS)
 SEGMENT = 1024
+#: Steps whose bytes and log odds are brought together at once.
+TILE = 16
 SCALE = 12.0
 PRIOR = 0.05
 RATE = 0.004
@@ -77,19 +79,23 @@ def streams(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def slots(data: np.ndarray):
     """Per order: the first cells of the high and of the low nibble's 16 counts, for every position."""
     nibble = ((data >> 4).astype(U64) + U64(1)) * U64(0xC2B2AE3D27D4EB4F)
-    value = np.zeros(len(data), U64)
+    wide, value = data.astype(U64), np.zeros(len(data), U64)
     places = {}
     for k in range(1, PAD + 1):
-        value[k:] |= data[:-k].astype(U64) << U64(8 * (k - 1))
+        value[k:] |= wide[:-k] << U64(8 * (k - 1))
         if k in ORDERS:
             places[k] = value + U64(k)
-    at = np.arange(len(data))
-    begin = np.zeros(len(data), np.int64)
-    begin[1:] = np.where((data[:-1] == 32) | (data[:-1] == END_BYTE), at[1:], 0)
-    places[0] = Texts(data, np.array([0, len(data)])).hashes(np.maximum.accumulate(begin), at)
+    # a polynomial of the word so far, from one prefix sum; the multiplication below mixes it
+    opens = np.flatnonzero((data == 32) | (data == END_BYTE)) + 1
+    opens = np.concatenate([[0], opens[opens < len(data)]])[: len(data)]
+    length = np.diff(opens, append=len(data))
+    prefix = Texts(data, np.array([0, len(data)])).prefix()
+    places[0] = prefix[:-1] - np.repeat(prefix[opens], length)
+    places[0] *= np.repeat(powers(len(data) + 1)[1][opens], length)
     for order, bits in zip(ORDERS, BITS):
         shift = U64(64 - (bits - 4))
-        h = places.pop(order) * _ODD
+        h = places.pop(order)
+        h *= _ODD
         high = (h >> shift).astype(np.int32) << 4
         h += nibble
         h *= U64(0xD6E8FEB86659FD93)
@@ -108,20 +114,17 @@ def pieces(texts: Texts):
 
 
 def count_cells(texts: Texts, total: np.ndarray) -> None:
-    found: list[list[np.ndarray]] = [[] for _ in ORDERS]
+    views = [total[OFFSET[o] : OFFSET[o + 1]] for o in range(len(ORDERS))]
+    one = total.dtype.type(1)
     for data, first, _ in pieces(texts):
         inside = np.ones(len(data), bool)
         for p in range(PAD):
             inside[first - PAD + p] = False
         at = np.flatnonzero(inside)
-        high4, low4 = data[at] >> 4, data[at] & 15
-        for cells, (high, low) in zip(found, slots(data)):
-            cells += [high[at] + high4, low[at] + low4]
-    for o, cells in enumerate(found):
-        if cells:
-            view = total[OFFSET[o] : OFFSET[o + 1]]
-            np.add(view, np.bincount(np.concatenate(cells), minlength=len(view)), out=view, casting="unsafe")
-            cells.clear()
+        nibbles = (data >> 4)[at], (data & 15)[at]
+        for view, cells in zip(views, slots(data)):
+            for k in range(2):
+                np.add.at(view, cells[k][at] + nibbles[k], one)
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
@@ -162,39 +165,39 @@ def bits_of(texts: Texts, odds: np.ndarray, start_weight: np.ndarray, rate: floa
     length = np.minimum(end[text] - start, SEGMENT)
     order = np.argsort(-length, kind="stable")
     start, length = start[order], length[order]
-    # (orders, segments, bits): the loops that numpy runs are long, and no step needs new memory for its large arrays
-    weight = np.repeat(start_weight[:, None].astype(np.float32), len(start), 1)
-    cost, chance = np.zeros(len(start)), np.ones((len(start), 8), np.float32)
-    x_all, y_all = np.empty_like(weight), np.empty_like(weight)
-    z_all = np.empty_like(chance)
-    step = np.float32(rate / SCALE**2)
+    # (orders, segments, bits): the loops that numpy runs are long, and no step needs new memory for its large arrays.
+    # Weights are kept divided by the root of the step, so that one table of signs serves predictions and updates.
+    root = np.float32(np.sqrt(rate) / SCALE)
+    weight = np.repeat((start_weight / root)[:, None].astype(np.float32), len(start), 1)
+    away = -root * _SIGN
+    cost, inverse = np.zeros(len(start)), np.ones((len(start), 8), np.float32)  # of the chances
+    x_all, z_all = np.empty_like(weight), np.empty_like(inverse)
+    s_all, d_all = np.empty_like(inverse), np.empty_like(inverse)
     active = np.searchsorted(-length, -np.arange(SEGMENT), "left")  # segments longer than t
+    low, high = np.float32(-10), np.float32(10)
     for t in range(int(length.max(initial=0))):
+        if t % TILE == 0:  # order by order, so that these steps' bytes are near; those behind a segment's end mean nothing
+            at = np.arange(t, t + TILE)[:, None] + start[: active[t]]
+            tile, codes = found.take(at, 1, mode="clip"), data.take(at, mode="clip")
         m = int(active[t])
-        at = start[:m] + t
-        sign = _SIGN.take(data.take(at), 0)
-        x, y, z, w = x_all[:, :m], y_all[:, :m], z_all[:m], weight[:, :m]
-        x[...] = found.take(at, 1).view(np.int8).reshape(len(ORDERS), m, 8)
-        np.multiply(w, x, out=y)
-        np.add.reduce(y, 0, out=z)
-        z *= sign
-        np.minimum(z, 10, out=z)
-        np.maximum(z, -10, out=z)
-        np.negative(z, out=z)
+        x, w, z, s, d = x_all[:, :m], weight[:, :m], z_all[:m], s_all[:m], d_all[:m]
+        x[...] = tile[:, t % TILE, :m].view(np.int8).reshape(len(ORDERS), m, 8)
+        away.take(codes[t % TILE, :m], 0, out=s, mode="clip")
+        np.einsum("omb,omb->mb", w, x, out=z)
+        z *= s
+        np.clip(z, low, high, out=z)
         np.exp(z, out=z)
-        z += 1
-        np.reciprocal(z, out=z)
-        chance[:m] *= z
-        if t % 8 == 7:  # eight factors of e**-10 and more fit a float
-            cost[:m] -= np.log2(chance[:m]).sum(1)
-            chance[:m] = 1
-        np.subtract(1, z, out=z)
-        sign *= step
-        z *= sign
+        np.add(z, 1, out=d)
+        inverse[:m] *= d
+        if t % 8 == 7:  # eight factors of 1 + e**10 fit a float
+            cost[:m] += np.log2(inverse[:m]).sum(1)
+            inverse[:m] = 1
+        z /= d
+        z *= s
         x *= z
-        w += x
-    cost -= np.log2(chance).sum(1)
-    mean = (weight * length[:, None]).sum(1) / max(1, length.sum())
+        w -= x
+    cost += np.log2(inverse).sum(1)
+    mean = (weight * length[:, None]).sum(1) * root / max(1, length.sum())
     return np.bincount(text[order], cost, len(size)), size, mean
 
 

@@ -127,3 +127,50 @@ def test_bpe_caches_are_bounded_in_bytes_too():
     for cache in (mine.words, mine.piece):
         assert len(cache) > 1000 and max(map(len, cache)) == bpe.CACHE_LETTERS
         assert all(type(x) is bytes for x in cache.values())
+
+
+def test_lm_counts_and_bits_equal_plain_loops():
+    """Over segments, tiles and texts of many lengths; counting a small text takes no memory of a table's size."""
+    import tracemalloc
+
+    from geoloom.llm import context_mixing as cm
+
+    column = pa.array(["the cat sat on the mat " * 70, "", "a cat", "x" * 1100, "The mat sat, the cat sat " * 9], pa.large_string())
+    texts = next(textbytes.chunks(column))[2]
+    counts = np.zeros(cm.OFFSET[-1], np.int32)
+    cm.count_cells(texts, counts)
+    tracemalloc.start()
+    cm.count_cells(texts, counts)
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
+    data, first, end = cm.streams(texts)
+    cells = list(cm.slots(data))
+    expected = np.zeros(cm.OFFSET[-1], np.int32)
+    inside = [i for a, b in zip(first, end) for i in range(a, b)]
+    for o, pair in enumerate(cells):
+        for c, part in zip(pair, (data >> 4, data & 15)):
+            for i in inside:
+                expected[cm.OFFSET[o] + c[i] + part[i]] += 2
+    assert (counts == expected).all()
+    words = {}  # the word so far, and its slot
+    for a, b in zip(first, end):
+        for i in range(a, b):
+            words.setdefault(bytes(data[a:i]).rpartition(b" ")[2], set()).add(int(cells[3][0][i]))
+    assert all(len(x) == 1 for x in words.values()) and len(set.union(*words.values())) >= 0.99 * len(words)
+
+    start = np.linspace(0.01, 0.04, 32).reshape(4, 8)
+    odds = cm.log_odds(counts)
+    bits, size, _ = cm.bits_of(texts, odds, start)
+    for k, (a, b) in enumerate(zip(first, end)):
+        cost = 0.0
+        for i in range(a, b):
+            if (i - a) % cm.SEGMENT == 0:
+                weight = start.copy()
+            byte = int(data[i])
+            at = [[(int(p[0][i]) + int(cm.OFFSET[o]) >> 1) + (byte >> 5), (int(p[1][i]) + int(cm.OFFSET[o]) >> 1) + ((byte & 15) >> 1)] for o, p in enumerate(cells)]
+            x = odds[np.array(at)].view(np.int8).astype(float)
+            sign = 2.0 * ((byte >> (7 - np.arange(8))) & 1) - 1
+            chance = 1 / (1 + np.exp(-np.clip(sign * (weight * x).sum(0), -10, 10)))
+            cost -= np.log2(chance).sum()
+            weight += x * sign * (1 - chance) * cm.RATE / cm.SCALE**2
+        assert size[k] == b - a and bits[k] == pytest.approx(cost, rel=1e-4)
