@@ -32,6 +32,7 @@ def spread_join(
     For a hot key the left rows are dealt into ``a`` shares and the right rows into ``b`` shares,
     and each share of one side is copied to every share of the other, so every pair still meets in
     exactly one task and no task holds a whole hot key. Ordinary keys are shuffled once, unsalted.
+    The hint keeps the planner from broadcasting a side: it guesses from the size of compressed files, before copies.
     ``left_salt`` and ``right_salt`` must be columns (or hashes) that do not change on recomputation.
     """
     hot = (
@@ -52,4 +53,4 @@ def spread_join(
 
     left = deal(left, left_salt, "_a", "_b", "_i", "_j")
     right = deal(right, right_salt, "_b", "_a", "_j", "_i")
-    return left.join(right, [key, "_i", "_j"]).drop("_i", "_j")
+    return left.join(right.hint("merge"), [key, "_i", "_j"]).drop("_i", "_j")

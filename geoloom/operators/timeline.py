@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import coords
 from geoloom.layer import BOX, Layer
-from geoloom.operators.joins import BROADCAST_BYTES, footprint, spatial_pairs
+from geoloom.operators.joins import footprint, spatial_pairs
 
 # Window widths in seconds, and the bounds of a step over a range of time.
 WINDOW_SECONDS = {
@@ -21,6 +21,8 @@ WINDOW_SECONDS = {
 }
 MIN_STEP_SECONDS = 60
 MAX_STEPS = 200
+# Zones that a stream is joined with are broadcast up to this many bytes.
+ZONE_BYTES = 256 << 20
 
 
 def default_window(range_seconds: float) -> str:
@@ -111,8 +113,8 @@ def with_zone_column(events: Layer, zones: Layer, columns: list[str]) -> DataFra
     stream can be joined from its own side only once.
     """
     size = footprint(zones)
-    if not zones.boxes or size.bytes > BROADCAST_BYTES:
-        raise ValueError("zones must be boxes of at most %d bytes" % BROADCAST_BYTES)
+    if not zones.boxes or size.bytes > ZONE_BYTES:
+        raise ValueError("zones must be boxes of at most %d bytes" % ZONE_BYTES)
     level = size.levels[-1]
     x, y = F.col("xmin"), F.col("ymin")
     cells = zones.df.select(

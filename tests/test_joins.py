@@ -192,3 +192,11 @@ def test_haversine_pairs_near_the_poles_and_the_date_line(spark):
         for options in STRATEGIES:
             found = joins.spatial_join(points, points, "dwithin", distance, metric="haversine", left_columns=["id"], right_columns=["id"], **options)
             assert sorted((r["id"], r["right_id"]) for r in found.collect()) == want
+
+
+def test_a_side_too_large_to_broadcast_is_not_left_to_the_planner(spark, tmp_path):
+    _, points = crowd(spark)
+    points.df.select("id", "lon", "lat").write.parquet(f"{tmp_path}/points")  # a few kB for the planner, whatever copies are made of them
+    points = point_layer(spark.read.parquet(f"{tmp_path}/points"), "id")
+    text = plan(joins.spatial_join(points, points, "dwithin", 4000.0, metric="haversine", broadcast=False)).split("== Physical Plan ==")[1]
+    assert text.count("SortMergeJoin") == 1
