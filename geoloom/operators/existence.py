@@ -18,6 +18,8 @@ from geoloom.operators import joins
 DEPTH = 2  # levels a cover is finer than its feature; a feature then meets at most CELLS cells
 CELLS = (coords.GRID_FACTOR**DEPTH + 1) ** 2
 BYTES_PER_CELL = 64
+#: Where polygons meet fewer points than this each, by count, their pairs cost less than their covers.
+POINTS_PER_COVER = 32
 #: Degrees a cell must lie away from a border to be inside; far more than rounding moves a point, far less than a cell.
 RIM = 1e-9
 #: The same for distances, as a share of the distance.
@@ -104,6 +106,29 @@ def _polygon_cover(right: Layer) -> DataFrame:
     return inside.unionByName(_classified(border).select("_cell", "inner"))
 
 
+def _points_met(left: Layer, right: Layer, levels: tuple[int, ...]) -> float:
+    """About how many points the boxes of ``right`` hold, each for itself: by counts per cell of the boxes' own levels."""
+    cells = [coords.point_cell(m, "xmin", "ymin") for m in levels]
+    points = left.df.select(F.expr(f"explode(array({', '.join(cells)}))").alias("_spot")).groupBy("_spot").agg(F.count("*").alias("_n"))
+    share = "(xmax - xmin) * (ymax - ymin) / pow({0}, 2)".format(coords.size_of_level("_level"))
+    boxes = right.df.select(*BOX, F.explode(F.array(F.expr(coords.level_of_box()))).alias("_level"))  # keeps the level from being inlined
+    boxes = boxes.select(F.expr(coords.point_cell("_level", *coords.CENTRE)).alias("_cell"), F.expr(share).alias("_share"))
+    boxes = boxes.groupBy("_cell").agg(F.sum("_share").alias("_share"))
+    met = points.join(boxes.hint("merge"), F.col("_spot") == F.col("_cell"))
+    return met.agg(F.sum(F.col("_n") * F.col("_share")).alias("met")).first()["met"] or 0.0
+
+
+def _by_pairs(left: Layer, right: Layer, predicate: str, anti: bool, **options) -> DataFrame:
+    """The same rows by pairs. A match depends on the spot only: points on one spot are tested once, and ids do not matter."""
+    spot = F.struct(F.col("xmin").alias("x"), F.col("ymin").alias("y"))
+    spots = left.df.select("xmin", "ymin").where("xmin IS NOT NULL AND ymin IS NOT NULL").distinct()
+    spots = Layer(spots.select(spot.alias("_spot"), *BOX[:2], F.col("xmin").alias("xmax"), F.col("ymin").alias("ymax")), "_spot", "point")
+    pairs = joins.spatial_pairs(spots, right, predicate, left_columns=[], right_columns=[], **options)
+    matched = pairs.select("l__spot").distinct().select(F.col("l__spot.x").alias("_x"), F.col("l__spot.y").alias("_y"))
+    here = (F.col("xmin") == F.col("_x")) & (F.col("ymin") == F.col("_y"))
+    return left.df.join(matched.hint("merge"), here, "left_anti" if anti else "left_semi")
+
+
 def exists_join(
     left: Layer,
     right: Layer,
@@ -117,7 +142,8 @@ def exists_join(
 
     Rows of ``right`` without a shape match nothing; points without coordinates are matched by nothing. The cover has at
     most CELLS rows per right feature before features that share cells merge: of use where left rows are
-    many or crowded. It is broadcast if that bound allows, else joined (AQE splits a hot cell's points).
+    many or crowded. It is broadcast if that bound allows, else joined (AQE splits a hot cell's points). Polygons that
+    meet few points each are paired with them instead.
     """
     if not can_cover(left, right, predicate, metric):
         raise ValueError("covers need points against polygons (intersects, within) or against points within a planar distance")
@@ -126,10 +152,15 @@ def exists_join(
         if not distance or distance <= 0:
             raise ValueError("dwithin needs distance > 0")
         margin = coords.search_margin(distance, metric) * (1 + 1e-9)
+    size = joins.footprint(right, margin, columns=[])
+    if predicate != "dwithin" and not right.boxes:
+        levels = tuple(level for level in size.levels if level is not None)
+        if levels and _points_met(left, right, levels) <= POINTS_PER_COVER * size.rows:
+            return _by_pairs(left, right, predicate, anti, **options)
+    if predicate == "dwithin":
         cover = _disc_cover(right, float(distance), metric, margin)
     else:
         cover = _box_cover(right) if right.boxes else _polygon_cover(right)
-    size = joins.footprint(right, margin, columns=[])
     cover = cover.where("_cell IS NOT NULL").groupBy("_cell").agg(F.max("inner").alias("inner"))
     small = size.rows * CELLS * BYTES_PER_CELL <= joins.BROADCAST_BYTES
 
@@ -140,7 +171,7 @@ def exists_join(
             F.col("_cell").alias("_spot"), F.when(F.col("inner"), 2).otherwise(1).alias(f"_found_{m}")
         )
         spot = F.expr(coords.point_cell(m, "xmin", "ymin"))
-        marked = marked.join(F.broadcast(here) if small else here, spot == F.col("_spot"), "left").drop("_spot")
+        marked = marked.join(F.broadcast(here) if small else here.hint("merge"), spot == F.col("_spot"), "left").drop("_spot")
     marks = [f"_found_{m}" for m in levels]
     found = F.coalesce(F.greatest(F.lit(0), *marks), F.lit(0)) if marks else F.lit(0)
     marked = marked.withColumn("_found", found).drop(*marks)

@@ -112,3 +112,20 @@ def test_empty_sides_clashing_names_and_refusals(spark):
         existence.exists_join(left, left, "dwithin", distance=1.0, metric="haversine")
     with pytest.raises(ValueError):
         existence.exists_join(left, left, "dwithin", distance=0)
+
+
+@pytest.mark.parametrize("predicate", ["intersects", "within"])
+def test_many_small_polygons_are_paired_and_not_covered(spark, monkeypatch, predicate):
+    corners = [(x, y, x + RANDOM.uniform(0.1, 0.4), y + RANDOM.uniform(0.1, 0.4)) for x, y in ((RANDOM.uniform(-3, 7), RANDOM.uniform(40, 50)) for _ in range(300))]
+    corners += [(0.0, 40.0, 0.1, 40.1), (0.9, 43.9, 1.1, 44.1)]  # a corner on point 1002, and the crowd
+    right = layer_of(spark, [polygon(box(*c)) for c in corners])
+    rows = [*SPOTS, (None, 1.0, 44.0), (None, 0.05, 40.05), (0, 90.0, 0.0)]  # ids that are null or come twice
+
+    def inside(x, y):
+        return any(x0 <= x <= x1 and y0 <= y <= y1 if predicate == "intersects" else x0 < x < x1 and y0 < y < y1 for x0, y0, x1, y1 in corners)
+
+    want = {kept: sorted(repr(r) for r in rows if (None not in r[1:] and inside(*r[1:])) == kept) for kept in (True, False)}
+    monkeypatch.setattr(existence, "_polygon_cover", lambda right: pytest.fail("a cover was made"))
+    for anti in (False, True):
+        found = existence.exists_join(points(spark, rows), right, predicate, anti=anti).select("id", "lon", "lat")
+        assert sorted(repr(tuple(r)) for r in found.collect()) == want[not anti]
