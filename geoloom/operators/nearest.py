@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import coords, kernels, shapes
-from geoloom.layer import BOX, GEOM, Layer, geometry, vertex
-from geoloom.operators.joins import BROADCAST_BYTES, BYTES_PER_ROW, BYTES_PER_VERTEX, footprint
+from geoloom.layer import BOX, GEOM, Layer, geometry, point_layer, vertex
+from geoloom.operators.joins import BROADCAST_BYTES, BYTES_PER_ROW, BYTES_PER_VERTEX, footprint, spatial_pairs
 from geoloom.operators.spread import spread_join
-from geoloom.sources.place import fresh_path
+from geoloom.sources.place import fresh_path, written
 
 # nearest_join refines its grid until an average occupied cell holds this many features.
 FEATURES_PER_CELL = 16
@@ -109,8 +109,7 @@ def _pyramid(right: Layer, k: int) -> tuple[list[DataFrame], list[int], list[int
     whether the layer itself is small enough to broadcast.
     """
     features = right.df
-    simple = right.family == "point" or right.boxes
-    n_vertices = F.lit(1) if simple else shapes.n_points(F.col(GEOM))
+    n_vertices = F.lit(1) if right.family == "point" or right.boxes else shapes.n_points(F.col(GEOM))
     # Which levels are worth walking: one pass without a shuffle. The counts only steer the walk.
     counts = features.agg(
         F.count("*").alias("rows"),
@@ -169,6 +168,8 @@ def nearest_join(
     hold one of its k nearest: those whose tight box starts no farther away than the distance that
     certainly covers k features. Only cells, never features, are paired until the last step, so a
     dense spot on the right costs a left row a few cells. Exact for every k and metric.
+
+    Where polygons overlap, many cells begin at no distance at all. So rows that k polygons hold are settled first, by a join.
     """
     left_columns = left.attributes if left_columns is None else left_columns
     right_columns = right.attributes if right_columns is None else right_columns
@@ -188,6 +189,11 @@ def nearest_join(
     small = small and footprint(right, columns=right_columns).bytes <= BROADCAST_BYTES
     small = small and rows_per_share is None
     options = {} if rows_per_share is None else {"rows_per_share": rows_per_share}
+    held = None
+    if right.family == "polygon" and (right.boxes or metric != "mercator"):  # edges that are straight in the metric's plane
+        held = _held(seekers, right, k, right_columns, **options)
+        settled = held.where(F.col("rank") == k).select(F.col("_id").alias("_settled"))
+        seekers = seekers.join(settled.hint("merge"), F.col("_id").eqNullSafe(F.col("_settled")), "left_anti")
     frontier = None
     for table, level, n_cells in zip(tables, levels, occupied):
         parent = coords.cell_key(level + 1, PARENT.format("ix"), PARENT.format("iy"))
@@ -229,10 +235,14 @@ def nearest_join(
         distance = coords.point_distance(F.col("_cx"), F.col("_cy"), F.col("_x"), F.col("_y"), metric)
     else:
         box = [flat[i % 2](F.col(c)).alias(f"{'xy'[i % 2]}{i // 2}") for i, c in enumerate(BOX)]
-        targets = targets.select("_cell", F.col(GEOM).alias("_geom"), *box, *carried)
-        here = geometry("Point", F.array(F.array(F.array(vertex(F.col("_cx"), F.col("_cy"))))))
-        kernel = kernels.mercator_separation if metric == "mercator" else kernels.degree_separation
-        distance = kernel(here, F.col("_geom"))
+        targets = targets.select("_cell", *([] if right.boxes else [F.col(GEOM).alias("_geom")]), *box, *carried)
+        if right.boxes:
+            gap = coords.planar(_gap(F.col("x0"), F.col("x1"), px), _gap(F.col("y0"), F.col("y1"), py))
+            distance = F.when(gap <= kernels.TOLERANCE, 0.0).otherwise(gap)
+        else:
+            here = geometry("Point", F.array(F.array(F.array(vertex(F.col("_cx"), F.col("_cy"))))))
+            kernel = kernels.mercator_separation if metric == "mercator" else kernels.degree_separation
+            distance = kernel(here, F.col("_geom"))
         if metric == "degree_m":
             distance = distance * F.lit(coords.METRES_PER_DEGREE)
     if small:
@@ -247,12 +257,27 @@ def nearest_join(
     order = Window.partitionBy("_id").orderBy("distance", "_rid")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     hits = ranked.select("_id", "rank", "distance", *[f"right_{c}" for c in right_columns])
+    if held is not None:
+        whole = Window.partitionBy("_id")
+        hits = hits.unionByName(held.withColumn("_most", F.max("rank").over(whole)).where(F.col("_most") == k).drop("_most"))
     if left_columns == [left.id]:
         return hits.withColumnRenamed("_id", left.id)
     rows = left.df.select(*dict.fromkeys([left.id, *left_columns]))
     return rows.join(hits, F.col(left.id) == F.col("_id")).drop("_id")
 
 
+def _held(seekers: DataFrame, right: Layer, k: int, right_columns: list[str], **options) -> DataFrame:
+    """The k lowest ids of the polygons that hold each left row, as hits: nothing is nearer than they are."""
+    at = point_layer(seekers, "_id", "_cx", "_cy")
+    pairs = spatial_pairs(at, right, "intersects", left_columns=[], right_columns=right_columns, **options)
+    pairs = pairs.select(
+        F.col("l__id").alias("_id"), F.col(f"r_{right.id}").alias("_rid"), *[F.col(f"r_{c}").alias(f"right_{c}") for c in right_columns]
+    )
+    first = Window.partitionBy("_id").orderBy("_rid")
+    ranked = pairs.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+    return written(ranked.select("_id", "rank", F.lit(0.0).alias("distance"), *[f"right_{c}" for c in right_columns]), "held")
+
+
 def _no_hits(left: Layer, right: Layer, left_columns: list[str], right_columns: list[str]) -> DataFrame:
     """The result's shape when the right layer is empty."""
     rows = left.df.select(*left_columns).limit(0)

@@ -200,3 +200,26 @@ def test_a_side_too_large_to_broadcast_is_not_left_to_the_planner(spark, tmp_pat
     points = point_layer(spark.read.parquet(f"{tmp_path}/points"), "id")
     text = plan(joins.spatial_join(points, points, "dwithin", 4000.0, metric="haversine", broadcast=False)).split("== Physical Plan ==")[1]
     assert text.count("SortMergeJoin") == 1
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_of_boxes_that_overlap(spark, k):
+    rng = random.Random(8)
+    boxes = [(i, x, y, x + rng.uniform(0.5, 3), y + rng.uniform(0.5, 3)) for i, x, y in ((i, rng.uniform(0, 3), rng.uniform(0, 3)) for i in range(60))]
+    boxes += [(60 + i, 8.0 + i, 8.0, 8.5 + i, 8.5) for i in range(4)]
+    spots = [(i, rng.uniform(0, 9), rng.uniform(0, 9)) for i in range(150)] + [(150, 2.0, 2.0), (150, 8.2, 8.2), (151, None, 1.0)]
+    right = box_layer(spark.createDataFrame(boxes, "zid long, xmin double, ymin double, xmax double, ymax double"), "zid")
+    points = point_layer(spark.createDataFrame(spots, "id long, lon double, lat double"), "id")
+
+    def gap(s, b):
+        return math.hypot(max(b[1] - s[1], s[1] - b[3], 0), max(b[2] - s[2], s[2] - b[4], 0))
+
+    want = []
+    for i in range(151):  # an id on two spots has its nearest from either
+        best = sorted((gap(s, b), b[0]) for s in spots if s[0] == i for b in boxes)[:k]
+        want += [(i, rank, round(d, 9), z) for rank, (d, z) in enumerate(best, 1)]
+    for options in ({}, {"rows_per_share": 50}):
+        found = nearest.nearest_join(points, right, k, left_columns=["id"], right_columns=["zid"], **options)
+        assert sorted((r["id"], r["rank"], round(r["distance"], 9), r["right_zid"]) for r in found.collect()) == want
+    assert "ArrowEvalPython" not in plan(found)  # neither shapes nor Python for boxes
+    assert nearest._held(points.df.selectExpr("id _id", "lon _cx", "lat _cy"), right, k, ["zid"]).where(f"rank = {k}").count() > 20
