@@ -117,13 +117,13 @@ def trace(pieces, n: int) -> pa.Array:
     shell_of = np.concatenate([shells, parent[parent >= 0]])
     order = np.lexsort((listed, listed != shell_of, shell_of, ring_owner[listed]))
     listed, shell_of = listed[order], shell_of[order]
-    paths = [path(r) for r in listed]
+    size = count[listed] + 1
+    turn = kernels._spread(size)
+    at = np.repeat(start[listed], size) + np.where(turn == np.repeat(count[listed], size), 0, turn)
     n_rings = np.unique(shell_of, return_counts=True)[1] if len(shell_of) else np.zeros(0, np.int64)
     n_parts = np.bincount(ring_owner[shells], minlength=n)
-    empty = np.zeros(0)
-    flat = [np.concatenate([p[k] for p in paths]) if paths else empty for k in (0, 1)]
     kinds = np.where(n_parts > 1, "MultiPolygon", "Polygon").tolist()
-    found = kernels.rebuild(kinds, *flat, np.array([len(p[0]) for p in paths], np.int64), n_rings, n_parts)
+    found = kernels.rebuild(kinds, x[at], y[at], size, n_rings, n_parts)
     return found.take(pa.array(np.arange(n), mask=n_parts == 0))
 
 

@@ -8,7 +8,7 @@ bounded size, after the joins have already discarded pairs whose boxes do not me
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from geoloom.functions.coords import MERCATOR_RADIUS_M
 from geoloom.layer import GEOMETRY
 
 # Edge-against-edge comparisons held in memory at once (about 100 bytes each).
-SLICE = 1_000_000
+SLICE = 100_000
 
 # Two positions closer than this (degrees) are one.
 TOLERANCE = 1e-10
@@ -150,23 +150,71 @@ def _against(owner: np.ndarray, other: Edges):
         at = to
 
 
+def _row_boxes(e: Edges) -> list[np.ndarray]:
+    """xmin, ymin, xmax, ymax of each row's edges; NaN where there is none."""
+    some = e.count > 0
+    found = []
+    for smallest, ends in ((np.fmin, (e.x1, e.x2)), (np.fmin, (e.y1, e.y2)), (np.fmax, (e.x1, e.x2)), (np.fmax, (e.y1, e.y2))):
+        box = np.full(len(e.count), np.nan)
+        if some.any():
+            box[some] = smallest.reduceat(smallest(*ends), e.start[some])
+        found.append(box)
+    return found
+
+
+def _diagonal_spans(e: Edges) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Least and most of x + y and of x - y over each row's edges, with room for the tolerance; NaN where there is none."""
+    some = e.count > 0
+    found = []
+    for sign in (1, -1):
+        ends = e.x1 + sign * e.y1, e.x2 + sign * e.y2
+        low, high = np.full((2, len(e.count)), np.nan)
+        if some.any():
+            low[some] = np.fmin.reduceat(np.fmin(*ends), e.start[some]) - 2 * TOLERANCE
+            high[some] = np.fmax.reduceat(np.fmax(*ends), e.start[some]) + 2 * TOLERANCE
+        found.append((low, high))
+    return found
+
+
+def _close(a: Edges, b: Edges) -> np.ndarray:
+    """Which edges of ``a`` have a box that meets the box of their row in ``b``."""
+    x0, y0, x1, y1 = (v[a.owner] for v in _row_boxes(b))
+    near = (np.minimum(a.x1, a.x2) <= x1 + TOLERANCE) & (np.maximum(a.x1, a.x2) >= x0 - TOLERANCE)
+    near &= (np.minimum(a.y1, a.y2) <= y1 + TOLERANCE) & (np.maximum(a.y1, a.y2) >= y0 - TOLERANCE)
+    near = np.flatnonzero(near)
+    for sign, (low, high) in zip((1, -1), _diagonal_spans(b)):
+        p, q = a.x1[near] + sign * a.y1[near], a.x2[near] + sign * a.y2[near]
+        row = a.owner[near]
+        near = near[(np.minimum(p, q) <= high[row]) & (np.maximum(p, q) >= low[row])]
+    return near
+
+
 def _split(a: Edges, b: Edges):
     """Cut the edges of ``a`` where they meet ``b``.
 
     Returns the pieces (x1, y1, x2, y2, owner), the rows in contact, and the contact points.
     """
+    edge, t = _cuts(a, b)
+    contact = a.owner[edge], a.x1[edge] + t * (a.x2 - a.x1)[edge], a.y1[edge] + t * (a.y2 - a.y1)[edge]
+    return _pieces(a, edge, t), *contact
+
+
+def _cuts(a: Edges, b: Edges) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of ``a`` that meet ``b``, and where along them (0..1)."""
     dx, dy = a.x2 - a.x1, a.y2 - a.y1
     size = np.hypot(dx, dy)
-    cut_edge, cut_t, contact_row, contact_x, contact_y = [], [], [], [], []
-    for i, j in _against(a.owner, b):
+    cut_edge, cut_t = [], []
+    # Most edges of either row lie away from the whole other row.
+    mine, other = _close(a, b), _close(b, a)
+    count = np.bincount(b.owner[other], minlength=len(b.count)).astype(np.int64)
+    own_spans = [(np.minimum(p[mine], q[mine]), np.maximum(p[mine], q[mine])) for p, q in ((a.x1, a.x2), (a.y1, a.y2))]
+    other_spans = [(np.minimum(p[other], q[other]) - TOLERANCE, np.maximum(p[other], q[other]) + TOLERANCE) for p, q in ((b.x1, b.x2), (b.y1, b.y2))]
+    for i, j in _against(a.owner[mine], replace(b, start=_group_starts(count), count=count)):
         # Only edges whose boxes meet can touch.
-        near = (
-            (np.minimum(a.x1[i], a.x2[i]) <= np.maximum(b.x1[j], b.x2[j]) + TOLERANCE)
-            & (np.maximum(a.x1[i], a.x2[i]) >= np.minimum(b.x1[j], b.x2[j]) - TOLERANCE)
-            & (np.minimum(a.y1[i], a.y2[i]) <= np.maximum(b.y1[j], b.y2[j]) + TOLERANCE)
-            & (np.maximum(a.y1[i], a.y2[i]) >= np.minimum(b.y1[j], b.y2[j]) - TOLERANCE)
-        )
-        i, j = i[near], j[near]
+        for (low, high), (other_low, other_high) in zip(own_spans, other_spans):
+            near = (low[i] <= other_high[j]) & (high[i] >= other_low[j])
+            i, j = i[near], j[near]
+        i, j = mine[i], other[j]
         ex, ey = b.x2[j] - b.x1[j], b.y2[j] - b.y1[j]
         esize = np.hypot(ex, ey)
         px, py = b.x1[j] - a.x1[i], b.y1[j] - a.y1[i]
@@ -201,14 +249,17 @@ def _split(a: Edges, b: Edges):
         for edge, t in found:
             cut_edge.append(edge)
             cut_t.append(t)
-            contact_row.append(a.owner[edge])
-            contact_x.append(a.x1[edge] + t * dx[edge])
-            contact_y.append(a.y1[edge] + t * dy[edge])
 
     def join(chunks, dtype=float):
         return np.concatenate(chunks) if chunks else np.zeros(0, dtype)
 
-    edge, t = join(cut_edge, np.int64).astype(np.int64), join(cut_t)
+    return join(cut_edge, np.int64).astype(np.int64), join(cut_t)
+
+
+def _pieces(a: Edges, edge: np.ndarray, t: np.ndarray) -> tuple:
+    """The edges of ``a``, cut at the given places, as (x1, y1, x2, y2, owner)."""
+    dx, dy = a.x2 - a.x1, a.y2 - a.y1
+    size = np.hypot(dx, dy)
     inner = (t * size[edge] > TOLERANCE) & ((1 - t) * size[edge] > TOLERANCE)
     n = len(a.owner)
     all_edge = np.concatenate([np.arange(n), edge[inner], np.arange(n)])
@@ -219,14 +270,13 @@ def _split(a: Edges, b: Edges):
     e, t0, t1 = all_edge[:-1][same], all_t[:-1][same], all_t[1:][same]
     keep = ((t1 - t0) * size[e] > TOLERANCE) | (size[e] <= TOLERANCE)
     e, t0, t1 = e[keep], t0[keep], t1[keep]
-    pieces = (
+    return (
         a.x1[e] + t0 * dx[e],
         a.y1[e] + t0 * dy[e],
         np.where(t1 == 1, a.x2[e], a.x1[e] + t1 * dx[e]),
         np.where(t1 == 1, a.y2[e], a.y1[e] + t1 * dy[e]),
         a.owner[e],
     )
-    return pieces, join(contact_row, np.int64).astype(np.int64), join(contact_x), join(contact_y)
 
 
 OUTSIDE, INSIDE, SAME_WAY, OPPOSITE = 0, 1, 2, 3
@@ -238,7 +288,21 @@ def _classify(pieces, b: Edges) -> np.ndarray:
     mx, my = (x1 + x2) / 2, (y1 + y2) / 2
     crossings = np.zeros(len(owner), np.int64)
     where = np.zeros(len(owner), np.int64)
-    for i, j in _against(owner, b):
+    x_low, y_low, x_high, y_high = (v[owner] for v in _row_boxes(b))
+    near = (mx >= x_low - TOLERANCE) & (mx <= x_high + TOLERANCE) & (my >= y_low - TOLERANCE) & (my <= y_high + TOLERANCE)
+    some = np.flatnonzero(near)
+    for sign, (low, high) in zip((1, -1), _diagonal_spans(b)):
+        at, row = mx[some] + sign * my[some], owner[some]
+        some = some[(at >= low[row]) & (at <= high[row])]
+    spot_y = my[some]
+    low, high, right = np.minimum(b.y1, b.y2) - TOLERANCE, np.maximum(b.y1, b.y2) + TOLERANCE, np.maximum(b.x1, b.x2) + TOLERANCE
+    for i, j in _against(owner[some], b):
+        # Only edges level with the middle and not wholly to its left can cross its ray or hold it.
+        height = spot_y[i]
+        level = (low[j] <= height) & (high[j] >= height)
+        i, j = some[i[level]], j[level]
+        ahead = right[j] >= mx[i]
+        i, j = i[ahead], j[ahead]
         bx1, by1, bx2, by2 = b.x1[j], b.y1[j], b.x2[j], b.y2[j]
         ex, ey = bx2 - bx1, by2 - by1
         straddles = (by1 > my[i]) != (by2 > my[i])
@@ -567,12 +631,19 @@ def outline(regions: pa.Array, group: np.ndarray) -> tuple[np.ndarray, np.ndarra
     near = (own != other) & (x0[own] <= x1[other]) & (x1[own] >= x0[other])
     near &= (y0[own] <= y1[other]) & (y1[own] >= y0[other])
     own, other = own[near], other[near]
-    pieces, _, _, _ = _split(edges, _gather(edges, other, own, n))
+    # Slanted regions seldom meet where their boxes do: look along the diagonals as well.
+    for low, high in _diagonal_spans(edges):
+        apart = (low[own] > high[other]) | (high[own] < low[other])
+        own, other = own[~apart], other[~apart]
+    # Cuts are sought pair by pair: few edges of a region are near any one other region.
+    pair = np.arange(len(own))
+    edge, t = _cuts(_gather(edges, own, pair, len(own)), _gather(edges, other, pair, len(own)))
+    sizes = edges.count[own]
+    pieces = _pieces(edges, (np.repeat(edges.start[own], sizes) + _spread(sizes))[edge], t)
     owner = pieces[4]
     per_region = np.bincount(owner, minlength=n).astype(np.int64)
     begin = _group_starts(per_region)
     # Every piece against every near region, one row per (region, near region).
-    pair = np.arange(len(own))
     sizes = per_region[own]
     pick = np.repeat(begin[own], sizes) + _spread(sizes)
     pair_of = np.repeat(pair, sizes)

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -269,3 +270,25 @@ def test_time_axis_counts_few_times_exactly(spark):
         times = spark.range(n).selectExpr("timestamp_seconds(id * 86400) AS ts").unionAll(spark.sql("SELECT CAST(NULL AS timestamp) AS ts"))
         seconds = (n - 1) * 86400
         assert timeline.time_axis(times, "ts").step_seconds == seconds / min(n, 200)
+
+
+def test_buffers_compare_few_edges_and_do_not_depend_on_the_block(monkeypatch):
+    rng = np.random.default_rng(9)
+    n, one = rng.integers(2, 7, 60), np.ones(60, np.int64)
+    x, y = -105 + np.repeat(rng.uniform(0, 3, 60), n) + rng.uniform(-0.05, 0.05, n.sum()), rng.uniform(40, 40.1, n.sum())
+    lines = kernels.rebuild(["LineString"] * 60, x, y, n, one, one)
+    reach = pa.array([500.0 * 180 / (math.pi * 6378137)] * 60)
+    compared = []
+    original = kernels._against
+
+    def counted(*args):
+        for i, j in original(*args):
+            compared.append(len(i))
+            yield i, j
+
+    monkeypatch.setattr(kernels, "_against", counted)
+    grown = transform._grow.func(lines, reach).to_pylist()
+    per_edge = 2 * 34 * 34  # a capsule's edges against another's, cut and placed
+    assert sum(compared) < per_edge * (n - 1).sum() and len(grown) == 60
+    monkeypatch.setattr(transform, "GROWN_ROWS", 7)
+    assert transform._grow.func(lines, reach).to_pylist() == grown
