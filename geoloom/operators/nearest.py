@@ -238,7 +238,8 @@ def nearest_join(
         targets = targets.select("_cell", *([] if right.boxes else [F.col(GEOM).alias("_geom")]), *box, *carried)
         if right.boxes:
             gap = coords.planar(_gap(F.col("x0"), F.col("x1"), px), _gap(F.col("y0"), F.col("y1"), py))
-            distance = F.when(gap <= kernels.TOLERANCE, 0.0).otherwise(gap)
+            nowhere = px.isNull() | py.isNull()  # gaps leave null out; without a place there is no distance, as for shapes
+            distance = F.when(nowhere, float("nan")).when(gap <= kernels.TOLERANCE, 0.0).otherwise(gap)
         else:
             here = geometry("Point", F.array(F.array(F.array(vertex(F.col("_cx"), F.col("_cy"))))))
             kernel = kernels.mercator_separation if metric == "mercator" else kernels.degree_separation
