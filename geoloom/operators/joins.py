@@ -22,7 +22,7 @@ from geoloom.operators.spread import spread_join
 PREDICATES = ("intersects", "contains", "within", "crosses", "touches", "overlaps", "dwithin")
 
 # A side is broadcast only when its measured size, times the copies its cells can make of it, stays
-# below this many bytes: the driver holds some five times as much while it collects and builds the table.
+# below this many bytes: the driver holds several times as much while it collects and builds the table.
 BROADCAST_BYTES = 64 << 20
 BYTES_PER_VERTEX = 48
 BYTES_PER_ROW = 160
